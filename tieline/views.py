@@ -118,10 +118,6 @@ SELECT CAST(floor(vec_id / 5e2) AS BIGINT) AS product_id, CAST(floor((vec_id % 5
 FROM {embeddings}
 """
 
-VIEWS["band_table"] = """
-SELECT CAST(b AS BIGINT) AS band, 7123e-1 + b * 25e0 AS wavelength_nm FROM {band_numbers} n
-"""
-
 VIEWS["descriptors"] = """
 SELECT CAST(floor(vec_id / 1e2) AS BIGINT) AS pair_id, CASE WHEN vec_id % 2 = 0 THEN 'q' ELSE 'r' END AS side,
        vec_id AS kp_id, embedding AS descriptor
