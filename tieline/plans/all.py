@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from tieline.plans import tiepoint_queries  # noqa: F401
+from tieline.plans import catalog_queries, tiepoint_queries  # noqa: F401

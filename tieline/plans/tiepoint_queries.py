@@ -292,10 +292,11 @@ SELECT pair_id, match_id, CAST(floor((row_number() OVER (PARTITION BY pair_id OR
          AS random_fold
 FROM {tiepoints}""")
 def _(t):
-    b = T.assign_folds(t.tiepoints, "spatial_blocks").withColumnRenamed("fold", "block_fold")
-    s = T.assign_folds(b, "stripes", stripe_px=50.0).withColumnRenamed("fold", "stripe_fold")
-    r = T.assign_folds(s, "random_kfold").withColumnRenamed("fold", "random_fold")
-    return r.select("pair_id", "match_id", "block_fold", "stripe_fold", "random_fold")
+    def folds(name, scheme, **kw):
+        return T.assign_folds(t.tiepoints, scheme, **kw).select("pair_id", "match_id", F.col("fold").alias(name))
+
+    return (folds("block_fold", "spatial_blocks").join(folds("stripe_fold", "stripes", stripe_px=50.0), ["pair_id", "match_id"])
+            .join(folds("random_fold", "random_kfold"), ["pair_id", "match_id"]))
 
 
 @query("d8_heldout_summary", """
