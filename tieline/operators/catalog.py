@@ -9,7 +9,7 @@ from tieline.functions import geo as G
 from tieline.functions.transforms import let
 
 
-def box_join(a: DataFrame, b: DataFrame, dims: list[tuple[str, str, str, str]], cell: float, on: list[str] | None = None) -> DataFrame:
+def box_join(a: DataFrame, b: DataFrame, dims: list[tuple[str, str, str, str]], cell: float | Column, on: list[str] | None = None) -> DataFrame:
     """Pairs of overlapping boxes through shared grid cells (an equi-join, never a nested loop).
 
     `dims` lists (a_low, a_high, b_low, b_high) per axis. A pair is kept only in the cell that holds the lower
