@@ -6,7 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
+
+
+def safe_corr(a: str, b: str) -> Column:
+    """Pearson r of a group; null (not an error) when either side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 400) -> np.ndarray:
@@ -35,7 +41,7 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, rounds: int = 4
     return np.where(swap, 1 - out, out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a Pearson or Spearman coefficient from the t distribution with n - 2 degrees of freedom."""
     rr, dof = r.astype(float).to_numpy(), n.astype(float).to_numpy() - 2
@@ -46,7 +52,7 @@ def correlation_p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ks_p_value(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
     """Asymptotic two-sided Kolmogorov-Smirnov p."""
     en = np.sqrt(n1.astype(float) * n2.astype(float) / (n1 + n2).astype(float)).to_numpy()

@@ -95,8 +95,7 @@ def correlations(df: DataFrame, x: str, y: str, keys: list[str], p_values: bool
     w = F.col("_w").cast("double")
 
     def weighted_corr(a: str, b: str, name: str):
-        return (F.sum(w * (F.col(a) - F.col("_m" + a)) * (F.col(b) - F.col("_m" + b)))
-                / F.sqrt(F.sum(w * (F.col(a) - F.col("_m" + a)) * (F.col(a) - F.col("_m" + a)))
+        return F.try_divide(F.sum(w * (F.col(a) - F.col("_m" + a)) * (F.col(b) - F.col("_m" + b))), F.sqrt(F.sum(w * (F.col(a) - F.col("_m" + a)) * (F.col(a) - F.col("_m" + a)))
                          * F.sum(w * (F.col(b) - F.col("_m" + b)) * (F.col(b) - F.col("_m" + b))))).alias(name)
 
     means = ranked.groupBy(*keys).agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias("_m" + c) for c in ("_x", "_y", "_rx", "_ry")])
@@ -132,7 +131,7 @@ def ks_2samp(df: DataFrame, value: str, sample: str, keys: list[str], p_value: b
     both = running_start(one, keys, "_v", "_k2").withColumn("_c2", F.col("_start") + F.col("_k2")).join(totals, keys)
     out = both.groupBy(*keys).agg(
         F.first("n1").alias("n1"), F.first("n2").alias("n2"),
-        F.max(F.abs(F.col("_c1") / F.col("n1") - F.col("_c2") / F.col("n2"))).alias("ks_d"))
+        F.max(F.abs(F.try_divide("_c1", "n1") - F.try_divide("_c2", "n2"))).alias("ks_d"))
     return out.withColumn("ks_p", ks_p_value("ks_d", "n1", "n2")) if p_value else out
 
 
@@ -149,3 +148,22 @@ def best_arm(runs: DataFrame, precedence: list[str], n: str = "n_accepted") -> D
     order = F.array_position(F.array(*[F.lit(a) for a in precedence]), F.col("arm"))
     return runs.groupBy("run_id").agg(
         F.max_by("arm", F.struct(F.col(n), -order)).alias("arm"), F.max(n).alias(n))
+
+
+def parallax_check(model: DataFrame, dx_dcol, dx_drow, dy_dcol, dy_drow) -> DataFrame:
+    """Fitted parallax (px per metre of height) as ground displacement through the frame's median Jacobian
+    (metres per pixel), and the emission angle it implies."""
+    gx = dx_dcol * F.col("px") + dx_drow * F.col("py")
+    gy = dy_dcol * F.col("px") + dy_drow * F.col("py")
+    return model.withColumn("ground_dx", gx).withColumn("ground_dy", gy).withColumn(
+        "emission_fitted_deg", F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))))
+
+
+def frame_jacobian(frame: DataFrame) -> DataFrame:
+    """Median spacing of map coordinates along samples and lines of a tile's frame (map_x, map_y per pixel)."""
+    from tieline.operators.pixels import by_tile, neighbour
+
+    d = by_tile(frame)
+    for m in ("map_x", "map_y"):
+        d = d.withColumn(f"{m}_dcol", neighbour(m, "col_no", 1, "row_no") - F.col(m)).withColumn(f"{m}_drow", neighbour(m, "row_no", 1, "col_no") - F.col(m))
+    return d.groupBy("tile_id").agg(*[F.median(f"{m}_{a}").alias(f"{m}_{a}") for m in ("map_x", "map_y") for a in ("dcol", "drow")])

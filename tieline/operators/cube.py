@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tieline.fixed import PROXY_FALLBACK_BANDS, PROXY_MAX_NM
+from tieline.functions.stats import safe_corr
 from tieline.operators import pixels as P
 
 
@@ -105,7 +106,7 @@ def best_band_window(cube: DataFrame, windows: list[tuple[float, float]], target
     inside = F.filter(F.sequence(F.lit(1), F.size("wavelengths")), lambda i: F.element_at("wavelengths", i).between(w["lo"], w["hi"]))
     j = cube.join(target, ["product_id", "line", "sample"]).withColumn("w", F.explode(cand)).withColumn("_i", inside).where(F.size("_i") > 0)
     v = F.aggregate("_i", F.lit(0.0), lambda s, i: s + finite(F.element_at("spectrum", i))) / F.size("_i")
-    r = j.select("product_id", "w", "target", v.alias("v")).groupBy("product_id", "w").agg(F.corr("v", "target").alias("r"))
+    r = j.select("product_id", "w", "target", v.alias("v")).groupBy("product_id", "w").agg(safe_corr("v", "target").alias("r"))
     return r.groupBy("product_id").agg(F.max(F.struct(F.abs("r").alias("a"), -F.col("w.window"), "w", "r")).alias("m")).select(
         "product_id", F.col("m.w.window").alias("window"), F.col("m.w.lo").alias("lo_nm"), F.col("m.w.hi").alias("hi_nm"), F.col("m.r").alias("r"))
 
@@ -167,6 +168,6 @@ def pca_proxy(cube: DataFrame, mode: str = "pc1", k: int = 3, albedo: DataFrame
         return scores.groupBy("product_id", "line", "sample").agg(
             (F.sum(F.col("score") * F.col("explained")) / F.sum("explained")).alias("dn"))
     j = scores.join(albedo, ["product_id", "line", "sample"])
-    best = j.groupBy("product_id", "pc").agg(F.corr("score", "albedo").alias("r")).groupBy("product_id").agg(
+    best = j.groupBy("product_id", "pc").agg(safe_corr("score", "albedo").alias("r")).groupBy("product_id").agg(
         F.max(F.struct(F.abs("r").alias("a"), "pc", "r")).alias("m")).select("product_id", F.col("m.pc").alias("pc"), F.signum("m.r").alias("s"))
     return scores.join(best, ["product_id", "pc"]).select("product_id", "line", "sample", (F.col("score") * F.col("s")).alias("dn"))

@@ -66,11 +66,12 @@ def knn_self(points: DataFrame, k: int, x: str = "src_x", y: str = "src_y", iden
             if len(a) <= k:
                 out.append(0.0)
                 continue
-            d = np.hypot(a[:, None] - a[None, :], b[:, None] - b[None, :])
+            d = np.sqrt((a[:, None] - a[None, :]) ** 2 + (b[:, None] - b[None, :]) ** 2)
             out.append(float(np.partition(d, k, axis=1)[:, k].max()))
         return pd.Series(out)
 
-    c = cells.withColumn("r", reach("xs", "ys") * (1 + 1e-9))
+    # both sides of the cell join read this table
+    c = cut_lineage(cells.withColumn("r", reach("xs", "ys") * (1 + 1e-9)))
     a = c.select(*keys, "grid", F.col("ids").alias("ia"), F.col("xs").alias("xa"), F.col("ys").alias("ya"), (F.col("x0") - F.col("r")).alias("ax0"),
                  (F.col("x1") + F.col("r")).alias("ax1"), (F.col("y0") - F.col("r")).alias("ay0"), (F.col("y1") + F.col("r")).alias("ay1"))
     b = c.select(*keys, "grid", F.col("ids").alias("ib"), F.col("xs").alias("xb"), F.col("ys").alias("yb"), *[F.col(v).alias("b" + v) for v in ("x0", "x1", "y0", "y1")])
@@ -80,7 +81,7 @@ def knn_self(points: DataFrame, k: int, x: str = "src_x", y: str = "src_y", iden
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 ia, ib = np.asarray(r.ia), np.asarray(r.ib)
-                d = np.hypot(np.asarray(r.xa)[:, None] - np.asarray(r.xb)[None, :], np.asarray(r.ya)[:, None] - np.asarray(r.yb)[None, :])
+                d = np.sqrt((np.asarray(r.xa)[:, None] - np.asarray(r.xb)[None, :]) ** 2 + (np.asarray(r.ya)[:, None] - np.asarray(r.yb)[None, :]) ** 2)
                 d[ia[:, None] == ib[None, :]] = np.inf
                 ids = np.broadcast_to(ib, d.shape)
                 order = np.lexsort((ids, d), axis=1)[:, :k]

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BINS = 4096
 TIE_BINS = 256
+FLAT_ROWS = 10000  # a bin of equal values larger than this is split on the tie column
 
 
 def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -65,21 +66,18 @@ def dense_index(df: DataFrame, keys: list[str], order: str, tie: str | None = No
     if tie:
         spec += [F.min(tie).alias("_tlo"), F.max(tie).alias("_thi")]
     ext = df.groupBy(*keys).agg(*spec)
-    rows = df.join(ext, keys).withColumn("_b", _bin(F.col(order), F.col("_lo"), F.col("_hi"), bins))
+    rows = df.join(ext, keys).withColumn("_b", _bin(F.col(order), F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
+    hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min(order).alias("_m0"), F.max(order).alias("_m1"))
+    flat = (F.col("_m0") == F.col("_m1")) & (F.col("_c") > FLAT_ROWS) if tie else F.lit(False)
+    starts = _starts(hist, keys, ["_b"]).select(*keys, "_b", "_before", "_n", flat.alias("_flat"))
+    placed = rows.join(starts, [*keys, "_b"])
+    part = [*keys, "_b"]
     if tie:
-        flat = (rows.groupBy(*keys, "_b").agg(F.min(order).alias("_m0"), F.max(order).alias("_m1"),
-                                              F.count(F.lit(1)).alias("_cnt"))
-                .where((F.col("_m0") == F.col("_m1")) & (F.col("_cnt") > 10000)).select(*keys, "_b", F.lit(1).alias("_flat")))
-        rows = (rows.join(flat, [*keys, "_b"], "left")
-                .withColumn("_t", F.when(F.col("_flat") == 1, _bin(F.col(tie), F.col("_tlo"), F.col("_thi"), TIE_BINS))
-                            .otherwise(F.lit(0)))
-                .drop("_flat", "_tlo", "_thi"))
-        part = ["_b", "_t"]
-    else:
-        part = ["_b"]
-    rows = rows.drop("_lo", "_hi")
-    starts = _starts(rows.groupBy(*keys, *part).agg(F.count(F.lit(1)).alias("_c")), keys, part).drop("_c")
-    w = Window.partitionBy(*keys, *part).orderBy(order, *([tie] if tie else []))
-    return (rows.join(starts, [*keys, *part])
-            .withColumn(out, F.col("_before") + F.row_number().over(w) - 1)
-            .drop("_before", *part))
+        placed = placed.withColumn("_t", F.when(F.col("_flat"), _bin(F.col(tie), F.col("_tlo"), F.col("_thi"), TIE_BINS)).otherwise(F.lit(0)))
+        part = [*part, "_t"]
+        hot = placed.where("_flat").groupBy(*part).agg(F.count(F.lit(1)).alias("_c"))
+        before = Window.partitionBy(*keys, "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.join(hot.select(*part, F.sum("_c").over(before).alias("_sub")), part, "left").withColumn(
+            "_before", F.col("_before") + F.coalesce("_sub", F.lit(0)))
+    w = Window.partitionBy(*part).orderBy(order, *([tie] if tie else []))
+    return placed.withColumn(out, F.col("_before") + F.row_number().over(w) - 1).drop("_before", "_b", "_t", "_flat", "_sub", "_tlo", "_thi")

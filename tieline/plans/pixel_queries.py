@@ -275,7 +275,7 @@ def _(t):
 
 
 @query("d34_slope_vs_residual", f"""
-WITH s AS (SELECT tile_id, row_no, col_no, degrees(atan(sqrt(d_row*d_row + d_col*d_col))) AS sl FROM ({grad_sql('{dem}', 'z', '5e0')}) g WHERE d_row IS NOT NULL AND d_col IS NOT NULL),
+WITH s AS (SELECT tile_id, row_no, col_no, round(degrees(atan(sqrt(d_row*d_row + d_col*d_col))), 9) AS sl FROM ({grad_sql('{dem}', 'z', '5e0')}) g WHERE d_row IS NOT NULL AND d_col IS NOT NULL),
  j AS (SELECT p.tile_id, r.residual_px AS x, sl AS y FROM {POINTS} p JOIN {{residuals}} r ON r.match_id = p.match_id JOIN s ON s.tile_id = p.tile_id AND s.row_no = round_even(p.y, 0) AND s.col_no = round_even(p.x, 0) WHERE residual_px <= 15),
  k AS (SELECT *, rank() OVER (PARTITION BY tile_id ORDER BY x) + (count(*) OVER (PARTITION BY tile_id, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY tile_id ORDER BY y) + (count(*) OVER (PARTITION BY tile_id, y) - 1) / 2e0 AS ry FROM j)
 SELECT tile_id, count(*) AS n, round(corr(x, y), 8) + 0.0 AS pearson_r, round(corr(rx, ry), 8) + 0.0 AS spearman_rho, round(avg(y), 5) AS mean_slope_deg FROM k GROUP BY tile_id""")
@@ -283,7 +283,7 @@ def _(t):
     from tieline.operators.controls import correlations
     from tieline.plans.tiepoint_queries import residuals
 
-    sl = P.slope(t.dem).where("slope_deg IS NOT NULL").withColumnRenamed("slope_deg", "s")
+    sl = P.slope(t.dem).where("slope_deg IS NOT NULL").withColumn("s", F.round("slope_deg", 9))
     p = P.sample_raster(points(t), sl, "nearest", "s").where("sampled IS NOT NULL")
     j = p.join(residuals(t).where("residual_px <= 15").select("match_id", "residual_px"), "match_id")
     c = correlations(j, "residual_px", "sampled", ["tile_id"])
