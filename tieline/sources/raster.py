@@ -95,6 +95,7 @@ class RawRaster(DataSource):
 
 def scan_raster(spark: SparkSession, path: str, storage: str, lines: int, samples: int, **options) -> DataFrame:
     """Line rows of one 2-D raster."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawRaster)
     return spark.read.format("rawraster").options(path=path, storage=storage, lines=lines, samples=samples, **options).load()
 

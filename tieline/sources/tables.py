@@ -37,8 +37,8 @@ def scan_tiepoints(spark: SparkSession, path: str, schema: str = TIEPOINT_SCHEMA
     return spark.read.schema(schema).option("comment", "#").option("header", True).csv(path)
 
 
-def scan_results_json(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Result arrays from several JSON files; files that do not exist count as empty."""
+def scan_results_json(spark: SparkSession, paths: list[str], schema: str, arrays: bool = True) -> DataFrame:
+    """Results from several JSON files (one array per file, or one object per line); absent files count as empty."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     def exists(p):
         q = jvm.org.apache.hadoop.fs.Path(p)
@@ -46,7 +46,7 @@ def scan_results_json(spark: SparkSession, paths: list[str], schema: str) -> Dat
     out = spark.createDataFrame([], schema)
     for p in paths:
         if exists(p):
-            out = out.unionByName(spark.read.schema(schema).option("multiLine", True).json(p), allowMissingColumns=True)
+            out = out.unionByName(spark.read.schema(schema).option("multiLine", arrays).json(p), allowMissingColumns=True)
     return out
 
 
