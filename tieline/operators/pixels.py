@@ -410,7 +410,7 @@ def shadow_mask(max_tan: str | Column, elevation_deg: float) -> Column:
 
 def horizon(dem: DataFrame, size: int, azimuth_deg: float, steps: int, spacing: float = 5.0) -> DataFrame:
     """Any azimuth: bilinear steps along the ray on tiles that carry a halo of `steps` rows (vectorised per tile)."""
-    dc, dr = float(np.sin(np.radians(azimuth_deg))), float(-np.cos(np.radians(azimuth_deg)))
+    dc, dr = (round(float(v), 12) + 0.0 for v in (np.sin(np.radians(azimuth_deg)), -np.cos(np.radians(azimuth_deg))))
     halo = min(size, int(np.ceil(steps * abs(dr))) + 1)
 
     def job(img: np.ndarray, r0: int) -> pd.DataFrame:
