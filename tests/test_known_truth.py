@@ -89,14 +89,20 @@ def skewed(spark, n=6000, seed=0):
     return pd.DataFrame({"g": g.astype("int64"), "id": np.arange(n, dtype="int64"), "v": v})
 
 
-def test_quantiles_of_a_hot_group(spark):
+@pytest.fixture(params=[1_000_000, 10])
+def group_rows(request, monkeypatch):
+    """Both ways: groups small enough for one task, and groups beyond the checked size."""
+    monkeypatch.setattr(R, "GROUP_ROWS", request.param)
+
+
+def test_quantiles_of_a_hot_group(spark, group_rows):
     pdf = skewed(spark)
     got = R.grouped_quantiles(spark.createDataFrame(pdf), ["g"], "v", {"a": 0.05, "m": 0.5, "z": 0.95}, bins=64).toPandas().set_index("g")
     for g, part in pdf.groupby("g"):
         np.testing.assert_allclose(got.loc[g, ["a", "m", "z"]].to_numpy(float), np.percentile(part.v, [5, 50, 95]))
 
 
-def test_positions_of_a_hot_group_with_equal_values(spark, monkeypatch):
+def test_positions_of_a_hot_group_with_equal_values(spark, monkeypatch, group_rows):
     monkeypatch.setattr(R, "FLAT_ROWS", 100)  # force the second split
     pdf = skewed(spark)
     got = R.dense_index(spark.createDataFrame(pdf), ["g"], "v", "id", bins=32).toPandas().set_index("id")
@@ -105,6 +111,19 @@ def test_positions_of_a_hot_group_with_equal_values(spark, monkeypatch):
     assert (got.groupby("g")["_n"].first() == pdf.groupby("g").size()).all()
 
 
+def test_ks_and_correlation_of_a_hot_group(spark, group_rows):
+    pdf = skewed(spark).assign(first=lambda d: d["id"] % 3 == 1, w=lambda d: d["v"] ** 2 + d["id"] % 7)
+    df = spark.createDataFrame(pdf)
+    ks = N.ks_2samp(df, "v", "first", ["g"]).toPandas().set_index("g")
+    cor = N.correlations(df, "v", "w", ["g"]).toPandas().set_index("g")
+    for g, p in pdf.groupby("g"):
+        a, b = np.sort(p.v[p["first"]]), np.sort(p.v[~p["first"]])
+        if len(a) and len(b):
+            at = np.concatenate([a, b])
+            assert ks.loc[g, "ks_d"] == pytest.approx(np.abs(np.searchsorted(a, at, "right") / len(a) - np.searchsorted(b, at, "right") / len(b)).max())
+        assert cor.loc[g, "spearman_rho"] == pytest.approx(p.v.rank().corr(p.w.rank()))
+
+
 def brute_knn(pdf, k):
     out = set()
     for g, p in pdf.groupby("pair_id"):

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tieline.fixed import INSTRUMENTS, INSTRUMENT_SCHEMA, MOON_RADIUS_KM, MOON_RADIUS_M
 from tieline.functions import geo as G
 from tieline.functions.transforms import let
+from tieline.session import spread
 
 
 def box_join(a: DataFrame, b: DataFrame, dims: list[tuple[str, str, str, str]], cell: float | Column, on: list[str] | None = None) -> DataFrame:
@@ -184,7 +185,7 @@ def polygon_overlap(a: DataFrame, b: DataFrame, pad_km: float = 15.0, max_lat_ga
             let(F.struct(edges(r["a"]).alias("a"), edges(r["b"]).alias("b")), test))
 
     rings = F.struct(inflate(ring(F.col("a_corners"), lat0, lon0), pad_km).alias("a"), ring(F.col("b_corners"), lat0, lon0).alias("b"))
-    return near.where(let(rings, touch)).select("a_id", "b_id")
+    return spread(near, "a_id", "b_id").where(let(rings, touch)).select("a_id", "b_id")
 
 
 def filter_products(df: DataFrame, max_mb: float) -> DataFrame:

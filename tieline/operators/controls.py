@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tieline.fixed import CONTROL_ARMS
 from tieline.functions.stats import correlation_p_value, ks_p_value
-from tieline.operators.ranking import dense_index, grouped_quantiles
+from tieline.operators import ranking
+from tieline.operators.ranking import dense_index, grouped_quantiles, largest_group
 
 
 def with_controls(runs: DataFrame, arms=("genuine", *CONTROL_ARMS)) -> DataFrame:
@@ -108,7 +109,11 @@ def correlations(df: DataFrame, x: str, y: str, keys: list[str], p_values: bool
 
 
 def running_start(counts: DataFrame, keys: list[str], value: str, weight: str, bins: int = 4096) -> DataFrame:
-    """Add `_start`: total weight of smaller values in the group, one row per distinct value, bin by bin."""
+    """Add `_start`: total weight of smaller values in the group, one row per distinct value, bin by bin when a
+    group has too many values for one task."""
+    if largest_group(counts, keys) <= ranking.GROUP_ROWS:
+        w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("_start", F.coalesce(F.sum(weight).over(w), F.lit(0)))
     ext = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
     b = F.when(span > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / span * bins))).otherwise(F.lit(0))

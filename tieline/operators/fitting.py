@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tieline.fixed import MIN_SAMPLES
 from tieline.operators.ranking import dense_index, grouped_quantiles
 from tieline.operators.tiepoints import assign_folds, hash_order, heldout_summary
-from tieline.session import cut_lineage
+from tieline.session import cut_lineage, spread
 
 # exponents of u and v, lower degrees first
 TERMS = [(0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (0, 2), (3, 0), (2, 1), (1, 2), (0, 3)]
@@ -213,7 +213,7 @@ def ransac(matches: DataFrame, kind: str = "similarity", thresh: float = 15.0, i
     blocks = idx.groupBy(*keys, F.floor(F.col("_rank") / BLOCK).alias("_blk")).agg(
         *[F.collect_list(c).alias(c) for c in ("_u", "_v", "_dx", "_dy")], F.max("_thr").alias("_thr"))
     chunks = fits.groupBy(*keys, F.floor(F.col("it") / CHUNK).alias("_chk")).agg(F.array_sort(F.collect_list(F.struct("it", "coef"))).alias("h"))
-    scored = blocks.join(chunks, keys).select(*keys, F.transform("h", lambda x: x["it"]).alias("its"), _count_inliers(kind)(
+    scored = spread(blocks.join(chunks, keys), *keys, "_blk", "_chk").select(*keys, F.transform("h", lambda x: x["it"]).alias("its"), _count_inliers(kind)(
         "_u", "_v", "_dx", "_dy", F.transform("h", lambda x: x["coef"]), "_thr").alias("cnt"))
     votes = scored.select(*keys, F.explode(F.arrays_zip("its", "cnt")).alias("z")).groupBy(*keys, F.col("z.its").alias("it")).agg(F.sum("z.cnt").alias("votes"))
     best = votes.groupBy(*keys).agg(F.max(F.struct("votes", -F.col("it"))).alias("b")).where(F.col("b.votes") >= k).select(*keys, (-F.col("b.col2")).alias("it"))

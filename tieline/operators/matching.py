@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tieline.operators.catalog import box_join
 from tieline.operators.ranking import dense_index, grouped_quantiles
-from tieline.session import cut_lineage
+from tieline.session import cut_lineage, spread
 
 CELL = 256
 BLOCK = 1024
@@ -29,6 +29,18 @@ def _spread_bits(v: Column) -> Column:
     return v
 
 
+def _nearest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, id and distance of the k smallest finite entries of each row; equal distances go to the lower id."""
+    kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+    row, at = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
+    dist, other = d[row, at], ids[at]
+    order = np.lexsort((other, dist, row))
+    row, other, dist = row[order], other[order], dist[order]
+    first = np.searchsorted(row, row)
+    keep = np.arange(len(row)) - first < k
+    return row[keep], other[keep], dist[keep]
+
+
 def point_cells(points: DataFrame, keys: list[str], x: str, y: str, ident: str, size: int = CELL) -> DataFrame:
     """Cut each group into cells of `size` to 2*size-1 points that are close together (Z-order runs).
 
@@ -71,7 +83,7 @@ def knn_self(points: DataFrame, k: int, x: str = "src_x", y: str = "src_y", iden
         return pd.Series(out)
 
     # both sides of the cell join read this table
-    c = cut_lineage(cells.withColumn("r", reach("xs", "ys") * (1 + 1e-9)))
+    c = cut_lineage(spread(cells, *keys, "cell").withColumn("r", reach("xs", "ys") * (1 + 1e-9)))
     a = c.select(*keys, "grid", F.col("ids").alias("ia"), F.col("xs").alias("xa"), F.col("ys").alias("ya"), (F.col("x0") - F.col("r")).alias("ax0"),
                  (F.col("x1") + F.col("r")).alias("ax1"), (F.col("y0") - F.col("r")).alias("ay0"), (F.col("y1") + F.col("r")).alias("ay1"))
     b = c.select(*keys, "grid", F.col("ids").alias("ib"), F.col("xs").alias("xb"), F.col("ys").alias("yb"), *[F.col(v).alias("b" + v) for v in ("x0", "x1", "y0", "y1")])
@@ -83,16 +95,13 @@ def knn_self(points: DataFrame, k: int, x: str = "src_x", y: str = "src_y", iden
                 ia, ib = np.asarray(r.ia), np.asarray(r.ib)
                 d = np.sqrt((np.asarray(r.xa)[:, None] - np.asarray(r.xb)[None, :]) ** 2 + (np.asarray(r.ya)[:, None] - np.asarray(r.yb)[None, :]) ** 2)
                 d[ia[:, None] == ib[None, :]] = np.inf
-                ids = np.broadcast_to(ib, d.shape)
-                order = np.lexsort((ids, d), axis=1)[:, :k]
-                dd = np.take_along_axis(d, order, 1)
-                ok = np.isfinite(dd)
-                out = pd.DataFrame({"id": np.broadcast_to(ia[:, None], dd.shape)[ok], "neighbour": np.take_along_axis(ids, order, 1)[ok], "distance": dd[ok]})
+                row, other, dist = _nearest(d, ib, k)
+                out = pd.DataFrame({"id": ia[row], "neighbour": other, "distance": dist})
                 for n, key in enumerate(keys):
                     out.insert(n, key, getattr(r, key))
                 yield out
 
-    rows = pairs.select(*keys, "ia", "xa", "ya", "ib", "xb", "yb").mapInPandas(best, f"{_key_schema(points, keys)}, id long, neighbour long, distance double")
+    rows = spread(pairs.select(*keys, "ia", "xa", "ya", "ib", "xb", "yb"), *keys, "ia", "ib").mapInPandas(best, f"{_key_schema(points, keys)}, id long, neighbour long, distance double")
     w = Window.partitionBy(*keys, "id").orderBy("distance", "neighbour")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -144,10 +153,8 @@ def _block_top(q: DataFrame, r: DataFrame, keys: list[str], k: int, value: str,
     pairs = _blocks(q, keys, value, "q").join(_blocks(r, keys, value, "r"), keys)
 
     def top(ia, ib, d):
-        ids = np.broadcast_to(ib, d.shape)
-        order = np.lexsort((ids, d), axis=1)[:, :k]
-        n = order.shape[1]
-        return np.repeat(ia, n), np.take_along_axis(ids, order, 1).ravel(), np.take_along_axis(d, order, 1).ravel()
+        row, other, dist = _nearest(d, ib, k)
+        return ia[row], other, dist
 
     def run(batches):
         for pdf in batches:
@@ -163,7 +170,7 @@ def _block_top(q: DataFrame, r: DataFrame, keys: list[str], k: int, value: str,
                         out.insert(n, key, getattr(row, key))
                     yield out
 
-    return pairs.repartition(*keys, "q_ids", "r_ids").mapInPandas(run, f"{_key_schema(q, keys)}, side string, id long, other long, distance double")
+    return spread(pairs, *keys, "q_ids", "r_ids").mapInPandas(run, f"{_key_schema(q, keys)}, side string, id long, other long, distance double")
 
 
 def descriptor_knn(q: DataFrame, r: DataFrame, k: int = 2, value: str = "descriptor", metric: str = "l2", keys=("pair_id",)) -> DataFrame:

@@ -1,19 +1,26 @@
-"""Exact ranks and quantiles per group that never bring a whole group to one task.
+"""Exact ranks and quantiles per group that never bring an unbounded group to one task.
 
-A group (one pair, one run) may hold a third of all rows, so `percentile` and `row_number` over the group are
-not used for unbounded groups. Rows are spread over value bins, bin counts give every bin's starting rank (at
-most BINS rows per group), and only rows of one bin are ordered together.
+A group (one pair, one run) may hold a third of all rows, so the size of the largest group is checked first (one
+map-side combined count). While every group stays within GROUP_ROWS, the built-in percentile and row_number run
+in one shuffle. Beyond that, rows are spread over value bins, bin counts give every bin's starting rank (at most
+BINS rows per group), and only rows of one bin are ordered together. Both ways give the same rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+GROUP_ROWS = 1_000_000  # largest group that one task sorts
 BINS = 4096
 TIE_BINS = 256
 FLAT_ROWS = 10000  # a bin of equal values larger than this is split on the tie column
 
 
+def largest_group(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the largest group (runs a job: one number per map task and group reaches the shuffle)."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
 def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     w = hi - lo
     return F.when(w > 0, F.least(F.lit(bins - 1), F.floor((v - lo) / w * bins))).otherwise(F.lit(0)).cast("int")
@@ -27,12 +34,19 @@ def _starts(hist: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, float], bins: int = BINS) -> DataFrame:
-    """Exact linearly interpolated quantiles: one row per group with the columns named in `probs`."""
+    """Exact linearly interpolated quantiles: one row per group with the columns named in `probs`.
+
+    Null values are left out (NaN becomes null at ingest). Pass `F.when(cond, v)` rather than a filtered input: the
+    condition then is not copied into join conditions, and the size check reads the keys only.
+    """
     v = F.col(value) if isinstance(value, str) else value
-    base = df.select(*keys, v.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    keys = keys or ["_all"]
-    if keys == ["_all"]:
-        base = base.withColumn("_all", F.lit(0))
+    if not keys:
+        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
+    base = df.select(*keys, v.cast("double").alias("_v"))
+    if largest_group(df, keys) <= GROUP_ROWS:
+        q = base.groupBy(*keys).agg(F.percentile("_v", [float(p) for p in probs.values()]).alias("_q"))
+        return q.select(*[k for k in keys if k != "_all"], *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+    base = base.where(F.col("_v").isNotNull())
     ext = base.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     binned = base.join(ext, keys).select(*keys, "_v", _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins).alias("_b"))
     # ties collapse here: many copies of one value become one row
@@ -62,6 +76,9 @@ def dense_index(df: DataFrame, keys: list[str], order: str, tie: str | None = No
     Only a bin's rows meet in one task. A bin whose rows all share one order value is split again on the tie
     column, so a group of equal values does not end up in one task either.
     """
+    if largest_group(df, keys) <= GROUP_ROWS:
+        return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumn(
+            out, (F.row_number().over(Window.partitionBy(*keys).orderBy(order, *([tie] if tie else []))) - 1).cast("bigint"))
     spec = [F.min(order).alias("_lo"), F.max(order).alias("_hi")]
     if tie:
         spec += [F.min(tie).alias("_tlo"), F.max(tie).alias("_thi")]

@@ -35,7 +35,7 @@ def residual_stats(res: DataFrame, units: DataFrame, gate: float = 15.0) -> Data
     base = res.groupBy("pair_id").agg(
         F.count(F.lit(1)).alias("n_matches"), F.count(inl).alias("n_inliers"),
         F.sqrt(F.avg(inl * inl)).alias("rmse_cpx"), F.max(inl).alias("max_cpx"))
-    q = grouped_quantiles(res.where(r <= gate), ["pair_id"], "residual_px", {"median_cpx": 0.5, "p95_cpx": 0.95})
+    q = grouped_quantiles(res, ["pair_id"], inl, {"median_cpx": 0.5, "p95_cpx": 0.95})
     out = base.join(q, "pair_id", "left").join(units.select("pair_id", "native_factor", "canvas_gsd"), "pair_id", "left")
     cols = []
     for m in ("rmse", "max", "median", "p95"):
@@ -254,7 +254,7 @@ def heldout_summary(res: DataFrame, keys: list[str], trim: float = 3.0, r: str =
     base = res.groupBy(*keys).agg(
         F.count(v).alias("n_heldout"), *[F.avg((v < t).cast("double")).alias(f"frac_within_{t}px") for t in (1, 2, 3)],
         F.count(kept).alias("n_within_trim"), F.sqrt(F.avg(kept * kept)).alias("rmse_within_trim_px"))
-    q = grouped_quantiles(res.where(v < trim), keys, r, {
+    q = grouped_quantiles(res, keys, kept, {
         "median_within_trim_px": 0.5, "p68_within_trim_px": 0.68, "p95_within_trim_px": 0.95})
     return base.join(q, keys, "left")
 

@@ -29,3 +29,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path on the shared checkpoint storage."""
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *cols) -> DataFrame:
+    """Hash rows over all shuffle partitions before NumPy work. The explicit number keeps adaptive execution from
+    merging a few small but costly rows (cells, blocks, tiles) into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
