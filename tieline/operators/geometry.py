@@ -35,7 +35,7 @@ def nearest_geo(b: DataFrame, a: DataFrame, max_km: float) -> DataFrame:
 
 
 def common_region(b: DataFrame, a: DataFrame, max_km: float) -> DataFrame:
-    """Scan and pixel windows of the shared area in both products, and the closest pair."""
+    """Scan and pixel windows of the shared area in both products, and the closest pair; no row without overlap."""
     n = nearest_geo(b, a, max_km)
     closest = F.min(F.struct("distance_km", "b_scan", "b_pixel", "a_scan", "a_pixel", "a_lat", "a_lon"))
     windows = [f(c).alias(f"{c}_{f.__name__}") for c in ("a_scan", "a_pixel", "b_scan", "b_pixel") for f in (F.min, F.max)]
@@ -43,7 +43,7 @@ def common_region(b: DataFrame, a: DataFrame, max_km: float) -> DataFrame:
         F.count(F.lit(1)).alias("n_overlap"), *windows,
         F.least(F.min("a_lat"), F.min("b_lat")).alias("lat_min"), F.greatest(F.max("a_lat"), F.max("b_lat")).alias("lat_max"),
         F.least(F.min("a_lon"), F.min("b_lon")).alias("lon_min"), F.greatest(F.max("a_lon"), F.max("b_lon")).alias("lon_max"),
-        closest.alias("c"))
+        closest.alias("c")).where("n_overlap > 0")
     return out.select("*", F.col("c.distance_km").alias("min_distance_km"), F.col("c.a_scan").alias("center_a_scan"),
                       F.col("c.a_pixel").alias("center_a_pixel"), F.col("c.b_scan").alias("center_b_scan"),
                       F.col("c.b_pixel").alias("center_b_pixel"), F.col("c.a_lat").alias("center_lat"),

@@ -372,7 +372,7 @@ def _(t):
 WITH {NEAR} SELECT count(*) AS n_overlap, min(a_scan) AS a_scan_min, max(a_scan) AS a_scan_max, min(a_pixel) AS a_pixel_min, max(a_pixel) AS a_pixel_max,
   min(b_scan) AS b_scan_min, max(b_scan) AS b_scan_max, min(b_pixel) AS b_pixel_min, max(b_pixel) AS b_pixel_max,
   round(least(min(a_lat), min(b_lat)), 6) AS lat_min, round(greatest(max(a_lat), max(b_lat)), 6) AS lat_max,
-  round(least(min(a_lon), min(b_lon)), 6) AS lon_min, round(greatest(max(a_lon), max(b_lon)), 6) AS lon_max, round(min(d), 6) AS min_distance_km FROM near""")
+  round(least(min(a_lon), min(b_lon)), 6) AS lon_min, round(greatest(max(a_lon), max(b_lon)), 6) AS lon_max, round(min(d), 6) AS min_distance_km FROM near HAVING count(*) > 0""")
 def _(t):
     c = Y.common_region(t.geometry_b, t.geometry_a, 1.0)
     return rounded(c.drop("center_a_scan", "center_a_pixel", "center_b_scan", "center_b_pixel", "center_lat", "center_lon"))
