@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the shared folder the cluster names; fall back to a scratch folder only when none is set."""
+    """The shared folder the cluster names in spark.checkpoint.dir (or one set on the context). Only a local session,
+    whose driver and executors are one process, gets a scratch folder where none is set."""
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = configured or tempfile.mkdtemp(prefix="tieline-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tieline-checkpoint-")
     sc.setCheckpointDir(folder)
-    return folder
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
