@@ -15,7 +15,7 @@ from tieline.session import shared_path
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has letters and is close enough to a language learned from the labelled rows; others go."""
     profiles = language.train_profiles(language.training_rows(docs))
-    return language.keep_languages(docs, profiles, least=0.2)
+    return language.keep_languages(docs, profiles, least=0.05)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

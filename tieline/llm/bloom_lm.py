@@ -21,6 +21,7 @@ from tieline.llm.common import WordHashes, as_bytes, mix, pick, pieces, stored
 
 WORD_SHARE, CONTEXT_SHARE, PAIR_SHARE = 2.0 ** -20, 2.0 ** -16, 2.0 ** -24
 BITS_PER_ENTRY, PROBES, CHUNK_BITS, END = 10, 5, 1 << 20, b"\n"
+BACKOFF = 0.1  # share of a word's count that is kept for pairs not seen
 
 
 @dataclass
@@ -159,7 +160,7 @@ def train_model(docs: DataFrame, text: str = "text") -> Model:
     h, c = np.array(often["h"], np.int64).view(np.uint64), np.array(often["c"], np.int64)
     order = np.argsort(h)
     h, c = h[order], c[order]
-    contexts = h[c >= n * CONTEXT_SHARE]
+    contexts, held = h[c >= n * CONTEXT_SHARE], c[c >= n * CONTEXT_SHARE]
     pairs = count_pairs(texts, spark.sparkContext.broadcast(contexts)).where(F.col("c") >= n * PAIR_SHARE)
     pairs = stored(pairs.withColumn("level", level_of(F.col("c"), max(n, 1) * PAIR_SHARE)), "pairs")
     estimate = F.lit(1.5 * n * PAIR_SHARE) * F.pow(F.lit(2.0), F.col("level") - 1)
@@ -174,7 +175,7 @@ def train_model(docs: DataFrame, text: str = "text") -> Model:
     bits = build_filter(entries, chunks) if chunks else b""
     levels = np.floor(np.log2(c / (max(n, 1) * WORD_SHARE)) + 1e-12)
     rare = max(n - int(c.sum()), 1)
-    parts = {"h": h, "c": c, "contexts": contexts, "est": est, "rest": np.maximum(c[c >= n * CONTEXT_SHARE] - seen, 0) + 1.0, "bits": bits, "chunks": chunks,
+    parts = {"h": h, "c": c, "contexts": contexts, "est": est, "rest": np.maximum(held - seen, 0) + BACKOFF * held, "bits": bits, "chunks": chunks,
              "word_cut": n * WORD_SHARE, "pair_cut": n * PAIR_SHARE, "rare": rare / (v - len(h) + 1), "mass": float((1.5 * n * WORD_SHARE * 2.0 ** levels).sum() + rare)}
     return Model(n, v, counts, spark.sparkContext.broadcast(parts))
 
@@ -185,7 +186,7 @@ def score_texts(docs: DataFrame, model: Model, keep: dict[str, Column], text: st
     base_score is the sum over the text's words and its end of log10((c + 0.1) / (N + 0.1 (V + 1))) with exact training
     counts c; n_known counts tokens with c > 0. score is the model's log10 probability: the sum of log10 p(word | word
     before), where p mixes the pair's count, read from the filter, with the word's own probability by the mass that the
-    word before leaves to pairs below the cut-off; words below theirs share the mass of all such words. Words are
+    word before leaves to pairs below the cut-off (plus BACKOFF of its count); words below theirs share the mass of all such words. Words are
     told apart by 64-bit hashes. Null and blank texts have one token, the end. An untrained model scores 0 for base."""
     shared, n, v = model.shared, model.tokens, model.types
     import math
