@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tieline.session import shared_path
@@ -50,6 +51,34 @@ def as_bytes(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, F.col(text).cast("binary"))
 
 
+BITMAP_WORDS = 1 << 18
+
+
+def slot(*columns: str) -> Column:
+    """Place of a row's key in a bitmap of 2^24 bits."""
+    return F.pmod(F.xxhash64(*columns), F.lit(BITMAP_WORDS * 64))
+
+
+def bitmap(keys: DataFrame, *columns: str) -> Broadcast:
+    """A bitmap of 2 MB, whatever the number of keys, in which each key's place is set. It says of a row that its key is
+    surely not among them, or may be; with very many keys it lets more rows pass to the exact join behind it."""
+    import numpy as np
+
+    words = keys.select(slot(*columns).alias("s")).selectExpr("CAST(shiftright(s, 6) AS INT) AS w", "shiftleft(1L, CAST(s & 63 AS INT)) AS b")
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(BITMAP_WORDS, np.int64)
+    bits[np.array(rows["w"], np.int64)] = np.array(rows["b"], np.int64)
+    return keys.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+
+def held(bits: bytes, slots):
+    """Which of the slots (array of places) are set."""
+    import numpy as np
+
+    words = np.frombuffer(bits, np.int64)
+    return (words[slots >> 6] >> (slots & 63)) & 1 == 1
+
+
 class WordHashes:
     """64-bit hashes of words, remembered for the frequent ones of a task."""
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tieline.llm.common import WordHashes, as_bytes, gram_hashes, pick, pieces, stored, text_key
+from tieline.llm.common import BITMAP_WORDS, WordHashes, as_bytes, bitmap, gram_hashes, held, pick, pieces, slot, stored, text_key
 
 WINDOW, GRAM = 10, 5
 
@@ -127,20 +127,40 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
     and empty texts have no words; repeated rows are judged alike, each on its own row; an empty table on either side
     gives no hits."""
     docs = pick(docs, "doc_id", "text")
-    hits = find_candidates(docs, items, window, gram)
-    base = docs.withColumn("key", text_key(F.col("text")))
-    joined = base.alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.key") == F.col("h.key")), "left")
-    table = _word_table()
+    return _judge(docs, find_candidates(docs, items, window, gram))
+
+
+def _judge(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """Extend the candidates. All texts are counted where they are read; only texts that may have a candidate (by a
+    bitmap of fixed size) travel to the join with the candidates."""
+    table, bits = _word_table(), bitmap(hits, "doc_id", "key")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for lo, hi in pieces(b.column(3)):
+                maybe = held(bits.value, np.array(b.column(2).slice(lo, hi - lo)))
+                texts = b.column(3).slice(lo, hi - lo).to_pylist()
+                counts = [len(t.translate(table).split()) if t else 0 for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(counts, pa.int64()),
+                                                  pa.array([t if m else None for t, m in zip(texts, maybe)], pa.binary())], ["doc_id", "key", "n_words", "text"])
+
+    rows = docs.withColumn("key", text_key(F.col("text"))).select("doc_id", "key", slot("doc_id", "key").alias("slot"), F.col("text").cast("binary").alias("text"))
+    counted = rows.mapInArrow(count, f"doc_id {kind}, key bigint, n_words bigint, text binary")
+    joined = counted.alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.key") == F.col("h.key")), "left")
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for lo, hi in pieces(b.column(2)):
+            for lo, hi in pieces(b.column(3)):
                 rows = []
-                for raw, cand in zip(b.column(2).slice(lo, hi - lo).to_pylist(), b.column(3).slice(lo, hi - lo).to_pylist()):
-                    words = raw.translate(table).split() if raw else []
-                    spans, names, total = [], set(), 0
+                for raw, cand in zip(b.column(3).slice(lo, hi - lo).to_pylist(), b.column(4).slice(lo, hi - lo).to_pylist()):
+                    words = raw.translate(table).split() if cand else []
+                    spans, names = [], set()
                     for c in sorted(cand or (), key=lambda c: c["start"]):
                         want = c["words"].split(b" ")
                         i, j = c["start"], c["start"] + len(want)
@@ -151,21 +171,41 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram:
                             else:
                                 spans.append({"start": i, "stop": j})
                     total = sum(s["stop"] - s["start"] for s in spans)
-                    rows.append((len(words), total, spans, sorted(names), total > 0))
-                cols = list(zip(*rows))
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string()), pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]],
+                    rows.append((total, spans, sorted(names), total > 0))
+                kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[:3]], *[pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]],
                                                  ["doc_id", "text_key", "n_words", "n_hit", "spans", "items", "contaminated"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = joined.select("d.doc_id", "d.key", F.col("d.text").cast("binary").alias("text"), "h.hits")
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, n_words bigint, n_hit bigint, spans array<struct<start:int,stop:int>>, items array<string>, contaminated boolean")
+    return joined.select("d.doc_id", "d.key", "d.n_words", "d.text", "h.hits").mapInArrow(
+        run, f"doc_id {kind}, text_key bigint, n_words bigint, n_hit bigint, spans array<struct<start:int,stop:int>>, items array<string>, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Rows of docs (all columns) that share no window with the benchmark; other rows pass unchanged."""
     hits = find_candidates(pick(docs, "doc_id", "text"), items, window, gram)
-    few = pick(docs, "doc_id", "text").join(hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")),
-                                            F.col("doc_id").eqNullSafe(F.col("_id")) & (text_key(F.col("text")) == F.col("_key")), "left_semi")
-    bad = stored(contamination(few, items, window, gram).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (text_key(docs["text"]) == F.col("_key")), "left_anti")
+    few, _ = split_by(docs, hits)
+    bad = _judge(pick(few, "doc_id", "text"), hits).where("contaminated").select("doc_id", F.col("text_key").alias("key")).distinct()
+    bad = stored(bad, "contaminated")
+    some, others = split_by(docs, bad)
+    gone = bad.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    return others.unionByName(some.join(gone, some["doc_id"].eqNullSafe(F.col("_id")) & (text_key(some["text"]) == F.col("_key")), "left_anti"))
+
+
+def split_by(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs whose (doc_id, text key) may be among the keys, and those for which it surely is not."""
+    bits = bitmap(keys, "doc_id", "key")
+
+    rows = docs.select("*", F.pmod(F.xxhash64(docs["doc_id"], text_key(docs["text"])), F.lit(BITMAP_WORDS * 64)).alias("_slot_"))
+
+    def part(wanted):
+        def run(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            for b in batches:
+                keep = held(bits.value, np.array(b.column(b.num_columns - 1))) == wanted
+                yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(keep))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    return part(True), part(False)
