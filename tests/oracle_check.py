@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from pathlib import Path
@@ -14,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 DATA = "/root/testdata"
 
 
-def session(cpus: int = 8):
+def session(cpus: int = int(os.environ.get("TEST_CPUS", "8"))):
     from pyspark.sql import SparkSession
 
     return (SparkSession.builder.master(f"local[{cpus}]").appName("tieline-tests")

@@ -82,51 +82,50 @@ def box_corners(df: DataFrame) -> DataFrame:
     return df.withColumn("corners", F.array(c("max_lat", "min_lon"), c("max_lat", "max_lon"), c("min_lat", "max_lon"), c("min_lat", "min_lon")))
 
 
-def _orient(p, q, r) -> Column:
-    v = (q["y"] - p["y"]) * (r["x"] - q["x"]) - (q["x"] - p["x"]) * (r["y"] - q["y"])
-    return F.when(F.abs(v) < 1e-12, 0).when(v > 0, 1).otherwise(2)
+def edges(ring: Column) -> Column:
+    """Edges of a ring: start (x, y), direction (u, v)."""
+    return F.transform(ring, lambda p, i: let(F.get(ring, (i + 1) % F.size(ring)), lambda q: F.struct(
+        p["x"].alias("x"), p["y"].alias("y"), (q["x"] - p["x"]).alias("u"), (q["y"] - p["y"]).alias("v"))))
 
 
-def _on_segment(p, q, r) -> Column:
-    e = 1e-9
-    return ((q["x"] >= F.least(p["x"], r["x"]) - e) & (q["x"] <= F.greatest(p["x"], r["x"]) + e)
-            & (q["y"] >= F.least(p["y"], r["y"]) - e) & (q["y"] <= F.greatest(p["y"], r["y"]) + e))
+def _side(e, x, y) -> Column:
+    """Twice the signed area of an edge and a point: which side of the edge's line the point is on."""
+    return e["u"] * (y - e["y"]) - e["v"] * (x - e["x"])
 
 
-def segments_cross(s, t) -> Column:
-    p1, q1, p2, q2 = s["p"], s["q"], t["p"], t["q"]
-    o1, o2, o3, o4 = _orient(p1, q1, p2), _orient(p1, q1, q2), _orient(p2, q2, p1), _orient(p2, q2, q1)
-    return (((o1 != o2) & (o3 != o4)) | ((o1 == 0) & _on_segment(p1, p2, q1)) | ((o2 == 0) & _on_segment(p1, q2, q1))
-            | ((o3 == 0) & _on_segment(p2, p1, q2)) | ((o4 == 0) & _on_segment(p2, q1, q2)))
+def edges_meet(s, t) -> Column:
+    """Neither edge has the other wholly on one side of its line, and their boxes touch (which decides edges on one line)."""
+    def split(a, b):
+        return _side(a, b["x"], b["y"]) * _side(a, b["x"] + b["u"], b["y"] + b["v"]) <= 0
 
+    def boxes(at, way):
+        return (F.greatest(s[at], s[at] + s[way]) >= F.least(t[at], t[at] + t[way])) & (F.greatest(t[at], t[at] + t[way]) >= F.least(s[at], s[at] + s[way]))
 
-def edges(ring: Column) -> Column:
-    turned = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
-    return F.zip_with(ring, turned, lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    return boxes("x", "u") & boxes("y", "v") & split(s, t) & split(t, s)
 
 
-def point_in_ring(pt: Column, edge_list: Column) -> Column:
-    def hit(e):
-        p, q = e["p"], e["q"]
-        at = (q["x"] - p["x"]) * (pt["y"] - p["y"]) / (q["y"] - p["y"]) + p["x"]
-        return ((p["y"] > pt["y"]) != (q["y"] > pt["y"])) & (pt["x"] < at)
+def winding(pt: Column, edge_list: Column) -> Column:
+    """How often a ring turns around a point: upward edges with the point on their left less downward ones on their right."""
+    def turn(e):
+        up = (e["y"] <= pt["y"]) & (e["y"] + e["v"] > pt["y"])
+        down = (e["y"] > pt["y"]) & (e["y"] + e["v"] <= pt["y"])
+        at = _side(e, pt["x"], pt["y"])
+        return F.when(up & (at > 0), 1).when(down & (at < 0), -1).otherwise(0)
 
-    return F.size(F.filter(edge_list, hit)) % 2 == 1
+    return F.aggregate(F.transform(edge_list, turn), F.lit(0), lambda a, b: a + b)
 
 
-def inflate(ring: Column, pad: float) -> Column:
-    """Push every corner away from the centroid by `pad`."""
-    def centre(r, f):
-        return F.aggregate(r, F.lit(0.0), lambda s, p: s + p[f]) / F.size(r)
+def widen(ring: Column, pad: float) -> Column:
+    """Every corner moved `pad` further along its direction from the ring's mean point."""
+    def mean(r, f):
+        return F.aggregate(F.transform(r, lambda p: p[f]), F.lit(0.0), lambda a, b: a + b) / F.size(r)
 
-    def push(p, c):
-        dx, dy = p["x"] - c["x"], p["y"] - c["y"]
-        return let(F.sqrt(dx * dx + dy * dy), lambda d: let(
-            F.when(d < 1e-9, 1.0).otherwise((d + pad) / d),
-            lambda s: F.struct((c["x"] + dx * s).alias("x"), (c["y"] + dy * s).alias("y"))))
+    def moved(p, mx, my):
+        return let(F.hypot(p["x"] - mx, p["y"] - my), lambda far: F.struct(
+            (p["x"] + F.when(far > 1e-9, (p["x"] - mx) * pad / far).otherwise(0.0)).alias("x"),
+            (p["y"] + F.when(far > 1e-9, (p["y"] - my) * pad / far).otherwise(0.0)).alias("y")))
 
-    return let(ring, lambda r: let(F.struct(centre(r, "x").alias("x"), centre(r, "y").alias("y")),
-                                   lambda c: F.transform(r, lambda p: push(p, c))))
+    return let(ring, lambda r: let(F.array(mean(r, "x"), mean(r, "y")), lambda m: F.transform(r, lambda p: moved(p, m[0], m[1]))))
 
 
 def _reach(df: DataFrame, factor: float, pad: float) -> DataFrame:
@@ -138,7 +137,7 @@ def _reach(df: DataFrame, factor: float, pad: float) -> DataFrame:
 
 
 def polygon_overlap(a: DataFrame, b: DataFrame, pad_km: float = 15.0, max_lat_gap: float = 25.0, cell_km: float = 200.0) -> DataFrame:
-    """Pairs (a, b) whose polygons overlap in a local plane about a's first corner, a's ring inflated by `pad_km`.
+    """Pairs (a, b) whose polygons overlap in a local plane about a's first corner, a's ring widened by `pad_km`.
 
     Inputs carry product_id, corners and lat_c. Candidates come from a grid join in 3-D position, which has no
     seam and no polar special case. Bound used: distances from the plane's origin are true distances; an edge of
@@ -174,8 +173,8 @@ def polygon_overlap(a: DataFrame, b: DataFrame, pad_km: float = 15.0, max_lat_ga
 
     def touch(r):
         def test(e):
-            cross = F.exists(e["a"], lambda s: F.exists(e["b"], lambda t: segments_cross(s, t)))
-            return (cross | point_in_ring(F.element_at(r["a"], 1), e["b"]) | point_in_ring(F.element_at(r["b"], 1), e["a"]))
+            meet = F.exists(e["a"], lambda s: F.exists(e["b"], lambda t: edges_meet(s, t)))
+            return meet | (winding(F.element_at(r["a"], 1), e["b"]) != 0) | (winding(F.element_at(r["b"], 1), e["a"]) != 0)
 
         def apart_on(f):
             a, b = F.transform(r["a"], lambda p: p[f]), F.transform(r["b"], lambda p: p[f])
@@ -184,7 +183,7 @@ def polygon_overlap(a: DataFrame, b: DataFrame, pad_km: float = 15.0, max_lat_ga
         return F.when(apart_on("x") | apart_on("y"), False).otherwise(
             let(F.struct(edges(r["a"]).alias("a"), edges(r["b"]).alias("b")), test))
 
-    rings = F.struct(inflate(ring(F.col("a_corners"), lat0, lon0), pad_km).alias("a"), ring(F.col("b_corners"), lat0, lon0).alias("b"))
+    rings = F.struct(widen(ring(F.col("a_corners"), lat0, lon0), pad_km).alias("a"), ring(F.col("b_corners"), lat0, lon0).alias("b"))
     return spread(near, "a_id", "b_id").where(let(rings, touch)).select("a_id", "b_id")
 
 

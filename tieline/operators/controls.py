@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tieline.fixed import CONTROL_ARMS
 from tieline.functions.stats import correlation_p_value, ks_p_value
-from tieline.operators import ranking
-from tieline.operators.ranking import dense_index, grouped_quantiles, largest_group
+from tieline.operators.ranking import dense_index, grouped_quantiles, running_total
 
 
 def with_controls(runs: DataFrame, arms=("genuine", *CONTROL_ARMS)) -> DataFrame:
@@ -89,7 +88,7 @@ def correlations(df: DataFrame, x: str, y: str, keys: list[str], p_values: bool
 
     def avg_rank(col_name: str, out: str) -> DataFrame:
         counts = per_pair.groupBy(*keys, col_name).agg(F.sum("_w").alias("_k"))
-        return running_start(counts, keys, col_name, "_k").select(
+        return running_total(counts, keys, [col_name], "_k").select(
             *keys, col_name, (F.col("_start") + (F.col("_k") + 1) / 2).alias(out))
 
     ranked = per_pair.join(avg_rank("_x", "_rx"), [*keys, "_x"]).join(avg_rank("_y", "_ry"), [*keys, "_y"])
@@ -108,32 +107,14 @@ def correlations(df: DataFrame, x: str, y: str, keys: list[str], p_values: bool
     return out
 
 
-def running_start(counts: DataFrame, keys: list[str], value: str, weight: str, bins: int = 4096) -> DataFrame:
-    """Add `_start`: total weight of smaller values in the group, one row per distinct value, bin by bin when a
-    group has too many values for one task."""
-    if largest_group(counts, keys) <= ranking.GROUP_ROWS:
-        w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return counts.withColumn("_start", F.coalesce(F.sum(weight).over(w), F.lit(0)))
-    ext = counts.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    span = F.col("_hi") - F.col("_lo")
-    b = F.when(span > 0, F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_lo")) / span * bins))).otherwise(F.lit(0))
-    rows = counts.join(ext, keys).withColumn("_b", b.cast("int")).drop("_lo", "_hi")
-    hist = rows.groupBy(*keys, "_b").agg(F.sum(weight).alias("_c"))
-    over_bins = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = hist.withColumn("_b0", F.coalesce(F.sum("_c").over(over_bins), F.lit(0))).drop("_c")
-    in_bin = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(starts, [*keys, "_b"]).withColumn(
-        "_start", F.col("_b0") + F.coalesce(F.sum(weight).over(in_bin), F.lit(0))).drop("_b", "_b0")
-
-
 def ks_2samp(df: DataFrame, value: str, sample: str, keys: list[str], p_value: bool = False) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance per group. `sample` is a boolean: True marks the first sample."""
     first, second = F.col(sample), ~F.col(sample)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
         F.count_if(first).alias("_k1"), F.count_if(second).alias("_k2"))
     totals = counts.groupBy(*keys).agg(F.sum("_k1").alias("n1"), F.sum("_k2").alias("n2"))
-    one = running_start(counts, keys, "_v", "_k1").withColumn("_c1", F.col("_start") + F.col("_k1")).drop("_start")
-    both = running_start(one, keys, "_v", "_k2").withColumn("_c2", F.col("_start") + F.col("_k2")).join(totals, keys)
+    one = running_total(counts, keys, ["_v"], "_k1").withColumn("_c1", F.col("_start") + F.col("_k1")).drop("_start", "_total")
+    both = running_total(one, keys, ["_v"], "_k2").withColumn("_c2", F.col("_start") + F.col("_k2")).drop("_total").join(totals, keys)
     out = both.groupBy(*keys).agg(
         F.first("n1").alias("n1"), F.first("n2").alias("n2"),
         F.max(F.abs(F.try_divide("_c1", "n1") - F.try_divide("_c2", "n2"))).alias("ks_d"))
@@ -164,11 +145,14 @@ def parallax_check(model: DataFrame, dx_dcol, dx_drow, dy_dcol, dy_drow) -> Data
         "emission_fitted_deg", F.degrees(F.atan(F.sqrt(gx * gx + gy * gy))))
 
 
-def frame_jacobian(frame: DataFrame) -> DataFrame:
+def frame_jacobian(frame: DataFrame, size: int | None = None) -> DataFrame:
     """Median spacing of map coordinates along samples and lines of a tile's frame (map_x, map_y per pixel)."""
-    from tieline.operators.pixels import by_tile, neighbour
+    from tieline.operators.pixels import by_tile, neighbour, seamless
+
+    def steps(d):
+        d = by_tile(d)
+        for m in ("map_x", "map_y"):
+            d = d.withColumn(f"{m}_dcol", neighbour(m, "col_no", 1, "row_no") - F.col(m)).withColumn(f"{m}_drow", neighbour(m, "row_no", 1, "col_no") - F.col(m))
+        return d
 
-    d = by_tile(frame)
-    for m in ("map_x", "map_y"):
-        d = d.withColumn(f"{m}_dcol", neighbour(m, "col_no", 1, "row_no") - F.col(m)).withColumn(f"{m}_drow", neighbour(m, "row_no", 1, "col_no") - F.col(m))
-    return d.groupBy("tile_id").agg(*[F.median(f"{m}_{a}").alias(f"{m}_{a}") for m in ("map_x", "map_y") for a in ("dcol", "drow")])
+    return seamless(frame, size, 1, steps).groupBy("tile_id").agg(*[F.median(f"{m}_{a}").alias(f"{m}_{a}") for m in ("map_x", "map_y") for a in ("dcol", "drow")])

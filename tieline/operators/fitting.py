@@ -309,22 +309,33 @@ def _design(pdf: pd.DataFrame, nb: int) -> np.ndarray:
     return x
 
 
-def _select_lambda(g, xy, dd, n, nb, relief, p):
-    """GCV over lambda from the Gram sums: (lambda, coefficients)."""
-    d1 = np.diff(np.eye(nb), n=2, axis=0)
-    pen = np.kron(np.eye(3), d1.T @ d1)
-    s = slice(0, 3 * nb)
-    gs, rhs = g[s, s], xy[s] - np.outer(g[s, -1], p)
-    yy = dd - 2 * p @ xy[-1] + (p @ p) * g[-1, -1]
-    best = None
-    for lam in 10.0 ** np.arange(-3, 4):
-        inv = np.linalg.inv(gs + lam * pen + 1e-9 * np.eye(3 * nb))
-        c = inv @ rhs
-        rss = max(float(yy - 2 * (c * rhs).sum() + (c * (gs @ c)).sum()), 0.0)
-        gcv = n * rss / max(n - float(np.trace(gs @ inv)), 1.0) ** 2
-        if best is None or gcv < best[0]:
-            best = (gcv, lam, c)
-    return best[1], best[2], pen
+LAMBDAS = 10.0 ** np.arange(-3, 4)
+
+
+class PenalisedGram:
+    """Least squares from Gram sums with a second-difference penalty on each of three coefficient blocks.
+
+    Gram matrix and penalty are diagonalised together once, so every lambda costs a division: in the joint basis the
+    Gram matrix is the identity and the penalty diagonal."""
+
+    def __init__(self, gram: np.ndarray, nb: int):
+        rough = np.diff(np.eye(nb), n=2, axis=0)
+        penalty = np.kron(np.eye(3), rough.T @ rough)
+        root = np.linalg.cholesky(gram + 1e-9 * max(np.trace(gram) / len(gram), 1.0) * np.eye(len(gram)))
+        half = np.linalg.solve(root, penalty)
+        self.rough, turn = np.linalg.eigh(np.linalg.solve(root, half.T))
+        self.rough = np.maximum(self.rough, 0.0)
+        self.basis = np.linalg.solve(root.T, turn)
+
+    def solve(self, rhs: np.ndarray, lam: float) -> np.ndarray:
+        return self.basis @ ((self.basis.T @ rhs) / (1 + lam * self.rough)[:, None])
+
+    def best_lambda(self, rhs: np.ndarray, total: float, n: float) -> float:
+        """Lambda of the smallest generalised cross-validation score; total is the data's sum of squares."""
+        weight = 1 / (1 + np.outer(LAMBDAS, self.rough))
+        load = ((self.basis.T @ rhs) ** 2).sum(1)
+        rss = np.maximum(total - (2 * weight - weight ** 2) @ load, 0.0)
+        return float(LAMBDAS[np.argmin(n * rss / np.maximum(n - weight.sum(1), 1.0) ** 2)])
 
 
 def pspline_fit(matches: DataFrame, thresh: float, knot_px: float, keys=("pair_id",), rounds: int = 6, relief: bool = False,
@@ -378,14 +389,16 @@ def pspline_fit(matches: DataFrame, thresh: float, knot_px: float, keys=("pair_i
             if n < (20 if relief else 10):
                 return pd.DataFrame(columns=[*keys, "coef", "lam", "px", "py", "n_used"])
             p = np.array([pdf["px"].iloc[0], pdf["py"].iloc[0]], float)
-            lam, c, pen = _select_lambda(g, xy, dd, n, nb, relief, p)
-            if relief:
-                p = (xy[-1] - g[-1, :-1] @ c) / max(g[-1, -1], 1e-300)
-                if last:  # spline and parallax together
-                    full = np.zeros((m, m))
-                    full[:-1, :-1] = lam * pen
-                    cc = np.linalg.solve(g + full + 1e-9 * np.eye(m), xy)
-                    c, p = cc[:-1], cc[-1]
+            smooth, tilt, hh = PenalisedGram(g[:-1, :-1], nb), g[:-1, -1:], max(g[-1, -1], 1e-300)
+            rhs = xy[:-1] - tilt * p
+            lam = smooth.best_lambda(rhs, float(dd - 2 * p @ xy[-1] + (p @ p) * g[-1, -1]), n)
+            c = smooth.solve(rhs, lam)
+            if relief and last:  # spline and parallax together: eliminate the spline, then put the parallax back
+                free, lean = smooth.solve(xy[:-1], lam), smooth.solve(tilt, lam)
+                p = (xy[-1] - tilt[:, 0] @ free) / max(g[-1, -1] - float(tilt[:, 0] @ lean[:, 0]), 1e-300)
+                c = free - lean * p
+            elif relief:
+                p = (xy[-1] - tilt[:, 0] @ c) / hh
             head = {key: [pdf[key].iloc[0]] for key in keys}
             return pd.DataFrame({**head, "coef": [np.concatenate([c[:, 0], c[:, 1]]).tolist()], "lam": [float(lam)], "px": [float(p[0])],
                                  "py": [float(p[1])], "n_used": [int(n)]})

@@ -141,7 +141,8 @@ def _blocks(df: DataFrame, keys: list[str], value: str, p: str) -> DataFrame:
 
 def _distances(a: list, b: list, metric: str) -> np.ndarray:
     if metric == "hamming":
-        return np.bitwise_count(np.asarray(a, dtype=np.int64)[:, None] ^ np.asarray(b, dtype=np.int64)[None, :]).astype(float)
+        x, y = (np.asarray(v, dtype=np.int64).view(np.uint64) for v in (a, b))  # signed values would count their magnitude's bits
+        return np.bitwise_count(x[:, None] ^ y[None, :]).astype(float)
     x, y = np.vstack(a).astype(float), np.vstack(b).astype(float)
     d = np.empty((len(x), len(y)))
     for i in range(0, len(x), 64):  # small slabs keep memory flat and avoid the cancellation of the expanded square
@@ -202,7 +203,7 @@ def mutual_best(q: DataFrame, r: DataFrame, value: str = "descriptor", metric: s
 
 # --- greedy thinning -------------------------------------------------------------------------------
 
-def spatial_dedup(matches: DataFrame, radius: float = 20.0, score: str = "score", max_rounds: int = 200) -> DataFrame:
+def spatial_dedup(matches: DataFrame, radius: float = 20.0, score: str = "score") -> DataFrame:
     """Greedy thinning by score: a match stays only if it is more than `radius` from every better kept match in
     both images. The same set as the one-by-one greedy loop, reached in rounds.
 
@@ -230,7 +231,7 @@ def spatial_dedup(matches: DataFrame, radius: float = 20.0, score: str = "score"
         dx, dy = F.col(f"{p}_x") - F.col("_cx"), F.col(f"{p}_y") - F.col("_cy")
         return rows.join(c, ["pair_id", f"_{p}i", f"_{p}j"]).where((dx * dx + dy * dy <= radius * radius) & (F.col("match_id") != F.col("_cid")))
 
-    for _ in range(max_rounds):
+    while True:  # every round decides the best undecided match of every pair at least
         best = None
         for p in ("src", "ref"):
             top = und.groupBy("pair_id", f"_{p}i", f"_{p}j").agg(F.max(rank).alias("m")).select("pair_id", (-F.col("m.col2")).alias("match_id"))
@@ -246,4 +247,3 @@ def spatial_dedup(matches: DataFrame, radius: float = 20.0, score: str = "score"
         und = cut_lineage(und.join(gone, ["pair_id", "match_id"], "left_anti"))
         if und.isEmpty():
             return kept.select(*cols, F.col("_score").alias(score))
-    raise RuntimeError(f"thinning did not finish in {max_rounds} rounds")

@@ -2,6 +2,9 @@
 
 A tile is a fixed window of the raster (for example 512 x 512), so every per-tile group is bounded by
 construction: medians and windows inside a tile are safe whatever the size of the product or the catalog.
+
+Tiles of a product follow each other along the strip: product line = tile_id * size + row_no. Stencils and samplers
+given `size` look across tile borders in both directions; sideways a tile's border is the strip's border.
 """
 
 from __future__ import annotations
@@ -108,6 +111,38 @@ def destripe(pixels: DataFrame, alpha: float = 0.85) -> DataFrame:
     return pixels.join(off, ["tile_id", "col_no"]).withColumn("dn", F.col("dn") - alpha * F.col("_o")).drop("_o")
 
 
+def with_halo(df: DataFrame, size: int, halo: int, product: tuple[str, ...] = ()) -> DataFrame:
+    """Copy border rows to the tiles before and after (tiles follow each other along the strip), over as many tiles as
+    the halo is long. `product` names the columns that tell products apart; tile numbers then count within a product.
+
+    Halo rows carry row numbers outside [0, size), so a job can drop them after filtering.
+    """
+    def copy(shift, cond):
+        return F.when(cond, F.struct((F.col("tile_id") + shift).alias("t"), (F.col("row_no") - shift * size).alias("r")))
+
+    steps = [(n, halo - (n - 1) * size) for n in range(1, -(-halo // size) + 1)]
+    targets = F.array_compact(F.array(F.struct(F.col("tile_id").alias("t"), F.col("row_no").alias("r")), *[c for n, rest in steps for c in (
+        copy(-n, (F.col("row_no") < rest) & (F.col("tile_id") >= n)), copy(n, F.col("row_no") >= size - rest))]))
+    tiles = df.select(*product, "tile_id").distinct()
+    out = df.withColumn("_t", F.explode(targets)).withColumn("tile_id", F.col("_t.t")).withColumn("row_no", F.col("_t.r")).drop("_t")
+    return out.join(tiles, [*product, "tile_id"], "left_semi")
+
+
+def seamless(df: DataFrame, size: int | None, reach: int, stencil) -> DataFrame:
+    """Run a per-tile stencil so that it sees `reach` rows of the neighbouring tiles; results for those rows are
+    dropped. Without `size` every tile is an image of its own."""
+    if size is None:
+        return stencil(df)
+    return stencil(with_halo(df, size, reach)).where(F.col("row_no").between(0, size - 1))
+
+
+def in_tile(tile: str | Column, row: Column, size: int | None) -> tuple[Column, Column]:
+    """Tile and row of a product row that is counted from the start of a tile and may lie outside it."""
+    if size is None:
+        return col(tile), row
+    return col(tile) + F.floor(row / size), F.pmod(row, F.lit(size))
+
+
 def neighbour(value: str | Column, axis: str, offset: int, other: str) -> Column:
     """Value `offset` cells along an axis of the tile; null when that cell is missing."""
     w = Window.partitionBy("tile_id", other).orderBy(axis)
@@ -121,8 +156,12 @@ def by_tile(df: DataFrame) -> DataFrame:
     return df.repartition("tile_id")
 
 
-def gradients(df: DataFrame, value: str, spacing: float = 1.0) -> DataFrame:
+def gradients(df: DataFrame, value: str, spacing: float = 1.0, size: int | None = None) -> DataFrame:
     """Central differences along rows and columns, one-sided where only one neighbour exists."""
+    return seamless(df, size, 1, lambda d: _gradients(d, value, spacing))
+
+
+def _gradients(df: DataFrame, value: str, spacing: float) -> DataFrame:
     def diff(axis, other):
         nxt, prv, v = F.col(f"_{axis}n"), F.col(f"_{axis}p"), F.col(value)
         return (F.when(nxt.isNotNull() & prv.isNotNull(), (nxt - prv) / (2 * spacing)).when(nxt.isNotNull(), (nxt - v) / spacing)
@@ -135,8 +174,12 @@ def gradients(df: DataFrame, value: str, spacing: float = 1.0) -> DataFrame:
     return d.drop(*[c for c in d.columns if c.startswith("_row_no") or c.startswith("_col_no")])
 
 
-def sobel(pixels: DataFrame, value: str = "dn") -> DataFrame:
+def sobel(pixels: DataFrame, value: str = "dn", size: int | None = None) -> DataFrame:
     """Sobel gx, gy and magnitude where the whole 3 x 3 neighbourhood exists."""
+    return seamless(pixels, size, 1, lambda d: _sobel(d, value))
+
+
+def _sobel(pixels: DataFrame, value: str) -> DataFrame:
     d = by_tile(pixels)
     d = d.withColumn("_e", neighbour(value, "col_no", 1, "row_no")).withColumn("_w", neighbour(value, "col_no", -1, "row_no"))
     d = d.withColumn("_d", F.col("_e") - F.col("_w")).withColumn("_s", F.col("_e") + 2 * F.col(value) + F.col("_w"))
@@ -146,9 +189,9 @@ def sobel(pixels: DataFrame, value: str = "dn") -> DataFrame:
     return d.where("gx IS NOT NULL AND gy IS NOT NULL").select(*KEY, "gx", "gy", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")).alias("magnitude"))
 
 
-def structure_sobel(pixels: DataFrame) -> DataFrame:
+def structure_sobel(pixels: DataFrame, size: int | None = None) -> DataFrame:
     """Gradient magnitude scaled to [0, 1] per tile, then soft threshold at mean + std/2 and scaled again."""
-    m = sobel(pixels)
+    m = sobel(pixels, size=size)
     lim = m.groupBy("tile_id").agg(F.min("magnitude").alias("_lo"), F.max("magnitude").alias("_hi"))
     def unit(lo, hi, c):
         return F.when(F.col(hi) - F.col(lo) >= 1e-6, (F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo))).otherwise(0.0)
@@ -158,9 +201,9 @@ def structure_sobel(pixels: DataFrame) -> DataFrame:
     return s.join(t, "tile_id").select(*KEY, "s", F.when((F.col("s") >= F.col("_t")) & (top >= 1e-6), (F.col("s") - F.col("_t")) / top).otherwise(0.0).alias("structure"))
 
 
-def gradient_orientation(pixels: DataFrame) -> DataFrame:
+def gradient_orientation(pixels: DataFrame, size: int | None = None) -> DataFrame:
     """Unit gradient vectors; zero where the gradient is flat."""
-    s = sobel(pixels)
+    s = sobel(pixels, size=size)
     ok = F.col("magnitude") > 1e-3
     return s.select(*KEY, F.when(ok, F.col("gx") / F.col("magnitude")).otherwise(0.0).alias("ux"),
                     F.when(ok, F.col("gy") / F.col("magnitude")).otherwise(0.0).alias("uy"))
@@ -179,7 +222,7 @@ def gaussian_kernel(sigma: float, truncate: float = 4.0) -> list[float]:
     return [float(x) for x in w / w.sum()]
 
 
-def smooth(pixels: DataFrame, kernel: list[float], value: str = "dn") -> DataFrame:
+def smooth(pixels: DataFrame, kernel: list[float], value: str = "dn", size: int | None = None) -> DataFrame:
     """Separable weighted mean over existing cells (weights of missing cells are left out and the rest rescaled)."""
     r = len(kernel) // 2
     weights = F.array(*[F.lit(float(k)) for k in kernel])
@@ -195,12 +238,12 @@ def smooth(pixels: DataFrame, kernel: list[float], value: str = "dn") -> DataFra
             lambda acc, x: F.struct((acc["s"] + x["s"]).alias("s"), (acc["w"] + x["w"]).alias("w")), lambda acc: acc["s"] / acc["w"])
         return d.withColumn(value, tot).drop("_cells")
 
-    return along(along(by_tile(pixels), "col_no", "row_no"), "row_no", "col_no")
+    return seamless(pixels, size, r, lambda d: along(along(by_tile(d), "col_no", "row_no"), "row_no", "col_no"))
 
 
-def unsharp(pixels: DataFrame, sigma: float = 1.0, strength: float = 0.3) -> DataFrame:
+def unsharp(pixels: DataFrame, sigma: float = 1.0, strength: float = 0.3, size: int | None = None) -> DataFrame:
     """v + strength (v - blur v), kept in [0, 1]."""
-    blurred = smooth(pixels.withColumn("_v", F.col("dn")), gaussian_kernel(sigma))
+    blurred = smooth(pixels.withColumn("_v", F.col("dn")), gaussian_kernel(sigma), size=size)
     s = F.col("_v") + strength * (F.col("_v") - F.col("dn"))
     return blurred.withColumn("dn", F.least(F.lit(1.0), F.greatest(F.lit(0.0), s))).drop("_v")
 
@@ -211,12 +254,15 @@ def block_mean(pixels: DataFrame, k: int, value: str = "dn") -> DataFrame:
         F.avg(value).alias(value))
 
 
-def pyramid(pixels: DataFrame, levels: int) -> DataFrame:
-    """Level 0 is the input; each further level is a 5-tap blur followed by keeping even lines and samples."""
+def pyramid(pixels: DataFrame, levels: int, size: int | None = None) -> DataFrame:
+    """Level 0 is the input; each further level is a 5-tap blur followed by keeping even lines and samples. A tile's
+    size must be divisible by two for every level."""
+    if size is not None and size % 2 ** (levels - 1):
+        raise ValueError("tiles cannot be halved that often")
     out = pixels.select(*KEY, "dn").withColumn("level", F.lit(0))
     cur = pixels.select(*KEY, "dn")
     for lv in range(1, levels):
-        cur = thumbnail(smooth(cur, [1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16]), 2)
+        cur = thumbnail(smooth(cur, [1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16], size=size and size >> (lv - 1)), 2)
         out = out.unionByName(cur.withColumn("level", F.lit(lv)))
     return out
 
@@ -264,21 +310,24 @@ def minmax_01(df: DataFrame, value: str = "dn") -> DataFrame:
     return df.join(lim, "tile_id").withColumn(value, F.when(span > 0, (F.col(value) - F.col("_lo")) / span).otherwise(0.0)).drop("_lo", "_hi")
 
 
-def sample_raster(points: DataFrame, raster: DataFrame, how: str = "bilinear", value: str = "dn", x: str = "x", y: str = "y") -> DataFrame:
-    """Value at (x, y) of a tile: nearest cell or bilinear over the four corner cells (null when one is missing).
+def sample_raster(points: DataFrame, raster: DataFrame, how: str = "bilinear", value: str = "dn", x: str = "x", y: str = "y", size: int | None = None) -> DataFrame:
+    """Value at (x, y) of a tile: nearest cell or bilinear over the four corner cells (null when one is missing or
+    the position is). With `size`, y may reach beyond the tile: the cells then come from the tiles before or after.
 
     Equi-joins on cell keys only; the four corners arrive with one explode and one aggregation per point.
     """
-    cells = raster.select("tile_id", F.col("row_no").alias("_r"), F.col("col_no").alias("_c"), F.col(value).alias("_v"))
+    cells = raster.select(F.col("tile_id").alias("_t"), F.col("row_no").alias("_r"), F.col("col_no").alias("_c"), F.col(value).alias("_v"))
     if how == "nearest":
-        p = points.withColumn("_r", F.bround(F.col(y), 0).cast("bigint")).withColumn("_c", F.bround(F.col(x), 0).cast("bigint"))
-        return p.join(cells, ["tile_id", "_r", "_c"], "left").withColumnRenamed("_v", "sampled").drop("_r", "_c")
+        t, r = in_tile("tile_id", F.bround(F.col(y), 0).cast("bigint"), size)
+        p = points.withColumn("_t", t).withColumn("_r", r).withColumn("_c", F.bround(F.col(x), 0).cast("bigint"))
+        return p.join(cells, ["_t", "_r", "_c"], "left").withColumnRenamed("_v", "sampled").drop("_t", "_r", "_c")
     fx, fy = F.col(x) - F.floor(x), F.col(y) - F.floor(y)
     corner = F.array(*[F.struct((F.floor(y) + dy).cast("bigint").alias("_r"), (F.floor(x) + dx).cast("bigint").alias("_c"),
                                 ((fy if dy else 1 - fy) * (fx if dx else 1 - fx)).alias("_w")) for dy in (0, 1) for dx in (0, 1)])
     keys = points.columns
-    p = points.withColumn("_k", F.explode(F.filter(corner, lambda k: k["_w"] > 0))).select(*keys, "_k.*")
-    j = p.join(cells, ["tile_id", "_r", "_c"], "left")
+    p = points.withColumn("_k", F.explode_outer(F.filter(corner, lambda k: k["_w"] > 0))).select(*keys, "_k.*")
+    t, r = in_tile("tile_id", F.col("_r"), size)
+    j = p.withColumn("_t", t).withColumn("_r", r).join(cells, ["_t", "_r", "_c"], "left")
     return j.groupBy(*keys).agg(F.when(F.count_if(F.col("_v").isNull()) == 0, F.sum(F.col("_w") * F.col("_v"))).alias("sampled"))
 
 
@@ -296,21 +345,6 @@ def tile_job(df: DataFrame, fn, size: int, schema: str, value: str = "dn", extra
     return df.groupBy("tile_id").applyInPandas(run, schema)
 
 
-def with_halo(df: DataFrame, size: int, halo: int) -> DataFrame:
-    """Copy border rows to the tile before and after (tiles follow each other along the strip).
-
-    Halo rows carry row numbers outside [0, size), so a job can drop them after filtering.
-    """
-    def copy(shift, cond):
-        return F.when(cond, F.struct((F.col("tile_id") + shift).alias("t"), (F.col("row_no") - shift * size).alias("r")))
-
-    targets = F.array_compact(F.array(F.struct(F.col("tile_id").alias("t"), F.col("row_no").alias("r")),
-                                      copy(-1, (F.col("row_no") < halo) & (F.col("tile_id") > 0)), copy(1, F.col("row_no") >= size - halo)))
-    tiles = df.select("tile_id").distinct()
-    out = df.withColumn("_t", F.explode(targets)).withColumn("tile_id", F.col("_t.t")).withColumn("row_no", F.col("_t.r")).drop("_t")
-    return out.join(tiles, "tile_id", "left_semi")
-
-
 def longest_run(cells: DataFrame, keys: list[str], axis: str = "col_no") -> DataFrame:
     """Longest contiguous run along an axis per group (earliest on ties); a run is an island of axis - position."""
     isl = cells.withColumn("_g", F.col(axis) - F.row_number().over(Window.partitionBy(*keys).orderBy(axis)))
@@ -338,15 +372,16 @@ def regular_nodes(height: int, width: int, spacing: int, margin: int, tiles: Dat
     return tiles.select("tile_id").distinct().withColumn("qy", axis(height)).withColumn("qx", axis(width))
 
 
-def conforming_nodes(valid: DataFrame, half: int, nx: int, ny: int) -> DataFrame:
-    """Node lattice that follows the valid swath: the mask is eroded by `half`, ny rows span its extent and nx
-    nodes span each row's safe extent."""
-    d = by_tile(valid.select(*KEY))
+def conforming_nodes(valid: DataFrame, half: int, nx: int, ny: int, size: int | None = None) -> DataFrame:
+    """Node lattice that follows the valid swath: the mask is eroded by `half`, ny rows span its extent in each tile
+    and nx nodes span each row's safe extent."""
     side = 2 * half + 1
     rw = Window.partitionBy("tile_id", "row_no").orderBy("col_no").rangeBetween(-half, half)
-    d = d.withColumn("_h", F.count(F.lit(1)).over(rw) == side)
     cw = Window.partitionBy("tile_id", "col_no").orderBy("row_no").rangeBetween(-half, half)
-    safe = d.withColumn("_v", F.count_if(F.col("_h")).over(cw) == side).where("_v")
+    def eroded(d):
+        d = by_tile(d).withColumn("_h", F.count(F.lit(1)).over(rw) == side)
+        return d.withColumn("_v", F.count_if(F.col("_h")).over(cw) == side).where("_v")
+    safe = seamless(valid.select(*KEY), size, half, eroded)
     rows = safe.groupBy("tile_id", "row_no").agg(F.min("col_no").alias("c0"), F.max("col_no").alias("c1"), F.count(F.lit(1)).alias("k"))
     span = rows.groupBy("tile_id").agg(F.min("row_no").alias("r0"), F.max("row_no").alias("r1"))
     def linspace(a, b, n):
@@ -377,26 +412,28 @@ def scale_dem(df: DataFrame, scale: float, nodata: float, value: str = "z") -> D
     return df.withColumn(value, F.when(F.col(value) != nodata, F.col(value) * scale))
 
 
-def slope(dem: DataFrame, spacing: float = 5.0) -> DataFrame:
-    g = gradients(dem, "z", spacing)
+def slope(dem: DataFrame, spacing: float = 5.0, size: int | None = None) -> DataFrame:
+    g = gradients(dem, "z", spacing, size)
     return g.withColumn("slope_deg", F.degrees(F.atan(F.sqrt(F.col("d_row") * F.col("d_row") + F.col("d_col") * F.col("d_col")))))
 
 
-def normals(dem: DataFrame, spacing: float = 5.0) -> DataFrame:
+def normals(dem: DataFrame, spacing: float = 5.0, size: int | None = None) -> DataFrame:
     """Unit normals (east, north, up): row numbers grow southwards."""
-    g = gradients(dem, "z", spacing)
+    g = gradients(dem, "z", spacing, size)
     n = F.sqrt(F.col("d_row") * F.col("d_row") + F.col("d_col") * F.col("d_col") + 1)
     return g.withColumn("nx", -F.col("d_col") / n).withColumn("ny", F.col("d_row") / n).withColumn("nz", 1 / n)
 
 
-def horizon_axis(dem: DataFrame, azimuth: int, steps: int, spacing: float = 5.0) -> DataFrame:
+def horizon_axis(dem: DataFrame, azimuth: int, steps: int, spacing: float = 5.0, size: int | None = None) -> DataFrame:
     """Largest obstacle tangent along a ray that follows a row or a column (azimuth 0, 90, 180 or 270)."""
     axis, other, sign = {0: ("row_no", "col_no", -1), 180: ("row_no", "col_no", 1), 90: ("col_no", "row_no", 1), 270: ("col_no", "row_no", -1)}[azimuth]
     w = Window.partitionBy("tile_id", other).orderBy(axis)
     w = w.rangeBetween(1, steps) if sign > 0 else w.rangeBetween(-steps, -1)
-    d = by_tile(dem).withColumn("_ray", F.collect_list(F.struct(F.col(axis).alias("a"), F.col("z").alias("z"))).over(w))
     t = F.array_max(F.transform("_ray", lambda p: (p["z"] - F.col("z")) / (F.abs(p["a"] - F.col(axis)) * spacing)))
-    return d.withColumn("max_tan", F.coalesce(t, F.lit(-1e9))).drop("_ray")
+    def rays(d):
+        d = by_tile(d).withColumn("_ray", F.collect_list(F.struct(F.col(axis).alias("a"), F.col("z").alias("z"))).over(w))
+        return d.withColumn("max_tan", F.coalesce(t, F.lit(-1e9))).drop("_ray")
+    return seamless(dem, size if axis == "row_no" else None, steps, rays)
 
 
 def sky_view(max_tan: str | Column) -> Column:
@@ -411,7 +448,7 @@ def shadow_mask(max_tan: str | Column, elevation_deg: float) -> Column:
 def horizon(dem: DataFrame, size: int, azimuth_deg: float, steps: int, spacing: float = 5.0) -> DataFrame:
     """Any azimuth: bilinear steps along the ray on tiles that carry a halo of `steps` rows (vectorised per tile)."""
     dc, dr = (round(float(v), 12) + 0.0 for v in (np.sin(np.radians(azimuth_deg)), -np.cos(np.radians(azimuth_deg))))
-    halo = min(size, int(np.ceil(steps * abs(dr))) + 1)
+    halo = int(np.ceil(steps * abs(dr))) + 1
 
     def job(img: np.ndarray, r0: int) -> pd.DataFrame:
         h, w = img.shape

@@ -1,100 +1,57 @@
 """Exact ranks and quantiles per group that never bring an unbounded group to one task.
 
-A group (one pair, one run) may hold a third of all rows, so the size of the largest group is checked first (one
-map-side combined count). While every group stays within GROUP_ROWS, the built-in percentile and row_number run
-in one shuffle. Beyond that, rows are spread over value bins, bin counts give every bin's starting rank (at most
-BINS rows per group), and only rows of one bin are ordered together. Both ways give the same rows.
+One plan for every size: rows are dealt by range over (group, value), so a group that holds a third of all rows covers
+a third of the partitions; the weights that each partition holds of each group give the partition's starting rank
+(one small row per group and partition), and only rows of one group in one partition are ordered together. Equal
+values are one weighted row before they are dealt.
+
+Null values have no rank in a quantile (a group of only nulls has null quantiles); in an index they come first.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-GROUP_ROWS = 1_000_000  # largest group that one task sorts
-BINS = 4096
-TIE_BINS = 256
-FLAT_ROWS = 10000  # a bin of equal values larger than this is split on the tie column
-
-
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest group (runs a job: one number per map task and group reaches the shuffle)."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-
+from tieline.session import cut_lineage
 
-def _bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
-    w = hi - lo
-    return F.when(w > 0, F.least(F.lit(bins - 1), F.floor((v - lo) / w * bins))).otherwise(F.lit(0)).cast("int")
 
+def running_total(rows: DataFrame, keys: list[str], order: list[str], weight: str) -> DataFrame:
+    """Add `_start`, the weight of the rows before this one in its group by `order` (nulls first), and `_total`, the
+    group's weight. Ranges depend on a sample, so the dealt rows are stored before they are read twice."""
+    dealt = cut_lineage(rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in (*keys, *order)]).withColumn("_p", F.spark_partition_id()))
+    group = Window.partitionBy(*keys)
+    held = dealt.groupBy(*keys, "_p").agg(F.sum(weight).alias("_held"))
+    first = held.withColumn("_first", F.coalesce(F.sum("_held").over(group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(
+        "_total", F.sum("_held").over(group)).select(*[F.col(k).alias(f"_g_{k}") for k in keys], F.col("_p").alias("_q"), "_first", "_total")
+    same = F.col("_p") == F.col("_q")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_g_{k}"))
+    inside = Window.partitionBy(*keys, "_p").orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(first, same).withColumn("_start", F.col("_first") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return out.drop("_p", "_q", "_first", *[f"_g_{k}" for k in keys])
 
-def _starts(hist: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
-    return hist.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0))).withColumn(
-        "_n", F.sum("_c").over(whole))
 
-
-def grouped_quantiles(df: DataFrame, keys: list[str], value, probs: dict[str, float], bins: int = BINS) -> DataFrame:
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str | Column, probs: dict[str, float]) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group with the columns named in `probs`.
 
-    Null values are left out (NaN becomes null at ingest). Pass `F.when(cond, v)` rather than a filtered input: the
-    condition then is not copied into join conditions, and the size check reads the keys only.
+    Null values have weight 0 (NaN becomes null at ingest), so their group keeps its row. Pass `F.when(cond, v)`
+    rather than a filtered input to keep groups without a value.
     """
     v = F.col(value) if isinstance(value, str) else value
-    if not keys:
-        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
-    base = df.select(*keys, v.cast("double").alias("_v"))
-    if largest_group(df, keys) <= GROUP_ROWS:
-        q = base.groupBy(*keys).agg(F.percentile("_v", [float(p) for p in probs.values()]).alias("_q"))
-        return q.select(*[k for k in keys if k != "_all"], *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
-    base = base.where(F.col("_v").isNotNull())
-    ext = base.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    binned = base.join(ext, keys).select(*keys, "_v", _bin(F.col("_v"), F.col("_lo"), F.col("_hi"), bins).alias("_b"))
-    # ties collapse here: many copies of one value become one row
-    distinct = binned.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_k"))
-    starts = _starts(distinct.groupBy(*keys, "_b").agg(F.sum("_k").alias("_c")), keys, ["_b"])
-    pos = {n: F.lit(float(p)) * (F.col("_n") - 1) for n, p in probs.items()}
-    ranks = [f(x) for x in pos.values() for f in (F.floor, F.ceil)]
-    hit = [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")) for r in ranks]
-    needed = starts.where(F.greatest(*[h.cast("int") for h in hit]) == 1) if len(hit) > 1 else starts.where(hit[0])
-    in_bin = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    cand = (distinct.join(needed, [*keys, "_b"])
-            .withColumn("_s", F.col("_before") + F.coalesce(F.sum("_k").over(in_bin), F.lit(0))))
-    aggs = [F.max("_n").alias("_n")]
-    for n, x in pos.items():
-        for tag, f in (("_f_", F.floor), ("_c_", F.ceil)):
-            r = f(x)
-            aggs.append(F.max(F.when((F.col("_s") <= r) & (r < F.col("_s") + F.col("_k")), F.col("_v"))).alias(tag + n))
-    out = cand.groupBy(*keys).agg(*aggs)
-    cols = [(F.col("_f_" + n) + (F.col("_c_" + n) - F.col("_f_" + n)) * (x - F.floor(x))).alias(n) for n, x in pos.items()]
-    return out.select(*[k for k in keys if k != "_all"], *cols)
+    named = keys or ["_all"]
+    base = df if keys else df.withColumn("_all", F.lit(0))
+    distinct = base.select(*named, v.cast("double").alias("_v")).groupBy(*named, "_v").agg(F.count("_v").alias("_k"))
+    placed = running_total(distinct, named, ["_v"], "_k")
 
+    def at(rank: Column, name: str) -> Column:
+        return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_k")), F.col("_v"))).alias(name)
 
-def dense_index(df: DataFrame, keys: list[str], order: str, tie: str | None = None, out: str = "_rank",
-                bins: int = BINS) -> DataFrame:
-    """Add the 0-based position of each row in its group, ordered by (order, tie), plus `_n` the group size.
+    place = {n: F.lit(float(p)) * (F.col("_total") - 1) for n, p in probs.items()}
+    ends = placed.groupBy(*named).agg(F.max("_total").alias("_total"), *[at(f(x), tag + n) for n, x in place.items() for tag, f in (("_f_", F.floor), ("_c_", F.ceil))])
+    return ends.select(*keys, *[(F.col("_f_" + n) + (F.col("_c_" + n) - F.col("_f_" + n)) * (x - F.floor(x))).alias(n) for n, x in place.items()])
 
-    Only a bin's rows meet in one task. A bin whose rows all share one order value is split again on the tie
-    column, so a group of equal values does not end up in one task either.
-    """
-    if largest_group(df, keys) <= GROUP_ROWS:
-        return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).withColumn(
-            out, (F.row_number().over(Window.partitionBy(*keys).orderBy(order, *([tie] if tie else []))) - 1).cast("bigint"))
-    spec = [F.min(order).alias("_lo"), F.max(order).alias("_hi")]
-    if tie:
-        spec += [F.min(tie).alias("_tlo"), F.max(tie).alias("_thi")]
-    ext = df.groupBy(*keys).agg(*spec)
-    rows = df.join(ext, keys).withColumn("_b", _bin(F.col(order), F.col("_lo"), F.col("_hi"), bins)).drop("_lo", "_hi")
-    hist = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min(order).alias("_m0"), F.max(order).alias("_m1"))
-    flat = (F.col("_m0") == F.col("_m1")) & (F.col("_c") > FLAT_ROWS) if tie else F.lit(False)
-    starts = _starts(hist, keys, ["_b"]).select(*keys, "_b", "_before", "_n", flat.alias("_flat"))
-    placed = rows.join(starts, [*keys, "_b"])
-    part = [*keys, "_b"]
-    if tie:
-        placed = placed.withColumn("_t", F.when(F.col("_flat"), _bin(F.col(tie), F.col("_tlo"), F.col("_thi"), TIE_BINS)).otherwise(F.lit(0)))
-        part = [*part, "_t"]
-        hot = placed.where("_flat").groupBy(*part).agg(F.count(F.lit(1)).alias("_c"))
-        before = Window.partitionBy(*keys, "_b").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-        placed = placed.join(hot.select(*part, F.sum("_c").over(before).alias("_sub")), part, "left").withColumn(
-            "_before", F.col("_before") + F.coalesce("_sub", F.lit(0)))
-    w = Window.partitionBy(*part).orderBy(order, *([tie] if tie else []))
-    return placed.withColumn(out, F.col("_before") + F.row_number().over(w) - 1).drop("_before", "_b", "_t", "_flat", "_sub", "_tlo", "_thi")
+
+def dense_index(df: DataFrame, keys: list[str], order: str, tie: str | None = None, out: str = "_rank") -> DataFrame:
+    """Add the 0-based position of each row in its group, ordered by (order, tie), plus `_n` the group size."""
+    placed = running_total(df.withColumn("_one", F.lit(1)), keys, [order, *([tie] if tie else [])], "_one")
+    return placed.withColumn(out, F.col("_start").cast("bigint")).withColumnRenamed("_total", "_n").drop("_start", "_one")

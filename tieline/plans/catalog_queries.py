@@ -307,8 +307,11 @@ def _(t):
 POLY = """
 WITH ring AS (SELECT *, [max_lat, max_lat, min_lat, min_lat] AS la, [min_lon, max_lon, max_lon, min_lon] AS lo, (2*max_lat + 2*min_lat) / 4 AS lat_c
               FROM {products} WHERE coalesce(file_size_mb, 0) <= 6144 AND solar_incidence IS NOT NULL),
- cand AS (SELECT a.product_id AS a_id, b.product_id AS b_id, a.la AS ala, a.lo AS alo, b.la AS bla, b.lo AS blo FROM ring a JOIN ring b
-   ON a.instrument = 'TMC2' AND b.instrument = 'IIRS' AND abs(a.lat_c - b.lat_c) <= 25),
+ far AS (SELECT *, cos(radians(max_lat)) * cos(radians(min_lon)) AS px, cos(radians(max_lat)) * sin(radians(min_lon)) AS py, sin(radians(max_lat)) AS pz,
+        list_max([acos(least(1.0, greatest(-1.0, sin(radians(la[1])) * sin(radians(la[k])) + cos(radians(la[1])) * cos(radians(la[k])) * cos(radians(lo[k] - lo[1]))))) for k in [2, 3, 4]]) AS reach FROM ring),
+ cand AS (SELECT a.product_id AS a_id, b.product_id AS b_id, a.la AS ala, a.lo AS alo, b.la AS bla, b.lo AS blo FROM far a JOIN far b
+   ON a.instrument = 'TMC2' AND b.instrument = 'IIRS' AND abs(a.lat_c - b.lat_c) <= 25
+      AND a.px * b.px + a.py * b.py + a.pz * b.pz >= cos(least(pi(), a.reach + 15 / 17374e-1 + b.reach * pi() / 2 + 1e-6))),
  corner AS (SELECT a_id, b_id, side, i, ala[1] AS lat0, alo[1] AS lon0, CASE side WHEN 'a' THEN ala[i] ELSE bla[i] END AS lat, CASE side WHEN 'a' THEN alo[i] ELSE blo[i] END AS lon
    FROM cand, (SELECT unnest(['a', 'b']) AS side) s, (SELECT unnest([1, 2, 3, 4]) AS i) n),
  en AS (SELECT *, cos(radians(lat)) * sin(radians(lon - lon0)) AS e,

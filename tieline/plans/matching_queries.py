@@ -38,8 +38,7 @@ def _(t):
 
 def sides(t):
     d = t.descriptors
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(61)), F.lit(0).cast("bigint"), lambda s, i: s + F.when(
-        F.element_at("descriptor", i + 1) > 0, F.expr("1L") * F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    bits = F.expr("aggregate(sequence(0, 63), 0L, (s, i) -> s | if(element_at(descriptor, i + 1) > 0, shiftleft(1L, i), 0L))")
     d = d.withColumn("bits", bits)
     return d.where("side = 'q'").drop("side"), d.where("side = 'r'").drop("side")
 
@@ -70,7 +69,7 @@ def _(t):
     return rounded(J.mutual_best(*sides(t)))
 
 
-BITS = "(SELECT *, CAST(list_sum(list_transform(range(1, 63), lambda i: CASE WHEN descriptor[i] > 0 THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END)) AS BIGINT) AS bits FROM {descriptors})"
+BITS = "(SELECT *, list_reduce(list_transform(range(1, 65), lambda i: CASE WHEN descriptor[i] > 0 THEN (1::UBIGINT << (i - 1)::UBIGINT) ELSE 0::UBIGINT END), lambda a, b: a | b) AS bits FROM {descriptors})"
 
 
 @query("c10_hamming_mutual", mutual_sql(f"SELECT a.pair_id, a.kp_id AS q_id, b.kp_id AS r_id, bit_count(xor(a.bits, b.bits)) * 1e0 AS d FROM {BITS} a JOIN {BITS} b ON b.pair_id = a.pair_id AND a.side = 'q' AND b.side = 'r'"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tieline.functions import transforms as X
@@ -135,29 +137,29 @@ def grad_sql(src, value, sp):
     return f"""SELECT *, CASE WHEN rn IS NOT NULL AND rp IS NOT NULL THEN (rn - rp) / (2 * {sp}) WHEN rn IS NOT NULL THEN (rn - {value}) / {sp} WHEN rp IS NOT NULL THEN ({value} - rp) / {sp} END AS d_row,
   CASE WHEN cn IS NOT NULL AND cp IS NOT NULL THEN (cn - cp) / (2 * {sp}) WHEN cn IS NOT NULL THEN (cn - {value}) / {sp} WHEN cp IS NOT NULL THEN ({value} - cp) / {sp} END AS d_col
  FROM (SELECT p.*, a.{value} AS rn, b.{value} AS rp, c.{value} AS cn, d.{value} AS cp FROM {src} p
-  LEFT JOIN {src} a ON a.tile_id = p.tile_id AND a.row_no = p.row_no + 1 AND a.col_no = p.col_no LEFT JOIN {src} b ON b.tile_id = p.tile_id AND b.row_no = p.row_no - 1 AND b.col_no = p.col_no
-  LEFT JOIN {src} c ON c.tile_id = p.tile_id AND c.row_no = p.row_no AND c.col_no = p.col_no + 1 LEFT JOIN {src} d ON d.tile_id = p.tile_id AND d.row_no = p.row_no AND d.col_no = p.col_no - 1) x"""
+  LEFT JOIN {src} a ON a.line = p.line + 1 AND a.col_no = p.col_no LEFT JOIN {src} b ON b.line = p.line - 1 AND b.col_no = p.col_no
+  LEFT JOIN {src} c ON c.line = p.line AND c.col_no = p.col_no + 1 LEFT JOIN {src} d ON d.line = p.line AND d.col_no = p.col_no - 1) x"""
 
 
 @query("e12_slope", f"""
-SELECT tile_id, row_no, col_no, round(degrees(atan(sqrt(d_row*d_row + d_col*d_col))), 6) AS slope_deg FROM ({grad_sql('{dem}', 'z', '5e0')}) g""")
+SELECT tile_id, row_no, col_no, round(degrees(atan(sqrt(d_row*d_row + d_col*d_col))), 6) AS slope_deg FROM ({grad_sql('{dem_strip}', 'z', '5e0')}) g""")
 def _(t):
-    return rounded(P.slope(t.dem).select(*P.KEY, "slope_deg"))
+    return rounded(P.slope(t.dem, size=32).select(*P.KEY, "slope_deg"))
 
 
 @query("e12_normals", f"""
-SELECT tile_id, row_no, col_no, round(-d_col / n, 6) + 0.0 AS nx, round(d_row / n, 6) + 0.0 AS ny, round(1 / n, 6) AS nz FROM (SELECT *, sqrt(d_row*d_row + d_col*d_col + 1) AS n FROM ({grad_sql('{dem}', 'z', '5e0')}) g) y""")
+SELECT tile_id, row_no, col_no, round(-d_col / n, 6) + 0.0 AS nx, round(d_row / n, 6) + 0.0 AS ny, round(1 / n, 6) AS nz FROM (SELECT *, sqrt(d_row*d_row + d_col*d_col + 1) AS n FROM ({grad_sql('{dem_strip}', 'z', '5e0')}) g) y""")
 def _(t):
-    return rounded(P.normals(t.dem).select(*P.KEY, "nx", "ny", "nz"))
+    return rounded(P.normals(t.dem, size=32).select(*P.KEY, "nx", "ny", "nz"))
 
 
 @query("h19_photometry", f"""
 SELECT tile_id, row_no, col_no, round(mu, 6) + 0.0 AS mu0, round_even(least(greatest(mu, 0), 1) * 255, 0) AS lambert,
   round_even(least(CASE WHEN mu > 0 THEN 2 * mu / (mu + 1) ELSE 0 END, 1) * 255, 0) AS lommel_seeliger
 FROM (SELECT *, (-d_col * sin(radians(45e0)) * cos(radians(1e1)) + d_row * cos(radians(45e0)) * cos(radians(1e1)) + sin(radians(1e1))) / sqrt(d_row*d_row + d_col*d_col + 1) AS mu
-      FROM ({grad_sql('{dem}', 'z', '5e0')}) g WHERE d_row IS NOT NULL AND d_col IS NOT NULL) y""")
+      FROM ({grad_sql('{dem_strip}', 'z', '5e0')}) g WHERE d_row IS NOT NULL AND d_col IS NOT NULL) y""")
 def _(t):
-    n = P.normals(t.dem).where("nx IS NOT NULL AND ny IS NOT NULL").withColumn("mu0", X.incidence_cos("nx", "ny", "nz", F.lit(45.0), F.lit(10.0)))
+    n = P.normals(t.dem, size=32).where("nx IS NOT NULL AND ny IS NOT NULL").withColumn("mu0", X.incidence_cos("nx", "ny", "nz", F.lit(45.0), F.lit(10.0)))
     return rounded(n.select(*P.KEY, "mu0", X.lambert("mu0").alias("lambert"), X.lommel_seeliger("mu0").alias("lommel_seeliger")))
 
 
@@ -169,13 +171,14 @@ def _(t):
 
 
 SOB = """SELECT * FROM (SELECT p.tile_id, p.row_no, p.col_no,
-  sum((n.col_no - p.col_no) * (2 - abs(n.row_no - p.row_no)) * n.dn) AS gx, sum((n.row_no - p.row_no) * (2 - abs(n.col_no - p.col_no)) * n.dn) AS gy, count(*) AS k
- FROM {pixels} p JOIN {pixels} n ON n.tile_id = p.tile_id AND n.row_no BETWEEN p.row_no - 1 AND p.row_no + 1 AND n.col_no BETWEEN p.col_no - 1 AND p.col_no + 1 GROUP BY ALL) s WHERE k = 9"""
+  sum(dx * (2 - abs(dy)) * n.dn) AS gx, sum(dy * (2 - abs(dx)) * n.dn) AS gy, count(*) AS k
+ FROM (SELECT *, unnest([-1, 0, 1]) AS dy FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM {pixels_strip}) x) p JOIN {pixels_strip} n ON n.line = p.line + dy AND n.col_no = p.col_no + dx
+ GROUP BY p.tile_id, p.row_no, p.col_no) s WHERE k = 9"""
 
 
 @query("i5_sobel", f"SELECT tile_id, row_no, col_no, gx, gy, round(sqrt(gx*gx + gy*gy), 6) AS magnitude FROM ({SOB}) z")
 def _(t):
-    return rounded(P.sobel(t.pixels))
+    return rounded(P.sobel(t.pixels, size=32))
 
 
 @query("i5_structure_map", f"""
@@ -184,10 +187,10 @@ WITH m AS (SELECT tile_id, row_no, col_no, sqrt(gx*gx + gy*gy) AS g FROM ({SOB})
  t AS (SELECT tile_id AS tid, avg(s) + 5e-1 * stddev_pop(s) AS th, max(s) AS mx FROM s GROUP BY tile_id)
 SELECT tile_id, row_no, col_no, round(s, 6) AS s, round(CASE WHEN s >= th AND mx - th >= 1e-6 THEN (s - th) / (mx - th) ELSE 0 END, 6) + 0.0 AS structure FROM s JOIN t ON tid = tile_id""")
 def _(t):
-    return rounded(P.structure_sobel(t.pixels))
+    return rounded(P.structure_sobel(t.pixels, 32))
 
 
-SOB_B = SOB.replace("{pixels}", "{pixels_b}")
+SOB_B = SOB.replace("{pixels_strip}", "{pixels_b_strip}")
 
 
 @query("i8_gradient_orientation", f"""
@@ -195,7 +198,7 @@ WITH a AS (SELECT *, sqrt(gx*gx + gy*gy) AS g FROM ({SOB}) z), b AS (SELECT *, s
 SELECT a.tile_id, count(*) AS n, round(avg(CASE WHEN a.g > 1e-3 AND b.g > 1e-3 THEN (a.gx * b.gx + a.gy * b.gy) / (a.g * b.g) ELSE 0 END), 6) + 0.0 AS score
 FROM a JOIN b ON b.tile_id = a.tile_id AND b.row_no = a.row_no AND b.col_no = a.col_no GROUP BY a.tile_id""")
 def _(t):
-    return rounded(P.orientation_score(P.gradient_orientation(t.pixels), P.gradient_orientation(t.pixels_b)))
+    return rounded(P.orientation_score(P.gradient_orientation(t.pixels, 32), P.gradient_orientation(t.pixels_b, 32)))
 
 
 @query("i6_block_mean", """
@@ -208,15 +211,18 @@ K5 = "[1/16e0, 4/16e0, 6/16e0, 4/16e0, 1/16e0]"
 
 
 def blur_sql(src, kernel, r):
-    h = f"SELECT p.tile_id, p.row_no, p.col_no, sum(({kernel})[n.col_no - p.col_no + {r} + 1] * n.dn) / sum(({kernel})[n.col_no - p.col_no + {r} + 1]) AS dn FROM {src} p JOIN {src} n ON n.tile_id = p.tile_id AND n.row_no = p.row_no AND n.col_no BETWEEN p.col_no - {r} AND p.col_no + {r} GROUP BY ALL"
-    return f"SELECT p.tile_id, p.row_no, p.col_no, sum(({kernel})[n.row_no - p.row_no + {r} + 1] * n.dn) / sum(({kernel})[n.row_no - p.row_no + {r} + 1]) AS dn FROM ({h}) p JOIN ({h}) n ON n.tile_id = p.tile_id AND n.col_no = p.col_no AND n.row_no BETWEEN p.row_no - {r} AND p.row_no + {r} GROUP BY ALL"
+    """Blur along rows, then along the lines of the whole product; src has line, col_no and dn."""
+    h = f"""SELECT p.tile_id, p.row_no, p.col_no, p.line, sum(({kernel})[d + {r} + 1] * n.dn) / sum(({kernel})[d + {r} + 1]) AS dn
+ FROM (SELECT *, unnest(range(-{r}, {r} + 1)) AS d FROM {src} s) p JOIN {src} n ON n.line = p.line AND n.col_no = p.col_no + d GROUP BY p.tile_id, p.row_no, p.col_no, p.line"""
+    return f"""SELECT p.tile_id, p.row_no, p.col_no, sum(({kernel})[d + {r} + 1] * n.dn) / sum(({kernel})[d + {r} + 1]) AS dn
+ FROM (SELECT *, unnest(range(-{r}, {r} + 1)) AS d FROM ({h}) s) p JOIN ({h}) n ON n.line = p.line + d AND n.col_no = p.col_no GROUP BY p.tile_id, p.row_no, p.col_no"""
 
 
 @query("i6_pyramid", f"""
 SELECT 0 AS level, tile_id, row_no, col_no, round(dn, 8) AS dn FROM {{pixels}} UNION ALL
-SELECT 1, tile_id, CAST(row_no / 2e0 AS BIGINT), CAST(col_no / 2e0 AS BIGINT), round(dn, 8) FROM ({blur_sql('{pixels}', K5, 2)}) b WHERE row_no % 2 = 0 AND col_no % 2 = 0""")
+SELECT 1, tile_id, CAST(row_no / 2e0 AS BIGINT), CAST(col_no / 2e0 AS BIGINT), round(dn, 8) FROM ({blur_sql('{pixels_strip}', K5, 2)}) b WHERE row_no % 2 = 0 AND col_no % 2 = 0""")
 def _(t):
-    return rounded(P.pyramid(t.pixels, 2), 8)
+    return rounded(P.pyramid(t.pixels, 2, 32), 8)
 
 
 G1 = "[" + ", ".join(repr(k).replace("e", "e") + ("" if "e" in repr(k) else "e0") for k in P.gaussian_kernel(1.0)) + "]"
@@ -224,10 +230,10 @@ G1 = "[" + ", ".join(repr(k).replace("e", "e") + ("" if "e" in repr(k) else "e0"
 
 @query("i7_gaussian_unsharp", f"""
 SELECT p.tile_id, p.row_no, p.col_no, round(least(1, greatest(0, p.dn + 3e-1 * (p.dn - b.dn))), 5) AS dn
-FROM (SELECT tile_id, row_no, col_no, v AS dn FROM {UNIT} u) p JOIN ({blur_sql('(SELECT tile_id, row_no, col_no, v AS dn FROM ' + UNIT + ' u)', G1, 4)}) b
+FROM (SELECT tile_id, row_no, col_no, v AS dn FROM {UNIT} u) p JOIN ({blur_sql('(SELECT *, tile_id * 32 + row_no AS line FROM (SELECT tile_id, row_no, col_no, v AS dn FROM ' + UNIT + ' u) w)', G1, 4)}) b
 ON b.tile_id = p.tile_id AND b.row_no = p.row_no AND b.col_no = p.col_no""")
 def _(t):
-    return rounded(P.unsharp(unit(t).withColumnRenamed("v", "dn")), 5)
+    return rounded(P.unsharp(unit(t).withColumnRenamed("v", "dn"), size=32), 5)
 
 
 @query("e11_hist_equalize", """
@@ -252,39 +258,39 @@ def _(t):
     return rounded(P.clahe(bytes_(t), 32, 4), 5)
 
 
-POINTS = """(SELECT tile_id, match_id, x, y FROM (SELECT o_orderkey AS match_id, CAST(floor(o_orderkey / 1024e0) AS BIGINT) AS tile_id, (o_orderkey * 7919 % 3000) / 1e2 AS x, (o_orderkey * 104729 % 3000) / 1e2 AS y FROM {orders}) z)"""
+POINTS = """(SELECT tile_id, match_id, x, y FROM (SELECT o_orderkey AS match_id, CAST(floor(o_orderkey / 1024e0) AS BIGINT) AS tile_id, (o_orderkey * 7919 % 3000) / 1e2 AS x, (o_orderkey * 104729 % 3200) / 1e2 AS y FROM {orders}) z)"""
 
 
 def points(t):
     k = F.col("o_orderkey")
-    return t.orders.select(F.floor(k / 1024).alias("tile_id"), k.alias("match_id"), ((k * 7919) % 3000 / 100.0).alias("x"), ((k * 104729) % 3000 / 100.0).alias("y"))
+    return t.orders.select(F.floor(k / 1024).alias("tile_id"), k.alias("match_id"), ((k * 7919) % 3000 / 100.0).alias("x"), ((k * 104729) % 3200 / 100.0).alias("y"))
 
 
 @query("c11_sample_bilinear", f"""
 SELECT tile_id, match_id, round(CASE WHEN k = need THEN s END, 5) AS sampled FROM (SELECT p.tile_id, match_id, count(dn) AS k, sum(w * dn) AS s, count(*) AS need FROM (
   SELECT p.*, floor(y) + dy AS r, floor(x) + dx AS c, (CASE dy WHEN 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) * (CASE dx WHEN 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) AS w
-  FROM {POINTS} p, (SELECT unnest([0, 1]) AS dy) a, (SELECT unnest([0, 1]) AS dx) b) p LEFT JOIN {{pixels}} q ON q.tile_id = p.tile_id AND q.row_no = p.r AND q.col_no = p.c WHERE w > 0 GROUP BY ALL) g""")
+  FROM {POINTS} p, (SELECT unnest([0, 1]) AS dy) a, (SELECT unnest([0, 1]) AS dx) b) p LEFT JOIN {{pixels_strip}} q ON q.line = p.tile_id * 32 + p.r AND q.col_no = p.c WHERE w > 0 GROUP BY ALL) g""")
 def _(t):
-    return rounded(P.sample_raster(points(t), t.pixels).select("tile_id", "match_id", "sampled"), 5)
+    return rounded(P.sample_raster(points(t), t.pixels, size=32).select("tile_id", "match_id", "sampled"), 5)
 
 
 @query("c11_sample_nearest", f"""
-SELECT p.tile_id, match_id, dn AS sampled FROM {POINTS} p LEFT JOIN {{pixels}} q ON q.tile_id = p.tile_id AND q.row_no = round_even(y, 0) AND q.col_no = round_even(x, 0)""")
+SELECT p.tile_id, match_id, dn AS sampled FROM {POINTS} p LEFT JOIN {{pixels_strip}} q ON q.line = p.tile_id * 32 + round_even(y, 0) AND q.col_no = round_even(x, 0)""")
 def _(t):
-    return P.sample_raster(points(t), t.pixels, "nearest").select("tile_id", "match_id", "sampled")
+    return P.sample_raster(points(t), t.pixels, "nearest", size=32).select("tile_id", "match_id", "sampled")
 
 
 @query("d34_slope_vs_residual", f"""
-WITH s AS (SELECT tile_id, row_no, col_no, round(degrees(atan(sqrt(d_row*d_row + d_col*d_col))), 9) AS sl FROM ({grad_sql('{dem}', 'z', '5e0')}) g WHERE d_row IS NOT NULL AND d_col IS NOT NULL),
- j AS (SELECT p.tile_id, r.residual_px AS x, sl AS y FROM {POINTS} p JOIN {{residuals}} r ON r.match_id = p.match_id JOIN s ON s.tile_id = p.tile_id AND s.row_no = round_even(p.y, 0) AND s.col_no = round_even(p.x, 0) WHERE residual_px <= 15),
+WITH s AS (SELECT tile_id, row_no, col_no, round(degrees(atan(sqrt(d_row*d_row + d_col*d_col))), 9) AS sl FROM ({grad_sql('{dem_strip}', 'z', '5e0')}) g WHERE d_row IS NOT NULL AND d_col IS NOT NULL),
+ j AS (SELECT p.tile_id, r.residual_px AS x, sl AS y FROM {POINTS} p JOIN {{residuals}} r ON r.match_id = p.match_id JOIN s ON s.tile_id * 32 + s.row_no = p.tile_id * 32 + round_even(p.y, 0) AND s.col_no = round_even(p.x, 0) WHERE residual_px <= 15),
  k AS (SELECT *, rank() OVER (PARTITION BY tile_id ORDER BY x) + (count(*) OVER (PARTITION BY tile_id, x) - 1) / 2e0 AS rx, rank() OVER (PARTITION BY tile_id ORDER BY y) + (count(*) OVER (PARTITION BY tile_id, y) - 1) / 2e0 AS ry FROM j)
 SELECT tile_id, count(*) AS n, round(corr(x, y), 8) + 0.0 AS pearson_r, round(corr(rx, ry), 8) + 0.0 AS spearman_rho, round(avg(y), 5) AS mean_slope_deg FROM k GROUP BY tile_id""")
 def _(t):
     from tieline.operators.controls import correlations
     from tieline.plans.tiepoint_queries import residuals
 
-    sl = P.slope(t.dem).where("slope_deg IS NOT NULL").withColumn("s", F.round("slope_deg", 9))
-    p = P.sample_raster(points(t), sl, "nearest", "s").where("sampled IS NOT NULL")
+    sl = P.slope(t.dem, size=32).where("slope_deg IS NOT NULL").withColumn("s", F.round("slope_deg", 9))
+    p = P.sample_raster(points(t), sl, "nearest", "s", size=32).where("sampled IS NOT NULL")
     j = p.join(residuals(t).where("residual_px <= 15").select("match_id", "residual_px"), "match_id")
     c = correlations(j, "residual_px", "sampled", ["tile_id"])
     return rounded(c.join(j.groupBy("tile_id").agg(F.avg("sampled").alias("mean_slope_deg")), "tile_id"), 8, mean_slope_deg=5)
@@ -300,9 +306,21 @@ def _(t):
     return rounded(h.select(*P.KEY, "max_tan", P.sky_view("max_tan").alias("sky_view"), P.shadow_mask("max_tan", 10.0).alias("shadow")))
 
 
-@query("e15_horizon_any")
+@query("e15_horizon_south", """
+SELECT p.tile_id, p.row_no, p.col_no, round(max((n.z - p.z) / (d * 5e0)), 6) + 0.0 AS max_tan FROM (SELECT *, unnest(range(1, 41)) AS d FROM {dem_strip}) p
+JOIN {dem_strip} n ON n.line = p.line + d AND n.col_no = p.col_no GROUP BY p.tile_id, p.row_no, p.col_no""")
+def _(t):
+    return rounded(P.horizon_axis(t.dem, 180, 40, size=32).where("max_tan > -1e9").select(*P.KEY, "max_tan"))
+
+
+@query("e15_horizon_any", f"""
+WITH r AS (SELECT *, unnest(range(1, 11)) AS k FROM {{dem_strip}}), q AS (SELECT *, line + k * {-math.cos(math.radians(130)):.12f}e0 AS y, col_no + k * {math.sin(math.radians(130)):.12f}e0 AS x FROM r),
+ c AS (SELECT *, floor(y) + dy AS cl, floor(x) + dx AS cc, abs(1 - dy - (y - floor(y))) * abs(1 - dx - (x - floor(x))) AS w FROM q, (SELECT unnest([0, 1]) AS dy) a, (SELECT unnest([0, 1]) AS dx) b),
+ v AS (SELECT c.tile_id, c.row_no, c.col_no, c.k, any_value(c.z) AS z, sum(w * n.z) AS v, count(n.z) AS have, count(*) AS need FROM c LEFT JOIN {{dem_strip}} n ON n.line = c.cl AND n.col_no = c.cc WHERE w > 0 GROUP BY c.tile_id, c.row_no, c.col_no, c.k)
+SELECT tile_id, row_no, col_no, round(coalesce(max(CASE WHEN have = need THEN (v - z) / (k * 5e0) END), -1e9), 6) AS max_tan, coalesce(max(CASE WHEN have = need THEN (v - z) / (k * 5e0) END), -1e9) > tan(radians(1e1)) AS shadow
+FROM v GROUP BY tile_id, row_no, col_no""")
 def _(t):
-    return P.horizon(t.dem, 32, 130.0, 10).withColumn("shadow", P.shadow_mask("max_tan", 10.0))
+    return rounded(P.horizon(t.dem, 32, 130.0, 10).withColumn("shadow", P.shadow_mask("max_tan", 10.0)))
 
 
 @query("b20_scale_dem", "SELECT tile_id, row_no, col_no, CASE WHEN dn <> 150 THEN round(dn * 5e-1, 6) END AS z FROM {pixels}")
@@ -332,7 +350,8 @@ def _(t):
     return P.regular_nodes(32, 32, 6, 4, t.pixels)
 
 
-SAFE = """SELECT tile_id, row_no, col_no FROM (SELECT p.tile_id, p.row_no, p.col_no, count(*) AS k FROM {pixels} p JOIN {pixels} n ON n.tile_id = p.tile_id AND abs(n.row_no - p.row_no) <= 1 AND abs(n.col_no - p.col_no) <= 1 GROUP BY ALL) s WHERE k = 9"""
+SAFE = """SELECT tile_id, row_no, col_no FROM (SELECT p.tile_id, p.row_no, p.col_no, count(*) AS k FROM (SELECT *, unnest([-1, 0, 1]) AS dy FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM {pixels_strip}) x) p
+ JOIN {pixels_strip} n ON n.line = p.line + dy AND n.col_no = p.col_no + dx GROUP BY p.tile_id, p.row_no, p.col_no) s WHERE k = 9"""
 
 
 @query("b17_conforming_nodes", f"""
@@ -340,7 +359,7 @@ WITH s AS ({SAFE}), r AS (SELECT tile_id, row_no, min(col_no) AS c0, max(col_no)
  y AS (SELECT tile_id, i AS iy, CAST(floor(r0 + i * (r1 - r0) / 4e0) AS BIGINT) AS qy FROM e, (SELECT unnest(range(5)) AS i) n)
 SELECT y.tile_id, iy, j AS ix, qy, CAST(floor(c0 + j * (c1 - c0) / 3e0) AS BIGINT) AS qx FROM y JOIN r ON r.tile_id = y.tile_id AND r.row_no = y.qy AND k >= 4, (SELECT unnest(range(4)) AS j) m""")
 def _(t):
-    return P.conforming_nodes(t.pixels, 1, 4, 5)
+    return P.conforming_nodes(t.pixels, 1, 4, 5, 32)
 
 
 @query("e5_longest_run", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tieline.operators import controls as N, pixels as P, tiles as L
-from tieline.plans.pixel_queries import SOB
+from tieline.plans.pixel_queries import blur_sql
 from tieline.plans.tiepoint_queries import rounded
 from tieline.registry import query
 
@@ -74,28 +74,28 @@ def tile_matches(t):
 TM = """(SELECT CAST(floor(o_orderkey / 1024e0) AS BIGINT) AS tile_id, o_orderkey AS match_id, (o_orderkey * 7919) % 2200 / 1e2 + 5 AS sx, (o_orderkey * 104729) % 2100 / 1e2 + 5 AS sy, o_orderkey % 3 - 1 AS ox, o_orderkey % 2 AS oy,
   ((o_orderkey * 29) % 100) / 1e2 AS confidence FROM {orders})"""
 NCC = """SELECT m.tile_id, m.match_id, any_value(m.confidence) AS confidence, CASE WHEN corr(a.{v}, b.{v}) IS NULL OR isnan(corr(a.{v}, b.{v})) THEN 0 ELSE corr(a.{v}, b.{v}) END AS ncc, count(*) AS n
- FROM {tm} m JOIN {src} a ON a.tile_id = m.tile_id AND a.row_no BETWEEN round_even(sy, 0) - 2 AND round_even(sy, 0) + 2 AND a.col_no BETWEEN round_even(sx, 0) - 2 AND round_even(sx, 0) + 2
- JOIN {dst} b ON b.tile_id = m.tile_id AND b.row_no = a.row_no - round_even(sy, 0) + round_even(sy + oy, 0) AND b.col_no = a.col_no - round_even(sx, 0) + round_even(sx + ox, 0) GROUP BY m.tile_id, m.match_id HAVING count(*) = 25"""
+ FROM {tm} m JOIN (SELECT unnest(range(-2, 3)) AS i) i ON true JOIN (SELECT unnest(range(-2, 3)) AS j) j ON true JOIN {src} a ON a.line = m.tile_id * 32 + round_even(sy, 0) + i AND a.col_no = round_even(sx, 0) + j
+ JOIN {dst} b ON b.line = m.tile_id * 32 + round_even(sy + oy, 0) + i AND b.col_no = round_even(sx + ox, 0) + j GROUP BY m.tile_id, m.match_id HAVING count(*) = 25"""
 
 
 def ncc_sql(src, dst, v):
     return NCC.replace("{tm}", TM).replace("{src}", src).replace("{dst}", dst).replace("{v}", v)
 
 
-@query("d28_patch_ncc", f"SELECT m.tile_id, m.match_id, round(ncc, 6) + 0.0 AS ncc FROM {TM} m LEFT JOIN ({ncc_sql('{pixels}', '{pixels_b}', 'dn')}) n ON n.match_id = m.match_id")
+@query("d28_patch_ncc", f"SELECT m.tile_id, m.match_id, round(ncc, 6) + 0.0 AS ncc FROM {TM} m LEFT JOIN ({ncc_sql('{pixels_strip}', '{pixels_b_strip}', 'dn')}) n ON n.match_id = m.match_id")
 def _(t):
-    return rounded(L.patch_ncc(tile_matches(t), t.pixels, t.pixels_b, 2).select("tile_id", "match_id", "ncc"))
+    return rounded(L.patch_ncc(tile_matches(t), t.pixels, t.pixels_b, 2, size=32).select("tile_id", "match_id", "ncc"))
 
 
-@query("d28_patch_ncc_summary", f"SELECT tile_id, count(*) AS n, round(avg(ncc), 6) + 0.0 AS mean_ncc, round(stddev_pop(ncc), 6) AS std_ncc FROM ({ncc_sql('{pixels}', '{pixels_b}', 'dn')}) n GROUP BY tile_id")
+@query("d28_patch_ncc_summary", f"SELECT tile_id, count(*) AS n, round(avg(ncc), 6) + 0.0 AS mean_ncc, round(stddev_pop(ncc), 6) AS std_ncc FROM ({ncc_sql('{pixels_strip}', '{pixels_b_strip}', 'dn')}) n GROUP BY tile_id")
 def _(t):
-    n = L.patch_ncc(tile_matches(t), t.pixels, t.pixels_b, 2).where("ncc IS NOT NULL")
+    n = L.patch_ncc(tile_matches(t), t.pixels, t.pixels_b, 2, size=32).where("ncc IS NOT NULL")
     return rounded(n.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.avg("ncc").alias("mean_ncc"), F.stddev_pop("ncc").alias("std_ncc")))
 
 
 @query("i4_structural_verify")
 def _(t):
-    return rounded(L.structural_verify(tile_matches(t), t.pixels, t.pixels).select("tile_id", "match_id", "ncc", "confidence"))
+    return rounded(L.structural_verify(tile_matches(t), t.pixels, t.pixels, size=32).select("tile_id", "match_id", "ncc", "confidence"))
 
 
 @query("i5_structure_composite")
@@ -110,7 +110,7 @@ def _(t):
 
 @query("i15_closure_check")
 def _(t):
-    moved = P.smooth(t.pixels, [0.25, 0.5, 0.25])
+    moved = P.smooth(t.pixels, [0.25, 0.5, 0.25], size=32)
     return rounded(L.closure_check(t.pixels, moved, 32, 0.5))
 
 
@@ -131,22 +131,47 @@ def _(t):
     return rounded(L.lattice_interpolate(source_points(t), t.geometry_a, 100, 100, ["lat", "lon"]).select("match_id", "lat", "lon"), 9)
 
 
-@query("c12_resample_to_grid")
+BILINEAR = """SELECT {keys}, CASE WHEN count(n.dn) = count(*) THEN sum(w * n.dn) END AS v FROM (
+  SELECT p.*, floor(y) + dy AS cl, floor(x) + dx AS cc, abs(1 - dy - (y - floor(y))) * abs(1 - dx - (x - floor(x))) AS w FROM {points} p, (SELECT unnest([0, 1]) AS dy) a, (SELECT unnest([0, 1]) AS dx) b) c
+ LEFT JOIN {raster} n ON n.line = c.cl AND n.col_no = c.cc WHERE w > 0 GROUP BY {keys}"""
+
+
+def bilinear_sql(points, raster, keys):
+    """Value of a raster (line, col_no, dn) at points (y = product line, x), null where a corner is missing."""
+    return BILINEAR.replace("{keys}", keys).replace("{points}", points).replace("{raster}", raster)
+
+
+@query("c12_resample_to_grid", f"""
+WITH p AS (SELECT o_orderkey AS match_id, ((o_orderkey * 31) % 4700 + 5e-1) / 1e2 AS fy, ((o_orderkey * 17) % 3800 + 25e-2) / 1e2 AS fx FROM {{orders}}),
+ k AS (SELECT match_id, CAST(floor(fy) AS BIGINT) + a AS i, CAST(floor(fx) AS BIGINT) + b AS j, (CASE a WHEN 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END) * (CASE b WHEN 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END) AS w
+   FROM p, (SELECT unnest([0, 1]) AS a) x, (SELECT unnest([0, 1]) AS b) y),
+ geo AS (SELECT match_id, CASE WHEN count(lat) = count(*) THEN sum(w * lat) END AS lat, CASE WHEN count(lat) = count(*) THEN sum(w * lon) END AS lon FROM k LEFT JOIN {LAT} g ON g.i = k.i AND g.j = k.j WHERE w > 0 GROUP BY match_id),
+ pos AS (SELECT *, (lat + 6e1) * 300 AS y, (lon - 1e1) * 35 AS x FROM geo)
+SELECT pos.match_id, round(lat, 9) AS lat, round(lon, 9) AS lon, round(v, 6) + 0.0 AS sampled FROM pos LEFT JOIN ({bilinear_sql('pos', '{pixels_strip}', 'match_id')}) s ON s.match_id = pos.match_id""")
 def _(t):
     def to_pixel(lat, lon):
         row = (lat + 60.0) * 300
         return F.floor(row / 32).cast("bigint"), (lon - 10.0) * 35, row % 32
 
-    r = L.resample_to_grid(source_points(t), t.geometry_a, 100, 100, t.pixels, to_pixel)
-    return rounded(r.select("match_id", "lat", "lon", "sampled"))
+    r = L.resample_to_grid(source_points(t), t.geometry_a, 100, 100, t.pixels, to_pixel, 32)
+    return rounded(r.select("match_id", "lat", "lon", "sampled"), 6, lat=9, lon=9)
+
+
+GRID = "[" + ", ".join(f"{k!r}::DOUBLE" for k in P.gaussian_kernel(1.0)) + "]"
 
 
-@query("c13_reference_grid")
+@query("c13_reference_grid", f"""
+WITH b AS (SELECT *, tile_id * 32 + row_no AS line FROM ({blur_sql('{pixels_strip}', GRID, 4)}) z), g AS (SELECT tile_id, r AS row_no, c AS col_no, tile_id * 32 + (r + 5e-1) * 2 - 5e-1 AS y, (c + 5e-1) * 2 - 5e-1 AS x
+   FROM (SELECT DISTINCT tile_id FROM {{pixels}}) t, (SELECT unnest(range(16)) AS r) a, (SELECT unnest(range(16)) AS c) d)
+SELECT tile_id, row_no, col_no, round(coalesce(v, 0), 6) + 0.0 AS dn, v IS NOT NULL AS valid FROM ({bilinear_sql('g', 'b', 'c.tile_id, c.row_no, c.col_no')}) s""")
 def _(t):
     return rounded(L.reference_grid(t.pixels, 32, 2.0))
 
 
-@query("i13_warp")
+@query("i13_warp", f"""
+WITH g AS (SELECT tile_id, r AS row_no, c AS col_no, r - (-75e-2) AS qy, c - 15e-1 AS qx FROM (SELECT DISTINCT tile_id FROM {{pixels}}) t, (SELECT unnest(range(32)) AS r) a, (SELECT unnest(range(32)) AS c) d),
+ p AS (SELECT tile_id, row_no, col_no, (101e-2 * qx + 2e-2 * qy) / (101e-2 * 101e-2 + 4e-4) AS x, tile_id * 32 + (101e-2 * qy - 2e-2 * qx) / (101e-2 * 101e-2 + 4e-4) AS y FROM g)
+SELECT tile_id, row_no, col_no, round(v, 6) + 0.0 AS dn FROM ({bilinear_sql('p', '{pixels_strip}', 'c.tile_id, c.row_no, c.col_no')}) s""")
 def _(t):
     return rounded(L.warp(t.pixels, 32, F.lit(1.01), F.lit(0.02), F.lit(1.5), F.lit(-0.75)))
 
@@ -170,9 +195,10 @@ def _(t):
 
 
 @query("d38_frame_jacobian", """
-WITH f AS (SELECT tile_id, row_no, col_no, col_no * 47e-1 + row_no * 2e-1 + dn / 1e3 AS mx, -row_no * 46e-1 + dn / 2e3 AS my FROM {pixels})
+WITH f AS (SELECT tile_id, row_no, col_no, col_no * 47e-1 + (tile_id * 32 + row_no) * 2e-1 + dn / 1e3 AS mx, -(tile_id * 32 + row_no) * 46e-1 + dn / 2e3 AS my FROM {pixels})
 SELECT f.tile_id, round(median(c.mx - f.mx), 6) AS map_x_dcol, round(median(r.mx - f.mx), 6) AS map_x_drow, round(median(c.my - f.my), 6) + 0.0 AS map_y_dcol, round(median(r.my - f.my), 6) AS map_y_drow
-FROM f LEFT JOIN f c ON c.tile_id = f.tile_id AND c.row_no = f.row_no AND c.col_no = f.col_no + 1 LEFT JOIN f r ON r.tile_id = f.tile_id AND r.row_no = f.row_no + 1 AND r.col_no = f.col_no GROUP BY f.tile_id""")
+FROM f LEFT JOIN f c ON c.tile_id = f.tile_id AND c.row_no = f.row_no AND c.col_no = f.col_no + 1 LEFT JOIN f r ON r.tile_id * 32 + r.row_no = f.tile_id * 32 + f.row_no + 1 AND r.col_no = f.col_no GROUP BY f.tile_id""")
 def _(t):
-    f = t.pixels.withColumn("map_x", F.col("col_no") * 4.7 + F.col("row_no") * 0.2 + F.col("dn") / 1e3).withColumn("map_y", -F.col("row_no") * 4.6 + F.col("dn") / 2e3)
-    return rounded(N.frame_jacobian(f))
+    line = F.col("tile_id") * 32 + F.col("row_no")
+    f = t.pixels.withColumn("map_x", F.col("col_no") * 4.7 + line * 0.2 + F.col("dn") / 1e3).withColumn("map_y", -line * 4.6 + F.col("dn") / 2e3)
+    return rounded(N.frame_jacobian(f, 32))

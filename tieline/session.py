@@ -25,9 +25,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an iterative step on shared storage so lost executors do not replay every round."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an iterative step to shared storage and read it back: lost executors do not replay earlier rounds, the
+    step is computed once, and its size is known to the optimizer."""
+    path = shared_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

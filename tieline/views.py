@@ -112,6 +112,10 @@ SELECT tile_id, row_no, col_no,
 FROM {pixels}
 """
 
+# the same rasters with the line of the whole product
+for _name in ("pixels", "pixels_b", "dem"):
+    VIEWS[f"{_name}_strip"] = "SELECT *, tile_id * 32 + row_no AS line FROM {" + _name + "}"
+
 VIEWS["cube"] = """
 SELECT CAST(floor(vec_id / 5e2) AS BIGINT) AS product_id, CAST(floor((vec_id % 500) / 25e0) AS BIGINT) AS line,
        vec_id % 25 AS sample, embedding AS spectrum
