@@ -6,7 +6,7 @@ smallest value of all shingles under a hash of its own, so that short texts band
 collision-corrected estimate drops the clearly different, and the rest are compared on their full sets.
 
 All members of a band are first compared with its smallest document only. Then only pairs of a band that these links
-left in different components are looked at: inside the join by a 2048-bit digest of both sets, of which few that are
+left in different components are looked at: inside the join by a 4096-bit digest of both sets, of which few that are
 not links pass, and each pair in the first band it shares. Nothing is capped; members of a crowded band that resemble
 each other without being links are the one case in which the join still looks at each pair. With 40 bands of 5
 registers a pair of similarity 0.8 is missed with a chance of about 1e-7, by the digest with 3e-7; for more than some
@@ -23,7 +23,7 @@ from tieline.llm.common import WordHashes, as_bytes, components, gram_hashes, mi
 BANDS, ROWS, MANTISSA, EMPTY = 40, 5, 10, 0xFFFF
 SHINGLE_WORDS, SIMILARITY = 5, 80
 FIRST_LOOK, FEW = 0.6, 24
-WORDS, MOST_APART = 32, 273
+WORDS, MOST_APART = 64, 514
 
 
 def compress(least):
@@ -126,26 +126,28 @@ def promising(pairs: DataFrame, nodes: DataFrame, share: int = SIMILARITY) -> Da
 
 
 def digests(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, d0..d31): one bit of each of 2048 minima of a shingle set. Two sets differ in half of (1 - similarity) of
+    """(node, d0..d63): one bit of each of 4096 minima of a shingle set. Two sets differ in half of (1 - similarity) of
     the bits on average; at 0.8 more than MOST_APART differ with a chance of 3e-7. texts: node, text as bytes."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         hashes = WordHashes()
-        seeds = mix(np.arange(1, WORDS * 64 + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB))
+        seeds = (mix(np.arange(1, WORDS * 64 + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.uint32)
         for b in batches:
             for lo, hi in pieces(b.column(1)):
                 out = np.zeros((hi - lo, WORDS), np.int64)
                 for i, raw in enumerate(b.column(1).slice(lo, hi - lo).to_pylist()):
                     words = raw.lower().split()
-                    grams = np.unique(gram_hashes(hashes(words), min(shingle_words, len(words))))
+                    grams = (np.unique(gram_hashes(hashes(words), min(shingle_words, len(words)))) >> np.uint64(32)).astype(np.uint32)
                     bits = np.empty(len(seeds), bool)
                     step = max(1, 500_000 // max(len(grams), 1))
                     for s in range(0, len(seeds), step):
-                        v = (grams[None, :] ^ seeds[s:s + step, None]) * np.uint64(0xD6E8FEB86659FD93)
-                        v ^= v >> np.uint64(32)
-                        bits[s:s + step] = mix(v.min(1)) & np.uint64(1) == 1
+                        v = grams[None, :] ^ seeds[s:s + step, None]
+                        v *= np.uint32(0x9E3779B1)
+                        v ^= v >> np.uint32(15)
+                        v *= np.uint32(0x85EBCA77)
+                        bits[s:s + step] = mix(v.min(1).astype(np.uint64)) & np.uint64(1) == 1
                     out[i] = np.packbits(bits).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *[pa.array(np.ascontiguousarray(out[:, k])) for k in range(WORDS)]], ["node", *[f"d{k}" for k in range(WORDS)]])
 
