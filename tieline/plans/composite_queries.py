@@ -53,12 +53,6 @@ def node_matches(t, ref, priors=None):
                     ((F.col("tile_id") % 8) * 32 + F.col("qy")).cast("double").alias("src_y"), F.col("ref_x"), ((F.col("tile_id") % 8) * 32 + F.col("ref_y")).alias("ref_y"), "peak", ok.alias("accepted"))
 
 
-def moved(t, dx, dy):
-    """The reference raster: the source moved by whole pixels along the strip (tiles follow each other)."""
-    line = F.col("tile_id") * 32 + F.col("row_no") + dy
-    return t.pixels_b.select(F.floor(line / 32).alias("tile_id"), (line % 32).alias("row_no"), (F.col("col_no") + dx).alias("col_no"), "dn").where("col_no BETWEEN 0 AND 31 AND tile_id >= 0")
-
-
 @query("q3_registration")
 def _(t):
     """Match nodes, choose the model by held-out error, fit by consensus, compare with the control references."""

@@ -187,11 +187,21 @@ def _(t):
     return rounded(M.ransac_sweep(kept, [10.0, 5.0], iters=60))
 
 
-@query("i11_pspline_fit")
+def jittered(t, parallax=0.0):
+    """Tie points with a planted cubic along-track displacement; every tenth lies 60 px off."""
+    v, h = F.col("src_y") / 1000.0, (F.col("match_id") * 67 % 1001) / 10.0
+    off = F.when(F.col("match_id") % 10 == 0, 60.0).otherwise(0.0)
+    return t.tiepoints.withColumn("h", h).withColumn("ref_x", F.col("src_x") + 3.0 + 2.0 * v * v + parallax * h + off).withColumn(
+        "ref_y", F.col("src_y") - 1.0 + v - v * v * v + F.col("src_x") / 1000.0 - parallax / 2 * h)
+
+
+@query("i11_pspline_fit", """
+SELECT pair_id, count(*) AS n, count(*) FILTER (match_id % 10 <> 0) AS n_inliers, true AS close FROM {tiepoints} GROUP BY pair_id""")
 def _(t):
-    _, pts = M.pspline_fit(t.tiepoints, 12.0, 250.0)
+    """Planted displacement: the points that follow it are the inliers and keep a small residual."""
+    _, pts = M.pspline_fit(jittered(t), 4.0, 250.0)
     inl = F.when(F.col("is_inlier"), F.col("fit_px"))
-    return rounded(pts.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.count(inl).alias("n_inliers"), F.sqrt(F.avg(inl * inl)).alias("rmse_px")), 4)
+    return pts.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.count(inl).alias("n_inliers"), (F.sqrt(F.avg(inl * inl)) < 0.2).alias("close"))
 
 
 def with_height(t):
@@ -200,10 +210,12 @@ def with_height(t):
     return t.tiepoints.withColumn("h", h).withColumn("ref_x", F.col("ref_x") + 0.2 * F.col("h"))
 
 
-@query("i12_pspline_relief")
+@query("i12_pspline_relief", """
+SELECT pair_id, count(*) FILTER (match_id % 10 <> 0) AS n_used, 2e-1 AS parallax_x, -1e-1 AS parallax_y, round(median((match_id * 67 % 1001) / 1e1), 4) AS h0 FROM {tiepoints} GROUP BY pair_id""")
 def _(t):
-    m, _ = M.pspline_fit(with_height(t), 12.0, 250.0, relief=True)
-    return rounded(m.select("pair_id", "n_used", F.col("px").alias("parallax_x"), F.col("py").alias("parallax_y"), F.col("h0")), 4)
+    """Planted parallax of 0.2 and -0.1 px per metre beside the along-track displacement."""
+    m, _ = M.pspline_fit(jittered(t, 0.2), 4.0, 250.0, relief=True)
+    return m.select("pair_id", "n_used", F.round("px", 2).alias("parallax_x"), F.round("py", 2).alias("parallax_y"), F.round("h0", 4).alias("h0"))
 
 
 @query("d38_parallax_check")

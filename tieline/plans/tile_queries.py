@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tieline.operators import controls as N, pixels as P, tiles as L
-from tieline.plans.pixel_queries import blur_sql
+from tieline.plans.pixel_queries import SOB, blur_sql
 from tieline.plans.tiepoint_queries import rounded
 from tieline.registry import query
 
@@ -49,19 +49,47 @@ def _(t):
     return rounded(u.select("tile_id", "qy", "qx", "peak_y", "peak_x", "peak", ok.alias("accepted")))
 
 
-@query("i1_match_nodes")
+def moved(t, dx, dy):
+    """The reference raster: the source moved by whole pixels along the strip (tiles follow each other)."""
+    line = F.col("tile_id") * 32 + F.col("row_no") + dy
+    return t.pixels_b.select(F.floor(line / 32).alias("tile_id"), (line % 32).alias("row_no"), (F.col("col_no") + dx).alias("col_no"), "dn").where("col_no BETWEEN 0 AND 31 AND tile_id >= 0")
+
+
+FULL = "(SELECT tile_id FROM {pixels_b} GROUP BY tile_id HAVING count(*) = 1024)"
+
+
+@query("i1_match_nodes", """
+WITH r AS (SELECT line + 1 AS line, col_no + 1 AS col_no FROM {pixels_b_strip} WHERE col_no < 31),
+ nd AS (SELECT tile_id, y AS qy, x AS qx, tile_id * 32 + y AS l FROM (SELECT DISTINCT tile_id FROM {pixels_b}) t, (SELECT unnest(range(5, 27, 6)) AS y) a, (SELECT unnest(range(5, 27, 6)) AS x) b),
+ tp AS (SELECT nd.* FROM nd JOIN {pixels_b_strip} p ON p.line BETWEEN l - 5 AND l + 4 AND p.col_no BETWEEN qx - 5 AND qx + 4 GROUP BY ALL HAVING count(*) = 100)
+SELECT tp.tile_id, qy, qx, 1e0 AS dx, 1e0 AS dy, 1e0 AS peak, false AS on_edge FROM tp JOIN r ON r.line BETWEEN l - 9 AND l + 8 AND r.col_no BETWEEN qx - 9 AND qx + 8 GROUP BY ALL HAVING count(*) = 324""")
 def _(t):
-    return rounded(L.match_nodes(t.pixels_b, t.pixels_b, 32, 6, 5, 4))
+    """The raster against itself moved by (1, 1): every node with a whole template and window finds the move."""
+    n = L.match_nodes(t.pixels_b, moved(t, 1, 1), 32, 6, 5, 4)
+    return n.select("tile_id", "qy", "qx", F.round(F.col("ref_x") - F.col("qx")).alias("dx"), F.round(F.col("ref_y") - F.col("qy")).alias("dy"), F.round("peak", 6).alias("peak"), "on_edge")
 
 
-@query("i2_phase_correlation")
+@query("i2_phase_correlation", f"""
+SELECT tile_id, 2e0 AS dx, 1e0 AS dy, 57 AS n_cases FROM {FULL} f""")
 def _(t):
-    return rounded(L.phase_correlation(t.pixels, t.pixels_b, 32, null_draws=5, upsample=10))
+    """Every whole tile against itself moved by (2, 1): the genuine shift beside all controls and 50 null draws."""
+    full = t.pixels_b.groupBy("tile_id").count().where("count = 1024").select("tile_id")
+    runs = L.phase_correlation(t.pixels_b, moved(t, 2, 1), 32, null_draws=50)
+    def genuine(c):
+        return F.round(F.max(F.when(F.col("arm") == "genuine", F.col(c)))) + 0.0
+    return runs.groupBy("tile_id").agg(genuine("dx").alias("dx"), genuine("dy").alias("dy"), F.count(F.lit(1)).alias("n_cases")).join(full, "tile_id", "left_semi")
 
 
-@query("i3_refine_matches")
+@query("i3_refine_matches", f"""
+SELECT tile_id, match_id, 0e0 - ox AS shift_x, 0e0 - oy AS shift_y, sx + ox >= 7 AND sx + ox < 25 AND sy + oy >= 7 AND sy + oy < 25 AS refined
+FROM (SELECT CAST(floor(o_orderkey / 1024e0) AS BIGINT) AS tile_id, o_orderkey AS match_id, (o_orderkey * 7919) % 2200 / 1e2 + 5 AS sx, (o_orderkey * 104729) % 2100 / 1e2 + 5 AS sy, o_orderkey % 3 - 1 AS ox, o_orderkey % 2 AS oy FROM {{orders}}) m
+SEMI JOIN {FULL} f USING (tile_id) WHERE sx + ox >= 7 AND sx + ox < 25 AND sy + oy >= 7 AND sy + oy < 25""")
 def _(t):
-    return rounded(L.refine_matches(tile_matches(t), t.pixels, t.pixels, 32, 9, method="ncc", search=3))
+    """Matches whose reference side is off by whole pixels: the local search takes them back."""
+    full = t.pixels_b.groupBy("tile_id").count().where("count = 1024").select("tile_id")
+    inside = "rx >= 7 AND rx < 25 AND ry >= 7 AND ry < 25"
+    r = L.refine_matches(tile_matches(t).join(full, "tile_id", "left_semi").where(inside), t.pixels_b, t.pixels_b, 32, 9, method="ncc", search=3)
+    return r.select("tile_id", "match_id", (F.round("shift_x") + 0.0).alias("shift_x"), (F.round("shift_y") + 0.0).alias("shift_y"), "refined")
 
 
 def tile_matches(t):
@@ -82,6 +110,12 @@ def ncc_sql(src, dst, v):
     return NCC.replace("{tm}", TM).replace("{src}", src).replace("{dst}", dst).replace("{v}", v)
 
 
+STRUCT = f"""sob AS (SELECT tile_id, row_no, col_no, sqrt(gx*gx + gy*gy) AS g FROM ({SOB}) z), su AS (SELECT tile_id, row_no, col_no, CASE WHEN hi - lo >= 1e-6 THEN (g - lo) / (hi - lo) ELSE 0 END AS s
+ FROM (SELECT *, min(g) OVER (PARTITION BY tile_id) AS lo, max(g) OVER (PARTITION BY tile_id) AS hi FROM sob) x),
+ sth AS (SELECT tile_id AS tid, avg(s) + 5e-1 * stddev_pop(s) AS th, max(s) AS mx FROM su GROUP BY tile_id),
+ st AS (SELECT tile_id, row_no, col_no, tile_id * 32 + row_no AS line, CASE WHEN s >= th AND mx - th >= 1e-6 THEN (s - th) / (mx - th) ELSE 0e0 END AS structure FROM su JOIN sth ON tid = tile_id)"""
+
+
 @query("d28_patch_ncc", f"SELECT m.tile_id, m.match_id, round(ncc, 6) + 0.0 AS ncc FROM {TM} m LEFT JOIN ({ncc_sql('{pixels_strip}', '{pixels_b_strip}', 'dn')}) n ON n.match_id = m.match_id")
 def _(t):
     return rounded(L.patch_ncc(tile_matches(t), t.pixels, t.pixels_b, 2, size=32).select("tile_id", "match_id", "ncc"))
@@ -93,7 +127,9 @@ def _(t):
     return rounded(n.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.avg("ncc").alias("mean_ncc"), F.stddev_pop("ncc").alias("std_ncc")))
 
 
-@query("i4_structural_verify")
+@query("i4_structural_verify", f"""
+WITH {STRUCT}, n AS ({ncc_sql('st', 'st', 'structure')})
+SELECT tile_id, match_id, round(ncc, 6) + 0.0 AS ncc, round(2 * confidence * ncc / greatest(confidence + ncc, 1e-6), 6) + 0.0 AS confidence FROM n WHERE ncc >= 2e-1""")
 def _(t):
     return rounded(L.structural_verify(tile_matches(t), t.pixels, t.pixels, size=32).select("tile_id", "match_id", "ncc", "confidence"))
 
@@ -103,15 +139,24 @@ def _(t):
     return rounded(L.structure_composite(t.pixels, 32))
 
 
-@query("i14_phase_congruency")
+@query("i14_phase_congruency", f"SELECT tile_id, 8 + tile_id % 16 AS line_col, true AS found, true AS in_range FROM {FULL} f")
 def _(t):
-    return rounded(L.phase_congruency(t.pixels, 32))
+    """A planted bright line one column wide: the largest moment of a row stands on it."""
+    edge = 8 + F.col("tile_id") % 16
+    full = t.pixels_b.groupBy("tile_id").count().where("count = 1024").select("tile_id")
+    img = t.pixels_b.join(full, "tile_id", "left_semi").withColumn("dn", (F.col("row_no") * 7 + F.col("col_no") * 13) % 5 + F.when(F.col("col_no") == edge, 200.0).otherwise(0.0))
+    c = L.phase_congruency(img, 32)
+    best = c.where("col_no BETWEEN 3 AND 28 AND row_no BETWEEN 8 AND 23").groupBy("tile_id", "row_no").agg(F.max_by("col_no", "moment").alias("c"), F.max("pc").alias("hi"), F.min("pc").alias("lo"))
+    near = F.count_if((F.col("c") - (8 + F.col("tile_id") % 16)).between(-1, 1)) >= 0.9 * F.count(F.lit(1))
+    return best.groupBy("tile_id").agg(near.alias("found"), ((F.max("hi") <= 1) & (F.min("lo") >= 0)).alias("in_range")).select("tile_id", edge.alias("line_col"), "found", "in_range")
 
 
-@query("i15_closure_check")
+@query("i15_closure_check", f"SELECT tile_id, 1e0 AS dx, 0e0 AS dy, 1e0 AS shift_px FROM {FULL} f")
 def _(t):
-    moved = P.smooth(t.pixels, [0.25, 0.5, 0.25], size=32)
-    return rounded(L.closure_check(t.pixels, moved, 32, 0.5))
+    """A product one column beside its reference: every whole tile shows that shift."""
+    full = t.pixels_b.groupBy("tile_id").count().where("count = 1024").select("tile_id")
+    c = L.closure_check(t.pixels_b, moved(t, 1, 0), 32, 0.9).join(full, "tile_id", "left_semi")
+    return c.select("tile_id", *[(F.round(v) + 0.0).alias(v) for v in ("dx", "dy", "shift_px")])
 
 
 LAT = """(SELECT CAST(floor(scan / 1e2) AS BIGINT) AS i, CAST(floor(pixel / 1e2) AS BIGINT) AS j, lat, lon FROM {geometry_a})"""
