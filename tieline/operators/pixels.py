@@ -353,16 +353,17 @@ def longest_run(cells: DataFrame, keys: list[str], axis: str = "col_no") -> Data
         *keys, "m.start", "m.end", "m.length")
 
 
-def sliding_segments(rows: DataFrame, height: int, step: int, line: str = "line") -> DataFrame:
-    """Overlapping row segments: every row appears once in each full segment that covers it.
+def sliding_segments(rows: DataFrame, height: int, step: int, line: str = "line", product: tuple[str, ...] = ()) -> DataFrame:
+    """Overlapping row segments of each product: every row appears once in each full segment that covers it.
 
-    The last start keeps segments inside the strip, like a range(0, H - height + 1, step).
+    Lines count from 0 in a product. The last start keeps segments inside the strip, like a range(0, H - height + 1, step).
     """
-    lines = rows.groupBy().agg((F.max(line) + 1).alias("_h"))
+    lines = rows.groupBy(*product).agg((F.max(line) + 1).alias("_h"))
     first = F.greatest(F.lit(0), F.ceil((F.col(line) - height + 1) / step))
     last = F.least(F.floor(F.col(line) / step), F.floor((F.col("_h") - height) / step))
     starts = F.when(first <= last, F.sequence(first.cast("bigint"), last.cast("bigint")))
-    return rows.join(F.broadcast(lines)).withColumn("_s", F.explode(starts)).withColumn("segment_start", F.col("_s") * step).drop("_s", "_h")
+    with_height = rows.join(lines, list(product)) if product else rows.join(F.broadcast(lines))  # one row without a product
+    return with_height.withColumn("_s", F.explode(starts)).withColumn("segment_start", F.col("_s") * step).drop("_s", "_h")
 
 
 def regular_nodes(height: int, width: int, spacing: int, margin: int, tiles: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tieline.fixed import CONTROL_ARMS
+from tieline.fixed import CONTROL_ARMS, MODEL_ORDER
 from tieline.functions import transforms as X
 from tieline.functions.geo import az_diff, centered_window
 from tieline.operators import catalog as C, controls as N, cube as K, dataset as D, fitting as M, geometry as Y, pixels as P, tiepoints as T, tiles as L
 from tieline.plans.catalog_queries import BRIGHT, tmc_iirs
 from tieline.plans.pixel_queries import DESTRIPE, PROXY, REPAIR, cubes, unit
 from tieline.plans.source_queries import SHARDS, shards
+from tieline.plans.tile_queries import moved
 from tieline.plans.tiepoint_queries import CELLS, GATE_SQL, REFIT_SRC, gated, residuals, rounded, sim_fit
 from tieline.registry import query
 from tieline.session import cut_lineage
@@ -38,61 +39,121 @@ def q1(t):
 @query("q2_corroboration")
 def _(t):
     """Every tile against all controls and null draws: significance and distance to the stated shift."""
-    runs = cut_lineage(L.phase_correlation(t.pixels, P.smooth(t.pixels, [0.25, 0.5, 0.25]), 32, null_draws=8, upsample=10)).withColumnRenamed("tile_id", "run_id")
+    runs = cut_lineage(L.phase_correlation(t.pixels, P.smooth(t.pixels, [0.25, 0.5, 0.25], size=32), 32, null_draws=200)).withColumnRenamed("tile_id", "run_id")
     primary = runs.select("run_id").distinct().select("run_id", F.lit(0.0).alias("primary_dx"), F.lit(0.0).alias("primary_dy"))
     v = N.verdicts(runs, primary, 2.0, 4.72)
     null = N.null_summary(runs.where("arm = 'uniform_noise'")).select("run_id", F.col("p99").alias("null_p99"))
     return rounded(v.join(null, "run_id"))
 
 
-def node_matches(t, ref, priors=None):
+def node_matches(t, ref, priors=None, max_prior=0.0):
     """Nodes of the strip as tie points; eight tiles form a pair."""
-    n = L.match_nodes(t.pixels_b, ref, 32, 4, 4, 3, priors=priors, max_prior=6.0)
+    n = L.match_nodes(t.pixels_b, ref, 32, 4, 4, 3, priors=priors, max_prior=max_prior)
     ok = (F.col("peak") >= 0.5) & (F.col("second") < 0.9 * F.col("peak")) & ~F.col("on_edge")
     return n.select(F.floor(F.col("tile_id") / 8).alias("pair_id"), (F.col("tile_id") * 1024 + F.col("qy") * 32 + F.col("qx")).alias("match_id"), F.col("qx").cast("double").alias("src_x"),
                     ((F.col("tile_id") % 8) * 32 + F.col("qy")).cast("double").alias("src_y"), F.col("ref_x"), ((F.col("tile_id") % 8) * 32 + F.col("ref_y")).alias("ref_y"), "peak", ok.alias("accepted"))
 
 
-@query("q3_registration")
-def _(t):
-    """Match nodes, choose the model by held-out error, fit by consensus, compare with the control references."""
-    gen = cut_lineage(node_matches(t, moved(t, 1, 1)))
-    acc = gen.where("accepted")
+def control_raster(ref, arm):
+    """The reference under a control: turned or mirrored tiles, the tile half a strip away, or noise."""
+    if arm == "uniform_noise":
+        return ref.withColumn("dn", F.pmod(F.xxhash64("tile_id", "row_no", "col_no"), F.lit(256)) * 1.0)
+    if arm == "offset":
+        away = N.offset_tile_pairs(ref.select("tile_id").distinct().withColumn("_g", F.lit(0)), ["_g"], "tile_id")
+        return ref.join(away.select("offset_tile_id", F.col("tile_id").alias("_t")), ref["tile_id"] == F.col("offset_tile_id")).select(F.col("_t").alias("tile_id"), "row_no", "col_no", "dn")
+    r, c = X.control_coords(F.lit(arm), "row_no", "col_no", F.lit(32), F.lit(32))
+    return ref.select("tile_id", r.alias("row_no"), c.alias("col_no"), "dn")
+
+
+def choose_model(acc, height, kinds=MODEL_ORDER):
+    """Kind of each pair by held-out error in spatial blocks: the simplest within the slack of the best."""
     scores = None
-    for kind in ("translation", "similarity", "affine"):
-        s = M.heldout(acc, kind, "spatial_blocks")[0].where("fold IS NULL").select("pair_id", "rmse_within_trim_px").withColumn("kind", F.lit(kind))
+    for kind in kinds:
+        rows = acc.join(height, ["pair_id", "match_id"], "left") if kind == "pspline_relief" else acc
+        s = M.heldout(rows, kind, "spatial_blocks", thresh=None if kind.startswith("pspline") else 1.5, iters=80, knot_px=64.0, rounds=3)[0]
+        s = s.where("fold IS NULL").select("pair_id", "rmse_within_trim_px").withColumn("kind", F.lit(kind))
         scores = s if scores is None else scores.unionByName(s)
-    chosen = T.model_selection(scores, ["translation", "similarity", "affine"])
-    _, pts = M.ransac(acc, "similarity", 1.5, 60)
-    inl = F.when(F.col("is_inlier"), F.col("fit_px"))
-    fit = pts.groupBy("pair_id").agg(F.count(inl).alias("n_inliers"), F.sqrt(F.avg(inl * inl)).alias("rmse_px"))
-    rates = gen.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_evaluated"), F.count_if("accepted").alias("n_accepted"))
-    arms = None
-    for arm in ("vflip", "hflip", "rot180"):
-        r, c = X.control_coords(F.lit(arm), "row_no", "col_no", F.lit(32), F.lit(32))
-        ctrl = moved(t, 1, 1).select("tile_id", r.alias("row_no"), c.alias("col_no"), "dn")
-        a = node_matches(t, ctrl).groupBy("pair_id").agg((F.count_if("accepted") / F.count(F.lit(1)) * 100).alias("ratio_pct")).withColumn("arm", F.lit(arm))
-        arms = a if arms is None else arms.unionByName(a)
-    worst = arms.groupBy("pair_id").agg(F.max("ratio_pct").alias("max_control_pct"))
-    out = rates.join(fit, "pair_id", "left").join(chosen.select("pair_id", F.col("kind").alias("chosen_model")), "pair_id", "left").join(worst, "pair_id", "left")
-    delta = F.col("n_accepted") / F.col("n_evaluated") * 100 - F.coalesce("max_control_pct", F.lit(0.0))
-    return rounded(out.withColumn("delta_shuffle", delta), 4)
-
-
-@query("q4_coarse_to_fine")
+    return cut_lineage(T.model_selection(cut_lineage(scores), kinds))
+
+
+def fit_chosen(acc, chosen, height, keys):
+    """Fit every group with the kind chosen for its pair: rows with fit_px and is_inlier. At most seven kinds occur."""
+    out = None
+    for kind in sorted(r[0] for r in chosen.select("kind").distinct().collect()):
+        rows = acc.join(chosen.where(F.col("kind") == kind).select("pair_id"), "pair_id", "left_semi")
+        if kind.startswith("pspline"):
+            rows = rows.join(height, ["pair_id", "match_id"], "left") if kind == "pspline_relief" else rows
+            _, pts = M.pspline_fit(rows, 1.5, 64.0, keys, relief=kind == "pspline_relief")
+        else:
+            _, pts = M.ransac(rows, kind, 1.5, 300, keys=keys)
+        pts = pts.select(*keys, "match_id", "src_x", "src_y", "ref_x", "ref_y", "fit_px", "is_inlier")
+        out = pts if out is None else out.unionByName(pts)
+    return out
+
+
+def node_heights(t):
+    """Height of the terrain at every node."""
+    return t.dem.select(F.floor(F.col("tile_id") / 8).alias("pair_id"), (F.col("tile_id") * 1024 + F.col("row_no") * 32 + F.col("col_no")).alias("match_id"), F.col("z").alias("h"))
+
+
+@query("q3_registration", """
+SELECT CAST(floor(tile_id / 8e0) AS BIGINT) AS pair_id, 'registered' AS status, 'translation' AS chosen_model, 1e0 AS shift_x, 1e0 AS shift_y, 7 AS n_controls, true AS beats_controls
+FROM {pixels_b} GROUP BY ALL HAVING count(*) >= 324""")
+def _(t):
+    """Match nodes against the moved raster and all seven controls, choose the model of each pair by held-out error over
+    all kinds, fit genuine and controls with it by consensus, compare inlier ratios. Pairs without a fit keep a row."""
+    ref = cut_lineage(moved(t, 1, 1))
+    runs = None
+    for arm in ("genuine", *CONTROL_ARMS):
+        r = node_matches(t, ref if arm == "genuine" else control_raster(ref, arm)).withColumn("arm", F.lit(arm))
+        runs = r if runs is None else runs.unionByName(r)
+    runs = cut_lineage(runs)
+    acc, height = runs.where("accepted"), node_heights(t)
+    chosen = choose_model(acc.where("arm = 'genuine'").drop("arm"), height)
+    pts = fit_chosen(acc, chosen, height, ("pair_id", "arm"))
+    inl = F.col("is_inlier")
+    fits = pts.groupBy("pair_id", "arm").agg(F.count_if(inl).alias("n_inliers"), F.avg(F.when(inl, F.col("ref_x") - F.col("src_x"))).alias("dx"), F.avg(F.when(inl, F.col("ref_y") - F.col("src_y"))).alias("dy"))
+    pairs = t.pixels_b.select(F.floor(F.col("tile_id") / 8).alias("pair_id")).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 324").select("pair_id")
+    seen = runs.where("arm = 'genuine'").groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+    arms = N.with_controls(pairs).join(seen, "pair_id", "left").join(fits, ["pair_id", "arm"], "left")
+    ratio = F.coalesce(F.col("n_inliers") / F.col("n_nodes") * 100, F.lit(0.0))
+    delta = N.delta_shuffle(arms.withColumn("ratio_pct", ratio).withColumnRenamed("pair_id", "run_id"))
+    own = arms.where("arm = 'genuine'").select("pair_id", "n_inliers", "dx", "dy").join(chosen.select("pair_id", F.col("kind").alias("chosen_model")), "pair_id", "left")
+    out = own.join(arms.groupBy("pair_id").agg((F.count(F.lit(1)) - 1).alias("n_controls")), "pair_id").join(delta.select(F.col("run_id").alias("pair_id"), "delta_shuffle"), "pair_id")
+    status = F.when(F.col("chosen_model").isNull(), "no_model").when(F.coalesce("n_inliers", F.lit(0)) == 0, "fit_failed").otherwise("registered")
+    return out.select("pair_id", status.alias("status"), "chosen_model", (F.round("dx") + 0.0).alias("shift_x"), (F.round("dy") + 0.0).alias("shift_y"), "n_controls", (F.col("delta_shuffle") >= 15).alias("beats_controls"))
+
+
+@query("q4_coarse_to_fine", """
+SELECT CAST(floor(line / 256e0) AS BIGINT) AS pair_id, CASE WHEN max(line) - min(line) >= 48 THEN 'registered' ELSE 'no_prior' END AS status,
+  CASE WHEN max(line) - min(line) >= 48 THEN 2e0 END AS prior_dx, CASE WHEN max(line) - min(line) >= 48 THEN 1e0 END AS prior_dy,
+  CASE WHEN max(line) - min(line) >= 48 THEN 'translation' END AS chosen_model, CASE WHEN max(line) - min(line) >= 48 THEN 2e0 END AS shift_x, CASE WHEN max(line) - min(line) >= 48 THEN 1e0 END AS shift_y
+FROM {pixels_b_strip} GROUP BY ALL""")
 def _(t):
-    """Prior shift from significant segments, node matching around it, along-track spline, offset summary."""
+    """Sliding segments of the strip give a prior shift where they beat their controls; nodes are matched around it, the
+    model is chosen by held-out error, fitted, and the offsets of its inliers are reported. Every pair keeps a row."""
     ref = cut_lineage(moved(t, 2, 1))
-    seg = cut_lineage(L.phase_correlation(t.pixels_b, ref, 32, null_draws=5, upsample=10)).withColumnRenamed("tile_id", "run_id")
-    v = N.verdicts(seg).withColumn("pair_id", F.floor(F.col("run_id") / 8))
-    prior = cut_lineage(N.coarse_prior(v).where("valid"))
-    per_tile = v.select(F.col("run_id").alias("tile_id"), "pair_id").join(prior, "pair_id").where("abs(prior_dx) <= 6 AND abs(prior_dy) <= 6").select("tile_id", "prior_dx", "prior_dy")
-    acc = cut_lineage(node_matches(t, ref, per_tile).where("accepted"))
-    _, pts = M.pspline_fit(acc, 1.5, 64.0, rounds=3)
-    inl = F.when(F.col("is_inlier"), F.col("fit_px"))
-    fit = pts.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.count(inl).alias("n_inliers"), F.sqrt(F.avg(inl * inl)).alias("rmse_px"))
-    off = D.geometry_offset(acc).select("pair_id", "median_dx", "median_dy", "median_norm")
-    return rounded(prior.select("pair_id", "prior_dx", "prior_dy", "n_significant").join(fit, "pair_id").join(off, "pair_id"), 4)
+    def segments(px):
+        line = F.col("tile_id") * 32 + F.col("row_no")
+        s = P.sliding_segments(px.select(line.alias("line"), "col_no", "dn"), 32, 16)
+        return s.select((F.col("segment_start") / 16).cast("bigint").alias("tile_id"), (F.col("line") - F.col("segment_start")).alias("row_no"), "col_no", "dn")
+    seg = cut_lineage(L.phase_correlation(segments(t.pixels_b), segments(ref), 32, null_draws=50)).withColumnRenamed("tile_id", "run_id")
+    v = N.verdicts(seg).withColumn("pair_id", F.floor(F.col("run_id") / 16))
+    prior = cut_lineage(N.coarse_prior(v).where("valid").select("pair_id", "prior_dx", "prior_dy"))
+    most = prior.agg(F.max(F.greatest(F.abs("prior_dx"), F.abs("prior_dy")))).first()[0] or 0.0  # sets the halo
+    per_tile = t.pixels_b.select("tile_id", F.floor(F.col("tile_id") / 8).alias("pair_id")).distinct().join(prior, "pair_id").select("tile_id", "prior_dx", "prior_dy")
+    acc, height = cut_lineage(node_matches(t, ref, per_tile, most).where("accepted")), node_heights(t)
+    chosen = choose_model(acc, height, ["translation", "affine", "pspline"])
+    pairs = t.pixels_b.select(F.floor(F.col("tile_id") / 8).alias("pair_id")).distinct()
+    out = pairs.join(prior, "pair_id", "left").join(chosen.select("pair_id", F.col("kind").alias("chosen_model")), "pair_id", "left")
+    pts = fit_chosen(acc, chosen, height, ("pair_id",))
+    if pts is None:
+        out = out.withColumns({"median_dx": F.lit(None).cast("double"), "median_dy": F.lit(None).cast("double")})
+    else:
+        out = out.join(D.geometry_offset(pts.where("is_inlier")).select("pair_id", "median_dx", "median_dy"), "pair_id", "left")
+    status = F.when(F.col("prior_dx").isNull(), "no_prior").when(F.col("chosen_model").isNull(), "no_model").when(F.col("median_dx").isNull(), "fit_failed").otherwise("registered")
+    return out.select("pair_id", status.alias("status"), *[(F.round(c) + 0.0).alias(c) for c in ("prior_dx", "prior_dy")], "chosen_model",
+                      (F.round("median_dx") + 0.0).alias("shift_x"), (F.round("median_dy") + 0.0).alias("shift_y"))
 
 
 @query("q5_catalog_pair_search", BRIGHT)
