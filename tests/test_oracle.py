@@ -7,6 +7,7 @@ from oracle_check import DATA, compare, duck
 from tieline.registry import ORACLES, QUERIES
 
 FOLDER = f"{DATA}/sf0.001"
+EMPTY_AT_THIS_SCALE: set[str] = set()
 
 
 @pytest.fixture(scope="module")
@@ -17,12 +18,13 @@ def con():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, con, name):
     ok, message = compare(spark, con, name, FOLDER)
-    assert ok or message.startswith("rows=0 "), message
+    assert ok or (message.startswith("rows=0 ") and name in EMPTY_AT_THIS_SCALE), message
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    assert len(QUERIES[name](spark, FOLDER).columns) > 0
+    df = QUERIES[name](spark, FOLDER)
+    assert len(df.columns) > 0 and df.count() > 0
 
 
 def test_entry_contract(spark):

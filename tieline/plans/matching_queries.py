@@ -296,19 +296,23 @@ def _(t):
     return N.correlations(residuals(t), "residual_px", "score", ["pair_id"], p_values=True)
 
 
-@query("d20_ks_2samp", """
-WITH r AS (SELECT run_id, psr AS v, arm = 'genuine' AS f FROM {runs}), t AS (SELECT run_id, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2 FROM r GROUP BY ALL),
+KS = """WITH r AS (SELECT run_id, psr AS v, arm = 'genuine' AS f FROM {runs}), t AS (SELECT run_id, count(*) FILTER (f) AS n1, count(*) FILTER (NOT f) AS n2 FROM r GROUP BY ALL),
  c AS (SELECT run_id, v, sum(count(*) FILTER (f)) OVER (PARTITION BY run_id ORDER BY v) AS c1, sum(count(*) FILTER (NOT f)) OVER (PARTITION BY run_id ORDER BY v) AS c2 FROM r GROUP BY run_id, v)
-SELECT c.run_id, n1, n2, round(max(abs(c1 / n1 - c2 / n2)), 8) AS ks_d FROM c JOIN t ON t.run_id = c.run_id WHERE n1 > 0 AND n2 > 0 GROUP BY ALL""")
+SELECT c.run_id, n1, n2, {d} FROM c JOIN t ON t.run_id = c.run_id WHERE n1 > 0 AND n2 > 0 GROUP BY ALL"""
+
+
+@query("d20_ks_2samp", KS.replace("{d}", "round(max(abs(c1 / n1 - c2 / n2)), 8) AS ks_d"))
 def _(t):
     k = N.ks_2samp(t.runs.withColumn("first", F.col("arm") == "genuine"), "psr", "first", ["run_id"])
     return rounded(k.where("n1 > 0 AND n2 > 0"), 8)
 
 
-@query("d20_ks_p_value")
+@query("d20_ks_p_value", f"""
+SELECT run_id, n1, n2, round(d, 8) AS ks_d, round(CASE WHEN t < 2e-1 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: pow(-1e0, k - 1) * exp(-2 * k * k * t * t))))) END, 8) + 0.0 AS ks_p
+FROM (SELECT *, sqrt(n1 * n2 / ((n1 + n2) * 1e0)) * d AS t FROM ({KS.replace("{d}", "max(abs(c1 / n1 - c2 / n2)) AS d")}) k) z""")
 def _(t):
     k = N.ks_2samp(t.runs.withColumn("first", F.col("arm") == "genuine"), "psr", "first", ["run_id"], p_value=True)
-    return k.where("n1 > 0 AND n2 > 0")
+    return rounded(k.where("n1 > 0 AND n2 > 0"), 8)
 
 
 @query("f5_best_arm", """

@@ -464,9 +464,19 @@ def _(t):
     return rounded(P.destripe(P.repair_columns(b, P.bad_columns(b))).select(*P.KEY, "dn"))
 
 
-@query("d17_mean_of_bands")
+def mean_of_bands_sql(nms=(950.0, 1500.0, 1700.0)):
+    parts, ends = [], []
+    for n, nm in enumerate(nms):
+        parts.append(f"""b{n} AS (SELECT z.product_id AS tile_id, line AS row_no, sample AS col_no, v / (avg(v) OVER (PARTITION BY z.product_id) + 1e-8) AS dn FROM {LONG} z
+  JOIN (SELECT DISTINCT product_id, first_value(band) OVER (PARTITION BY product_id ORDER BY abs(wl - {nm:.1f}::DOUBLE), band) AS best FROM {LONG} y) k ON k.product_id = z.product_id AND band = best)""")
+        parts.append(f"f{n} AS ({REPAIR.replace('{src}', f'b{n}')})")
+        ends.append(DESTRIPE.replace("{src}", f"f{n}"))
+    return f"WITH {', '.join(parts)} SELECT tile_id, row_no, col_no, round(avg(dn), 6) + 0.0 AS dn FROM ({' UNION ALL '.join(ends)}) u GROUP BY ALL"
+
+
+@query("d17_mean_of_bands", mean_of_bands_sql())
 def _(t):
-    return K.mean_of_bands(cubes(t))
+    return rounded(K.mean_of_bands(cubes(t)))
 
 
 @query("d18_cube_pca")
