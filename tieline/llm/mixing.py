@@ -44,17 +44,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     """cells (margins, tokens > 0) with `weight`: token weights whose sums fit the targets' shares of all tokens.
 
     targets: per margin a table (value, share). A value without a target gets none of the weight. Each round fits every
-    margin once; two rounds are one stored step."""
+    margin once. Each fit reads the cells twice (sums and weights), so it is stored before the next one: the plan of a
+    step stays small however many there are."""
     total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0])
     goals = {m: stored(t.withColumnRenamed("share", "_share"), "targets") for m, t in targets.items()}
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for r in range(rounds):
+    for _ in range(rounds):
         for m, goal in goals.items():
             sums = out.groupBy(m).agg(F.sum("weight").alias("_sum")).join(goal, m, "left")
             factor = sums.select(m, F.when(F.col("_sum") > 0, F.coalesce("_share", F.lit(0.0)) * F.lit(total) / F.col("_sum")).otherwise(0.0).alias("_f"))
-            out = out.join(factor, m).withColumn("weight", F.col("weight") * F.col("_f")).drop("_f")
-        if r % 2 or r == rounds - 1:
-            out = stored(out, "raked")
+            out = stored(out.join(factor, m).withColumn("weight", F.col("weight") * F.col("_f")).select(*cells.columns, "weight"), "raked")
     return out
 
 
