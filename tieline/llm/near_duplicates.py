@@ -198,10 +198,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, share:
     docs = pick(docs, "doc_id", "text")
     marks = stored(sketch(docs, shingle_words, bands, rows), "sketch")
     worded = marks.where("word_key IS NOT NULL AND doc_id IS NOT NULL")
-    members = worded.groupBy("word_key").agg(F.min("doc_id").alias("node"))
-    kin = worded.join(members, "word_key").select("doc_id", "node", "n_shingles", "regs", "bands")
-    nodes = stored(kin.where("doc_id = node").dropDuplicates(["node", "bands"]), "nodes")
-    classes = stored(kin.where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "classes")
+    members = stored(worded.groupBy("word_key").agg(F.min("doc_id").alias("node")), "members")
+    nodes = stored(worded.join(members.select("node").distinct(), worded["doc_id"] == F.col("node")).select("node", "n_shingles", "regs", "bands").dropDuplicates(["node", "bands"]), "nodes")
+    kin = worded.select("word_key", "doc_id").join(members, "word_key").where("doc_id != node")
+    classes = stored(kin.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "classes")
 
     buckets = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
     heads = buckets.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
