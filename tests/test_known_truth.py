@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tieline.fixed import CONTROL_ARMS
 from tieline.functions import geo as G, transforms as X
 from tieline.functions.stats import incomplete_beta
-from tieline.operators import catalog as C, controls as N, dataset as D, fitting as M, matching as J, pixels as P, ranking as R, tiepoints as T, tiles as L
+from tieline.operators import catalog as C, controls as N, dataset as D, fitting as M, geometry as Y, matching as J, pixels as P, ranking as R, tiepoints as T, tiles as L
 
 
 def matches(spark, src, ref, pair=0):
@@ -533,3 +533,24 @@ def test_rings_meet_like_a_fine_raster(spark):
     area = [covers(r) for r in rings]
     shared = {(i, j): int((area[i] & area[j]).sum()) for i, j in got}
     assert all(got[k] for k, n in shared.items() if n) and sum(got[k] for k, n in shared.items() if not n) <= 0.05 * len(got)
+
+
+def test_two_products_at_once_equal_each_alone(spark):
+    """Lattice operators with a product key: every product gets the answer it has alone."""
+    def lattice(product, lat, lon, step):
+        return [(product, i * 10, j * 10, lat + i * step, lon + j * step * 1.1 + i * step / 7) for i in range(14) for j in range(9) if (i, j) != (5, product)]
+    cols = "pair_id long, scan long, pixel long, lat double, lon double"
+    a = spark.createDataFrame(lattice(1, -20.0, 10.0, 0.011) + lattice(2, -20.05, 10.02, 0.017), cols)
+    b = spark.createDataFrame(lattice(1, -19.97, 10.03, 0.008) + lattice(2, -20.0, 10.0, 0.013), cols)
+    def rows(df):
+        return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    def alone(df, p):
+        return df.where(F.col("pair_id") == p).drop("pair_id")
+    for many, one in ((lambda k: Y.nearest_geo(b, a, 1.0, k), lambda p: Y.nearest_geo(alone(b, p), alone(a, p), 1.0)),
+                      (lambda k: Y.common_region(b, a, 1.0, k), lambda p: Y.common_region(alone(b, p), alone(a, p), 1.0)),
+                      (lambda k: Y.lattice_gaps(a, k), lambda p: Y.lattice_gaps(alone(a, p))),
+                      (lambda k: Y.native_gsd(a, -19.95, 10.05, 3000.0, k), lambda p: Y.native_gsd(alone(a, p), -19.95, 10.05, 3000.0))):
+        assert rows(many(("pair_id",))) == sorted((p, *r) for p in (1, 2) for r in rows(one(p)))
+    at = spark.createDataFrame([(p, i, i * 3.5 + 40, i * 2.25 + 20) for p in (1, 2) for i in range(12)], "pair_id long, match_id long, line double, sample double")
+    got = L.lattice_interpolate(at, a, 10, 10, ["lat", "lon"], ("pair_id",))
+    assert rows(got) == sorted((p, *r) for p in (1, 2) for r in rows(L.lattice_interpolate(alone(at, p), alone(a, p), 10, 10, ["lat", "lon"])))
