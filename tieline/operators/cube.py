@@ -74,6 +74,15 @@ def cube_to_grey(cube: DataFrame, max_nm: float = PROXY_MAX_NM, alpha: float = 0
     return P.percentile_stretch(P.destripe(fixed, alpha), lo, hi)
 
 
+def thumbnail(cube: DataFrame, step: int, first: int = 30, last: int = 40) -> DataFrame:
+    """Every step-th line and sample of the median over bands `first` to `last` (1-based, values that are not finite left out)."""
+    v = F.array_sort(F.filter(F.transform(F.slice("spectrum", first, last - first + 1), finite), lambda x: x.isNotNull()))
+    n = F.size(v)
+    middle = (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2
+    kept = cube.where((F.col("line") % step == 0) & (F.col("sample") % step == 0))
+    return kept.select("product_id", F.floor(F.col("line") / step).alias("line"), F.floor(F.col("sample") / step).alias("sample"), middle.alias("dn"))
+
+
 def nearest_band(bands: DataFrame, nm: float) -> DataFrame:
     """Band closest to a wavelength per product (lower number on ties). Columns product_id, band, wavelength_nm."""
     d = F.abs(F.col("wavelength_nm") - nm)

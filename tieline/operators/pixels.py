@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tieline.functions import transforms as X
 from tieline.functions.transforms import col
 
 KEY = ["tile_id", "row_no", "col_no"]
@@ -303,6 +304,17 @@ def clahe(pixels: DataFrame, size: int, parts: int = 4, clip: float = 2.0) -> Da
     return want.join(lut, ["tile_id", "_ty", "_tx", "_v"]).groupBy(*KEY).agg((F.sum(F.col("w") * F.col("_lut")) / F.sum("w")).alias("dn"))
 
 
+def adaptive_clahe(pixels: DataFrame, size: int, parts: int = 4, default: float = 2.0) -> DataFrame:
+    """`clahe` with the clip limit that the contrast of each tile asks for (deviation of dn / 255)."""
+    std = pixels.groupBy("tile_id").agg(X.adaptive_clip(F.stddev_pop(F.col("dn") / 255.0), default).alias("_clip"))
+    sorted_out = pixels.join(std, "tile_id")
+    out = None
+    for limit in (4.0, 1.5, default):  # the three limits that occur; each tile takes part once
+        c = clahe(sorted_out.where(F.col("_clip") == limit).drop("_clip"), size, parts, limit)
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
 def minmax_01(df: DataFrame, value: str = "dn") -> DataFrame:
     """Scale each tile to [0, 1]; a flat tile becomes zero."""
     lim = df.groupBy("tile_id").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))

@@ -6,6 +6,7 @@ Columns: pair_id, match_id, src_x, src_y, ref_x, ref_y, residual_px, score.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from tieline.fixed import GATE, REFIT_GATES, SWEEP_GATES
 from tieline.functions import transforms as X
@@ -19,6 +20,9 @@ def validate_matches_schema(df: DataFrame) -> DataFrame:
     missing = MATCH_COLUMNS - set(df.columns)
     if missing:
         raise ValueError(f"match table lacks columns {sorted(missing)}")
+    other = sorted(f"{c} ({df.schema[c].dataType.simpleString()})" for c in MATCH_COLUMNS if not isinstance(df.schema[c].dataType, NumericType))
+    if other:
+        raise ValueError(f"match columns are not numbers: {', '.join(other)}")
     return df
 
 

@@ -218,6 +218,20 @@ def _(t):
     return m.select("pair_id", "n_used", F.round("px", 2).alias("parallax_x"), F.round("py", 2).alias("parallax_y"), F.round("h0", 4).alias("h0"))
 
 
+@query("i13_inverse_of_fits", " UNION ALL ".join(
+    f"SELECT '{k}' AS kind, pair_id, match_id, round(src_x, 3) + 0.0 AS inv_x, round(src_y, 3) + 0.0 AS inv_y, true AS converged FROM {{tiepoints}}" for k in ("translation", "similarity", "affine", "poly2")))
+def _(t):
+    """Models fitted to displacements of a tenth: the inverse of every mapped position is where it came from."""
+    p = t.tiepoints.withColumn("ref_x", F.col("src_x") + (F.col("ref_x") - F.col("src_x")) / 10).withColumn("ref_y", F.col("src_y") + (F.col("ref_y") - F.col("src_y")) / 10)
+    out = None
+    for kind in ("translation", "similarity", "affine", "poly2"):
+        m = M.fit_model(p, kind)
+        there = M.predict(p, m, kind).select("pair_id", "match_id", F.col("pred_x").alias("map_x"), F.col("pred_y").alias("map_y"))
+        back = M.inverse_map(there, m, kind).select(F.lit(kind).alias("kind"), "pair_id", "match_id", "inv_x", "inv_y", "converged")
+        out = back if out is None else out.unionByName(back)
+    return rounded(out, 3)
+
+
 @query("d38_parallax_check")
 def _(t):
     from tieline.functions.geo import emission_from_attitude

@@ -389,6 +389,27 @@ def _(t):
     return d.groupBy("arm", "tile_id").agg(F.sum(F.col("dn") * (r * 32 + c + 1)).alias("checksum"))
 
 
+@query("h28_blockwise_control_coords", """
+WITH a AS (SELECT unnest(['rot90_blockwise', 'rot270_blockwise']) AS arm), r AS (SELECT line AS r, col_no AS c, dn, arm, max(line) OVER () + 1 AS h FROM {pixels_strip}, a),
+ m AS (SELECT *, r < h // 32 * 32 AS whole, r // 32 * 32 AS base FROM r)
+SELECT arm, CAST(sum(dn * (nr * 32 + nc + 1)) AS DOUBLE) AS checksum FROM (SELECT *, CASE WHEN NOT whole THEN h // 32 * 32 + h - 1 - r WHEN arm = 'rot90_blockwise' THEN base + 31 - c ELSE base + c END AS nr,
+  CASE WHEN NOT whole THEN 31 - c WHEN arm = 'rot90_blockwise' THEN r % 32 ELSE 31 - r % 32 END AS nc FROM m) x GROUP BY arm""")
+def _(t):
+    from tieline.operators.controls import with_controls
+
+    d = with_controls(t.pixels_strip, ("rot90_blockwise", "rot270_blockwise"))
+    height = d.agg((F.max("line") + 1).alias("h"))
+    r, c = X.blockwise_control_coords("arm", "line", "col_no", F.col("h"), F.lit(32))
+    return d.join(F.broadcast(height)).groupBy("arm").agg(F.sum(F.col("dn") * (r * 32 + c + 1)).cast("double").alias("checksum"))
+
+
+@query("e13_adaptive_clahe", """
+SELECT tile_id, count(*) AS n, true AS in_range FROM {pixels} GROUP BY tile_id""")
+def _(t):
+    c = P.adaptive_clahe(bytes_(t), 32, 4)
+    return c.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), ((F.min("dn") >= 0) & (F.max("dn") <= 255.000001)).alias("in_range"))
+
+
 @query("c20_ncc_lag_check", """
 WITH l AS (SELECT * FROM (VALUES ('zero', 0, 0), ('a', 2, 1), ('b', -3, 2)) v(name, lx, ly)),
  c AS (SELECT name, p.tile_id, corr(p.dn, n.dn) AS r FROM {pixels} p CROSS JOIN l JOIN {pixels_b} n ON n.tile_id = p.tile_id AND n.row_no = p.row_no + ly AND n.col_no = p.col_no + lx GROUP BY ALL)
@@ -414,6 +435,12 @@ PROXY = f"""SELECT product_id AS tile_id, line AS row_no, sample AS col_no, avg(
   FROM (SELECT *, avg(v) OVER (PARTITION BY product_id, band) AS m FROM {LONG} z WHERE wl <= 2000) x GROUP BY ALL"""
 
 
+@query("b5_cube_thumbnail", f"""
+SELECT product_id, line // 4 AS line, sample // 4 AS sample, round(median(v), 6) + 0.0 AS dn FROM {LONG} z WHERE band BETWEEN 29 AND 39 AND line % 4 = 0 AND sample % 4 = 0 GROUP BY ALL""")
+def _(t):
+    return rounded(K.thumbnail(cubes(t), 4))
+
+
 @query("b1_select_bands", f"""
 SELECT product_id, line, sample, count(*) AS n_bands, round(sum(v), 5) + 0.0 AS total FROM {LONG} z WHERE wl BETWEEN 900 AND 1500 GROUP BY ALL""")
 def _(t):

@@ -80,6 +80,38 @@ def _(t):
                             "pixel_resolution", "solar_incidence", "area", F.size("corners").alias("n_corners"), F.col("corners")[0]["lat"].alias("first_lat")))
 
 
+@query("a4_scan_label_files", """
+SELECT product_id || '.img' AS file_name, (100 + product_id % 50) * (40 + product_id % 7) * 2 AS file_size, 100 + product_id % 50 AS lines FROM {products}""")
+def _(t):
+    """Labels written as files, one per product, and scanned from their folder."""
+    path = shared_path(t.spark, "labels")
+    rows = labels_xml(t).select("product_id", F.col("xml").alias("value"))
+    rows.repartition("product_id").write.partitionBy("product_id").text(path)
+    p = A.scan_labels(t.spark, f"{path}/*/*.txt")
+    return p.select("file_name", "file_size", F.element_at("elements", 1).alias("lines"))
+
+
+@query("a6_scan_header_files", """
+SELECT 100 + product_id % 50 AS lines, 40 + product_id % 7 AS samples, CASE WHEN product_id % 2 = 0 THEN 'bil' ELSE 'bsq' END AS interleave, count(*) AS n FROM {products} GROUP BY ALL""")
+def _(t):
+    """Layout headers written as files, one per product, and scanned from their folder."""
+    path, k = shared_path(t.spark, "headers"), F.col("product_id")
+    text = F.concat(F.lit("ENVI\nlines = "), (100 + k % 50).cast("string"), F.lit("\nsamples = "), (40 + k % 7).cast("string"), F.when(k % 2 == 0, F.lit("\ninterleave = BIL")).otherwise(F.lit("")))
+    t.products.select("product_id", text.alias("value")).repartition("product_id").write.partitionBy("product_id").text(path)
+    h = A.scan_envi_headers(t.spark, f"{path}/*/*.txt")
+    return h.groupBy("lines", "samples", "interleave").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("a14_write_geojson", """
+SELECT pair_id, count(*) AS n FROM {residuals} GROUP BY pair_id""")
+def _(t):
+    """Features written as lines and read back as JSON."""
+    path = shared_path(t.spark, "features")
+    W.write_geojson(W.geojson_features(residuals(t), "ref_x", "ref_y", ["pair_id", "match_id"]), path)
+    back = t.spark.read.schema("type string, geometry struct<type:string,coordinates:array<double>>, properties struct<pair_id:bigint,match_id:bigint>").json(path)
+    return back.where("geometry.type = 'Point' AND size(geometry.coordinates) = 2").groupBy("properties.pair_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a5_label_bands", "SELECT product_id, b AS band, (product_id + b * 20) * 1e0 AS wavelength_nm FROM {products}, (SELECT unnest([1, 2, 3]) AS b) n")
 def _(t):
     return A.label_bands(labels_xml(t), "product_id")
