@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tieline.fixed import PROXY_FALLBACK_BANDS, PROXY_MAX_NM
 from tieline.functions.stats import safe_corr
 from tieline.operators import pixels as P
+from tieline.session import cut_lineage
 
 
 def band_indices(lo: float | None = None, hi: float = PROXY_MAX_NM, fallback: int = PROXY_FALLBACK_BANDS) -> Column:
@@ -69,8 +70,8 @@ def as_pixels(proxy: DataFrame) -> DataFrame:
 
 def cube_to_grey(cube: DataFrame, max_nm: float = PROXY_MAX_NM, alpha: float = 0.85, lo: float = 2.0, hi: float = 98.0) -> DataFrame:
     """Band selection, normalised band mean, bad-column repair, destriping and 0..255 stretch."""
-    img = as_pixels(proxy_mean(select_bands(cube, None, max_nm)))
-    fixed = P.repair_columns(img, P.bad_columns(img))
+    img = cut_lineage(as_pixels(proxy_mean(select_bands(cube, None, max_nm))))  # read again by every step
+    fixed = cut_lineage(P.repair_columns(img, P.bad_columns(img)))
     return P.percentile_stretch(P.destripe(fixed, alpha), lo, hi)
 
 

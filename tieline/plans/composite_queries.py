@@ -27,12 +27,12 @@ SELECT v.pair_id, n_matches, n_inliers, round(ratio, 6) AS ratio_pct, round(rmse
  CASE WHEN len(reasons) > 0 THEN 'GATED' ELSE 'PASSED' END AS status
 FROM v JOIN cl ON cl.pair_id = v.pair_id JOIN rf ON rf.pair_id = v.pair_id JOIN sw ON sw.pair_id = v.pair_id""")
 def q1(t):
-    r = residuals(t)
+    r = cut_lineage(residuals(t))  # five summaries read it
     inl = r.where("residual_px <= 15")
     grid = T.grid_distribution(inl, 1000.0, 1000.0).select("pair_id", "occupied_cells", "cv")
     refit = T.refit_stability(r).select("pair_id", "scale_spread", "rotation_spread_deg")
     sweep = T.threshold_sweep(r, [3.0]).select("pair_id", F.col("observed_over_expected").alias("observed_over_expected_3px"))
-    g = gated(t).select("pair_id", "n_matches", "n_inliers", "ratio_pct", "rmse_cpx", "median_cpx", "p95_cpx", F.concat_ws(";", "reasons").alias("reasons"), "status")
+    g = gated(t, r).select("pair_id", "n_matches", "n_inliers", "ratio_pct", "rmse_cpx", "median_cpx", "p95_cpx", F.concat_ws(";", "reasons").alias("reasons"), "status")
     return rounded(g.join(grid, "pair_id").join(refit, "pair_id").join(sweep, "pair_id"), rotation_spread_deg=5)
 
 

@@ -31,8 +31,8 @@ def residuals(t: Tables):
     return T.with_residuals(t.tiepoints, transforms(t))
 
 
-def stats(t: Tables):
-    return T.residual_stats(residuals(t), t.transforms)
+def stats(t: Tables, r=None):
+    return T.residual_stats(r if r is not None else residuals(t), t.transforms)
 
 
 @query("h14_residual_px", """
@@ -332,8 +332,8 @@ def delta_by_pair(t: Tables):
     return delta_shuffle(t.runs).select(F.col("run_id").alias("pair_id"), "delta_shuffle")
 
 
-def gated(t: Tables, **kw):
-    rows = T.gate_inputs(stats(t), transforms(t)).join(delta_by_pair(t), "pair_id", "left")
+def gated(t: Tables, r=None, **kw):
+    rows = T.gate_inputs(stats(t, r), transforms(t)).join(delta_by_pair(t), "pair_id", "left")
     return T.flight_gate(rows, "delta_shuffle", require_delta_shuffle=True, **kw)
 
 
