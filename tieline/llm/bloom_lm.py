@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tieline.llm.common import WordHashes, as_bytes, mix, pick, pieces, stored
+from tieline.llm.common import WordHashes, as_bytes, map_batches, mix, pick, pieces, stored
 
 WORD_SHARE, CONTEXT_SHARE, PAIR_SHARE = 2.0 ** -20, 2.0 ** -16, 2.0 ** -24
 BITS_PER_ENTRY, PROBES, CHUNK_BITS, END = 10, 5, 1 << 20, b"\n"
@@ -98,7 +98,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                 h, c = np.unique(all_, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], ["h", "c"])
 
-    return texts.mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    return map_batches(texts, run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 def count_pairs(texts: DataFrame, contexts: Broadcast) -> DataFrame:
@@ -121,7 +121,7 @@ def count_pairs(texts: DataFrame, contexts: Broadcast) -> DataFrame:
                 k, first, c = np.unique(pair_keys(prev[both], word[both]), return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(prev[both][first].view(np.int64)), pa.array(c)], ["k", "prev", "c"])
 
-    return texts.mapInArrow(run, "k bigint, prev bigint, c bigint").groupBy("k").agg(F.first("prev").alias("prev"), F.sum("c").alias("c"))
+    return map_batches(texts, run, "k bigint, prev bigint, c bigint").groupBy("k").agg(F.first("prev").alias("prev"), F.sum("c").alias("c"))
 
 
 def build_filter(entries: DataFrame, chunks: int) -> bytes:
@@ -237,7 +237,7 @@ def score_texts(docs: DataFrame, model: Model, keep: dict[str, Column], text: st
     rows = as_bytes(docs.select(*[e.alias(k) for k, e in keep.items()], F.col(f"`{text}`").alias("_text_")), "_text_")
     kept = list(keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    first = rows.mapInArrow(run, f"{schema}, n_tokens bigint, often bigint, base double, score double, rare array<bigint>, times array<int>")
+    first = map_batches(rows, run, f"{schema}, n_tokens bigint, often bigint, base double, score double, rare array<bigint>, times array<int>")
     first = stored(first.withColumn("_uid", F.monotonically_increasing_id()), "scored")
     seldom = first.select("_uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("_uid", F.col("x.rare").alias("h"), F.col("x.times").alias("t"))
     seldom = seldom.join(model.counts, "h", "left").select("_uid", "t", F.coalesce("c", F.lit(0)).alias("c"))

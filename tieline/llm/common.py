@@ -82,7 +82,7 @@ def held(bits: bytes, slots):
 class WordHashes:
     """64-bit hashes of words, remembered for the frequent ones of a task."""
 
-    def __init__(self, limit: int = 200_000):
+    def __init__(self, limit: int = 60_000):
         self.limit, self.known = limit, {}
 
     def __call__(self, words: list[bytes]):
@@ -123,6 +123,18 @@ def gram_hashes(h, size: int):
     return out
 
 
+BATCH_BYTES, BATCH_KEY, BATCH_DEFAULT = "1m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """`mapInArrow` with batches of about 1 MB, or one row if it is longer: texts are long, and a batch is held by the
+    executor and its Python worker at once. The limit is set for the session unless it has one of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        conf.set(BATCH_KEY, BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def pieces(column, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of an Arrow binary column of at most `limit` bytes, or one row if it is longer."""
     import pyarrow.compute as pc

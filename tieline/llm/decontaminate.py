@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tieline.llm.common import BITMAP_WORDS, WordHashes, as_bytes, bitmap, gram_hashes, held, pick, pieces, slot, stored, text_key
+from tieline.llm.common import BITMAP_WORDS, WordHashes, as_bytes, bitmap, gram_hashes, held, map_batches, pick, pieces, slot, stored, text_key
 
 WINDOW, GRAM = 10, 5
 
@@ -49,7 +49,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW, gram: int = GRAM,
                                              ["item", "words", "length", "print", "offset"])
 
     rows = as_bytes(items.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL"))
-    return (rows.mapInArrow(run, "item string, words binary, length int, print bigint, offset int").groupBy("words", "length", "print", "offset")
+    return (map_batches(rows, run, "item string, words binary, length int, print bigint, offset int").groupBy("words", "length", "print", "offset")
             .agg(F.array_sort(F.collect_set("item")).alias("items")))
 
 
@@ -104,7 +104,7 @@ def winnow(docs: DataFrame, lengths: list[int], window: int = WINDOW, gram: int
 
     rows = as_bytes(docs.select("doc_id", text_key(F.col(text)).alias("key"), F.col(text).alias("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, key bigint, length int, print bigint, at int")
+    return map_batches(rows, run, f"doc_id {kind}, key bigint, length int, print bigint, at int")
 
 
 def find_candidates(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -149,7 +149,7 @@ def _judge(docs: DataFrame, hits: DataFrame) -> DataFrame:
                                                   pa.array([t if m else None for t, m in zip(texts, maybe)], pa.binary())], ["doc_id", "key", "n_words", "text"])
 
     rows = docs.withColumn("key", text_key(F.col("text"))).select("doc_id", "key", slot("doc_id", "key").alias("slot"), F.col("text").cast("binary").alias("text"))
-    counted = rows.mapInArrow(count, f"doc_id {kind}, key bigint, n_words bigint, text binary")
+    counted = map_batches(rows, count, f"doc_id {kind}, key bigint, n_words bigint, text binary")
     joined = counted.alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.key") == F.col("h.key")), "left")
 
     def run(batches):
@@ -176,8 +176,8 @@ def _judge(docs: DataFrame, hits: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*[c.slice(lo, hi - lo) for c in b.columns[:3]], *[pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]],
                                                  ["doc_id", "text_key", "n_words", "n_hit", "spans", "items", "contaminated"])
 
-    return joined.select("d.doc_id", "d.key", "d.n_words", "d.text", "h.hits").mapInArrow(
-        run, f"doc_id {kind}, text_key bigint, n_words bigint, n_hit bigint, spans array<struct<start:int,stop:int>>, items array<string>, contaminated boolean")
+    return map_batches(joined.select("d.doc_id", "d.key", "d.n_words", "d.text", "h.hits"), run, f"doc_id {kind}, text_key bigint, n_words bigint, n_hit bigint, "
+                       "spans array<struct<start:int,stop:int>>, items array<string>, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -206,6 +206,6 @@ def split_by(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
                 keep = held(bits.value, np.array(b.column(b.num_columns - 1))) == wanted
                 yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(keep))
 
-        return rows.mapInArrow(run, docs.schema)
+        return map_batches(rows, run, docs.schema)
 
     return part(True), part(False)

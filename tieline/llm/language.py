@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tieline.llm.common import pick
+from tieline.llm.common import map_batches, pick
 
 DIM, GRAM, SEED, PIECE = 1024, 3, 20240607, 1 << 18
 SCALE = float(1 << 24)
@@ -138,7 +138,7 @@ def train_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang",
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([s.tolist() for s in sums], pa.list_(pa.int64()))], ["lang", "part"])
 
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull())
-    parts = rows.mapInArrow(partial, "lang string, part array<bigint>")
+    parts = map_batches(rows, partial, "lang string, part array<bigint>")
     sums = parts.select("lang", F.posexplode("part").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     return sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("profile"))
 
@@ -197,7 +197,7 @@ def identify_language(docs: DataFrame, profiles: DataFrame, keep: list[str], tex
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return map_batches(rows, run, f"{schema}, lang_pred string, score double")
 
 
 def keep_languages(docs: DataFrame, profiles: DataFrame, accepted: list[str] | None = None, least: float = 0.0,
@@ -216,7 +216,7 @@ def keep_languages(docs: DataFrame, profiles: DataFrame, accepted: list[str] | N
             langs, scores = predict(b.column(at))
             yield b.filter(pa.array([v != "und" and s >= least and (accepted is None or v in accepted) for v, s in zip(langs, scores)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def is_held_out(doc_id: Column, parts: int, part: int) -> Column:

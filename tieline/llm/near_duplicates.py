@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tieline.llm.common import WordHashes, as_bytes, components, gram_hashes, mix, pick, pieces, stored, text_key
+from tieline.llm.common import WordHashes, as_bytes, components, gram_hashes, map_batches, mix, pick, pieces, stored, text_key
 
 BANDS, ROWS, MANTISSA, EMPTY = 40, 5, 10, 0xFFFF
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -94,7 +94,7 @@ def sketch(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int = BAN
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *[pa.array(list(c), t) for c, t in zip(zip(*out), kinds)]], ["doc_id", "n_shingles", "word_key", "regs", "bands"])
 
     rows_ = as_bytes(pick(docs, "doc_id", "text"))
-    return rows_.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, word_key binary, regs binary, bands array<bigint>")
+    return map_batches(rows_, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, word_key binary, regs binary, bands array<bigint>")
 
 
 def promising(pairs: DataFrame, nodes: DataFrame, share: int = SIMILARITY) -> DataFrame:
@@ -122,7 +122,7 @@ def promising(pairs: DataFrame, nodes: DataFrame, share: int = SIMILARITY) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     kind = nodes.schema["node"].dataType.simpleString()
-    return joined.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(run, f"a {kind}, b {kind}")
+    return map_batches(joined.select("a", "b", "ra", "rb", "na", "nb"), run, f"a {kind}, b {kind}")
 
 
 def digests(texts: DataFrame, shingle_words: int) -> DataFrame:
@@ -152,7 +152,7 @@ def digests(texts: DataFrame, shingle_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *[pa.array(np.ascontiguousarray(out[:, k])) for k in range(WORDS)]], ["node", *[f"d{k}" for k in range(WORDS)]])
 
     kind = texts.schema["node"].dataType.simpleString()
-    return texts.mapInArrow(run, f"node {kind}, " + ", ".join(f"d{k} bigint" for k in range(WORDS)))
+    return map_batches(texts, run, f"node {kind}, " + ", ".join(f"d{k} bigint" for k in range(WORDS)))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, share: int) -> DataFrame:
@@ -183,7 +183,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, share: int)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     kind = texts.schema["node"].dataType.simpleString()
-    return joined.mapInArrow(run, f"a {kind}, b {kind}")
+    return map_batches(joined, run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, share: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

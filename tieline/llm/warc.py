@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tieline.llm.common import map_batches
+
 CHUNK_CHARS = 1 << 18
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 HEADER_DATE = "2000-01-01T00:00:00Z"
@@ -84,7 +86,7 @@ def chunk_rows(pages: DataFrame, min_bytes: int = 0, chunk_chars: int = CHUNK_CH
                     out = []
             yield _chunk_batch(out)
 
-    return rows.mapInArrow(run, "record_id string, chunk_no int, block binary")
+    return map_batches(rows, run, "record_id string, chunk_no int, block binary")
 
 
 def _chunk_batch(rows):
@@ -161,7 +163,7 @@ def read_chunks(spark: SparkSession, path: str, step: int = 1 << 20) -> DataFram
                         out = []
                 yield _read_batch(out)
 
-    return files.mapInArrow(run, "record_id string, chunk_no int, record_type string, page_id bigint, refers_to bigint, stated_digest string, stated_bytes bigint, "
+    return map_batches(files, run, "record_id string, chunk_no int, record_type string, page_id bigint, refers_to bigint, stated_digest string, stated_bytes bigint, "
                                  "payload_bytes bigint, digest string, chunk binary")
 
 
@@ -215,4 +217,4 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         if open_ is not None:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(finish(), kinds)], names)
 
-    return whole.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, intact boolean")
+    return map_batches(whole, run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, intact boolean")
