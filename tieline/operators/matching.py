@@ -84,24 +84,25 @@ def knn_self(points: DataFrame, k: int, x: str = "src_x", y: str = "src_y", iden
 
     # both sides of the cell join read this table
     c = cut_lineage(spread(cells, *keys, "cell").withColumn("r", reach("xs", "ys") * (1 + 1e-9)))
-    a = c.select(*keys, "grid", F.col("ids").alias("ia"), F.col("xs").alias("xa"), F.col("ys").alias("ya"), (F.col("x0") - F.col("r")).alias("ax0"),
+    a = c.select(*keys, "grid", F.col("cell").alias("ca"), F.col("ids").alias("ia"), F.col("xs").alias("xa"), F.col("ys").alias("ya"), (F.col("x0") - F.col("r")).alias("ax0"),
                  (F.col("x1") + F.col("r")).alias("ax1"), (F.col("y0") - F.col("r")).alias("ay0"), (F.col("y1") + F.col("r")).alias("ay1"))
-    b = c.select(*keys, "grid", F.col("ids").alias("ib"), F.col("xs").alias("xb"), F.col("ys").alias("yb"), *[F.col(v).alias("b" + v) for v in ("x0", "x1", "y0", "y1")])
+    b = c.select(*keys, "grid", F.col("cell").alias("cb"), F.col("ids").alias("ib"), F.col("xs").alias("xb"), F.col("ys").alias("yb"), *[F.col(v).alias("b" + v) for v in ("x0", "x1", "y0", "y1")])
     pairs = box_join(a, b, [("ax0", "ax1", "bx0", "bx1"), ("ay0", "ay1", "by0", "by1")], F.col("grid"), [*keys, "grid"])
 
     def best(batches):
         for pdf in batches:
+            found = []
             for r in pdf.itertuples(index=False):
                 ia, ib = np.asarray(r.ia), np.asarray(r.ib)
                 d = np.sqrt((np.asarray(r.xa)[:, None] - np.asarray(r.xb)[None, :]) ** 2 + (np.asarray(r.ya)[:, None] - np.asarray(r.yb)[None, :]) ** 2)
                 d[ia[:, None] == ib[None, :]] = np.inf
                 row, other, dist = _nearest(d, ib, k)
-                out = pd.DataFrame({"id": ia[row], "neighbour": other, "distance": dist})
-                for n, key in enumerate(keys):
-                    out.insert(n, key, getattr(r, key))
-                yield out
+                found.append(({key: np.full(len(row), getattr(r, key)) for key in keys}, ia[row], other, dist))
+            if found:  # one frame for all cell pairs of a batch
+                groups = {key: np.concatenate([f[0][key] for f in found]) for key in keys}
+                yield pd.DataFrame({**groups, **{name: np.concatenate([f[n] for f in found]) for n, name in ((1, "id"), (2, "neighbour"), (3, "distance"))}})
 
-    rows = spread(pairs.select(*keys, "ia", "xa", "ya", "ib", "xb", "yb"), *keys, "ia", "ib").mapInPandas(best, f"{_key_schema(points, keys)}, id long, neighbour long, distance double")
+    rows = spread(pairs.select(*keys, "ca", "cb", "ia", "xa", "ya", "ib", "xb", "yb"), *keys, "ca", "cb").mapInPandas(best, f"{_key_schema(points, keys)}, id long, neighbour long, distance double")
     w = Window.partitionBy(*keys, "id").orderBy("distance", "neighbour")
     return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
