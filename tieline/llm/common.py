@@ -82,7 +82,7 @@ def held(bits: bytes, slots):
 class WordHashes:
     """64-bit hashes of words, remembered for the frequent ones of a task."""
 
-    def __init__(self, limit: int = 60_000):
+    def __init__(self, limit: int = 20_000):
         self.limit, self.known = limit, {}
 
     def __call__(self, words: list[bytes]):
@@ -132,7 +132,14 @@ def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     conf = df.sparkSession.conf
     if conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
         conf.set(BATCH_KEY, BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches):
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())  # gives freed batches back; the default pool keeps them
+        yield from run(batches)
+
+    return df.mapInArrow(lean, schema)
 
 
 def pieces(column, limit: int = 4_000_000) -> Iterator[tuple[int, int]]:

@@ -183,8 +183,7 @@ def _judge(docs: DataFrame, hits: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """Rows of docs (all columns) that share no window with the benchmark; other rows pass unchanged."""
     hits = find_candidates(pick(docs, "doc_id", "text"), items, window, gram)
-    few, _ = split_by(docs, hits)
-    bad = _judge(pick(few, "doc_id", "text"), hits).where("contaminated").select("doc_id", F.col("text_key").alias("key")).distinct()
+    bad = _judge(pick(docs, "doc_id", "text"), hits).where("contaminated").select("doc_id", F.col("text_key").alias("key")).distinct()
     bad = stored(bad, "contaminated")
     some, others = split_by(docs, bad)
     gone = bad.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tieline.llm.common import map_batches, pick
 
-DIM, GRAM, SEED, PIECE = 1024, 3, 20240607, 1 << 18
+DIM, GRAM, SEED, PIECE = 1024, 3, 20240607, 1 << 17
 SCALE = float(1 << 24)
 MAX_LANGUAGES = 1000
 
@@ -89,13 +89,13 @@ class Encoder:
         keys, inverse = np.unique(np.concatenate(grams), return_inverse=True)
         counts = np.bincount(np.concatenate(owner) * len(keys) + inverse, minlength=len(docs) * len(keys)).reshape(len(docs), len(keys)).astype(np.float32)
         letters = np.stack([self.vector(int(a)) for a in alphabet])
-        for lo in range(0, len(keys), 4096):
-            part, bound = keys[lo:lo + 4096].copy(), None
+        for lo in range(0, len(keys), 1024):
+            part, bound = keys[lo:lo + 1024].copy(), None
             for back in range(g):
                 rolled = np.roll(letters, back, axis=1)[(part % base).astype(np.int64)]
                 bound = rolled if bound is None else bound * rolled
                 part //= base
-            out[docs] += counts[:, lo:lo + 4096] @ bound.astype(np.float32)
+            out[docs] += counts[:, lo:lo + 1024] @ bound.astype(np.float32)
 
 
 def _texts(column, start: int, stop: int) -> list[str | None]:
@@ -183,7 +183,7 @@ def identify_language(docs: DataFrame, profiles: DataFrame, keep: list[str], tex
 
     lang_pred is the learned language with the largest cosine (of equal cosines the first by name), score that cosine
     cut to 0..1. A text that is null or has no letter, and every text when nothing was learned, gets `und` and 0. Only
-    the text is looked at. Whole texts are read; long ones in pieces of 2^18 letters, which gives the same vector."""
+    the text is looked at. Whole texts are read; long ones in pieces of 2^17 letters, which gives the same vector."""
     make = _predictor(*collect_profiles(profiles), dim, gram)
 
     def run(batches):
