@@ -195,6 +195,27 @@ def test_model_prefers_seen_order(spark):
     assert s[1] > s[2] > s[3]
 
 
+def test_every_pair_counts(spark, monkeypatch):
+    """A pair of words seen twice in a large corpus raises the score, by the broadcast filter and by the joined chunks."""
+    filler = [" ".join(f"w{(i * 7919 + j * j) % 5003}" for j in range(3000)) for i in range(60)]
+    table = [(i, t + (" rareone raretwo rarethree" if i in (3, 40) else "")) for i, t in enumerate(filler)]
+    train = spark.createDataFrame(table, "doc_id bigint, text string")
+    made = spark.createDataFrame([(1, "rareone raretwo rarethree"), (2, "raretwo rareone rarethree"), (3, None), (4, "zzz rareone")], "doc_id bigint, text string")
+    words = [["", *(t.split()), ""] for _, t in table]
+    pairs = {p for w in words for p in zip(w, w[1:])}
+    results = []
+    for most in (bloom_lm.BROADCAST_CHUNKS, 0):
+        monkeypatch.setattr(bloom_lm, "BROADCAST_CHUNKS", most)
+        model = bloom_lm.train_model(train)
+        assert (model.slices is None) == (most > 0)
+        out = {r.doc_id: r for r in bloom_lm.score_texts(made, model, {"doc_id": common.F.col("doc_id")}).collect()}
+        assert len(out) == 4 and out[1].base_score == pytest.approx(out[2].base_score) and out[1].score > out[2].score + 4
+        results.append({d: r.score for d, r in out.items()})
+    assert results[0] == pytest.approx(results[1])
+    found = bloom_lm.count_pairs(train.selectExpr("cast(text as binary)"), 3)
+    assert sum(sum(r.n) for r in found.collect()) == len(pairs) and sum(sum(r.total) for r in found.collect()) == model.tokens
+
+
 # ---- near duplicates
 
 @pytest.mark.parametrize("words", [2, 5])
