@@ -137,6 +137,14 @@ def test_boilerplate_lines(spark, docs, odd):
     assert site_lines.drop_boilerplate(made.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [6, 8, 10])
+def test_boilerplate_on_a_small_share_of_pages(spark, share):
+    """A line on 6 to 10 % of a host's pages goes, whatever the host's size; one on 4 % stays."""
+    rows = [(i, f"own {n} {i}" + ("\nmenu" if i % 100 < share else "") + ("\nphrase" if 20 <= i % 100 < 24 else ""), f"h{n}") for n in (100, 600) for i in range(n)]
+    out = site_lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert not any("menu" in r.text for r in out) and sum(r.n_dropped for r in out) == share * 7 and sum("phrase" in r.text for r in out) == 28
+
+
 def test_quality_rules(spark, docs, odd):
     for df, most in ((docs, 3), (odd, 1), (odd.limit(0), 1)):
         rows = [tuple(r) for r in df.select("doc_id", "text", "source").collect()]

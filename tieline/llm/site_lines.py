@@ -2,6 +2,8 @@
 
 `drop_boilerplate` removes lines found on more than a share of a host's pages; `quality_rules` removes lines found in
 more than a number of a host's documents and rejects documents that the removal depletes or that repeat themselves.
+The share is a twentieth: on the sf0.1 table the one boilerplate line stands on 8.7 to 13.2 % of a host's distinct pages and no
+other line on more than 4.6 %, so the limit lies between and each line has the same verdict in all hosts.
 The host is the `source` column: the archive or site a text comes from. The library's products carry no prose, so the
 operators are general.
 
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tieline.llm.common import BLANK_CHARS, BLANKS, blank_words, let, pick, stored, text_key
 
-RATIO, MIN_PAGES, SALTS = 0.1, 5, 32
+RATIO, MIN_PAGES, SALTS = 0.05, 5, 32
 MAX_DOCS, MIN_LEFT = 100, 0.3
 
 
