@@ -164,6 +164,20 @@ def test_quality_rules(spark, docs, odd):
         assert sorted(got) == sorted(want)
 
 
+def test_line_rate_is_judged_alike_in_all_hosts(spark):
+    """A line in 8 % of a host's texts goes and one in 4 % stays, in hosts of 100, 500 and 3000 texts."""
+    def letters(i):
+        return "".join(chr(97 + int(d)) for d in str(i))  # digits are one in normalised lines
+
+    rows = [(i, " ".join(f"own{letters(i)}" + "abcdefghijkl"[j] for j in range(12)) + ("\nmenu home" if i % 100 < 8 else "") + ("\na short phrase" if 20 <= i % 100 < 24 else ""), f"h{n}")
+            for n in (100, 500, 3000) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for n in (100, 500, 3000):
+        out = site_lines.quality_rules(df.where(f"source = 'h{n}'")).collect()
+        assert all(r.n_removed_words == (2 if r.doc_id % 100 < 8 else 0) and r.kept for r in out) and len(out) == n
+    assert sorted(map(tuple, site_lines.quality_rules(df).collect())) == sorted(tuple(r) for n in (100, 500, 3000) for r in site_lines.quality_rules(df.where(f"source = 'h{n}'")).collect())
+
+
 # ---- language model
 
 def test_base_scores(spark, docs, odd):

@@ -1,7 +1,7 @@
 """Lines that many pages of one site share, as DataFrame expressions only.
 
-`drop_boilerplate` removes lines found on more than a share of a host's pages; `quality_rules` removes lines found in
-more than a number of a host's documents and rejects documents that the removal depletes or that repeat themselves.
+`drop_boilerplate` removes lines found on more than a share of a host's pages; `quality_rules` removes normalised lines
+found in more than the same share of a host's distinct texts and rejects documents that the removal depletes or that repeat themselves.
 The share is a twentieth: on the sf0.1 table the one boilerplate line stands on 8.7 to 13.2 % of a host's distinct pages and no
 other line on more than 4.6 %, so the limit lies between and each line has the same verdict in all hosts.
 The host is the `source` column: the archive or site a text comes from. The library's products carry no prose, so the
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tieline.llm.common import BLANK_CHARS, BLANKS, blank_words, let, pick, stored, text_key
 
 RATIO, MIN_PAGES, SALTS = 0.05, 5, 32
-MAX_DOCS, MIN_LEFT = 100, 0.3
+MAX_DOCS, MIN_LEFT = 4, 0.3
 
 
 def bare(line: Column) -> Column:
@@ -120,18 +120,20 @@ def normal_line(line: Column) -> Column:
 
 
 def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT,
-                  min_words: int = 10, max_repeat_pct: int = 20) -> DataFrame:
+                  min_words: int = 10, max_repeat_pct: int = 20, ratio: float = RATIO) -> DataFrame:
     """One row per document: doc_id, the five base counts, n_removed_words, base_failed and kept.
 
-    A normalised line found in more than `max_docs` distinct texts of its host is removed; equal texts count once, so
-    a copied document does not make its own lines frequent. kept is false if the base rule fails (n_words < min_words
+    A normalised line found in more than a share `ratio` of the distinct texts of its host, and in more than `max_docs`
+    (which guards small hosts), is removed; equal texts count once, so a copied document does not make its own lines frequent. kept is false if the base rule fails (n_words < min_words
     or 100 * n_repeat_words > max_repeat_pct * n_words) or if less than `min_left` of the words stands in lines that
     are not removed. Null and blank texts have no words and fail; repeated rows each get their row."""
     base = _hosts(pick(docs, "doc_id", "text", host), host).withColumn("key", text_key(F.col("text")))
     norm = F.transform(text_lines(F.col("text")), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(F.filter(F.split(x, BLANKS), lambda w: w != "")).alias("words")))
     lines = base.select("doc_id", "host", "key", F.explode(F.filter(norm, lambda s: s["words"] > 0)).alias("s")).select("doc_id", "host", "key", "s.*")
     once = lines.groupBy("host", "line", "key").agg(F.count("*").alias("n"))
+    totals = base.groupBy("host", "key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("total"))
     often = once.groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > max_docs)
+    often = often.join(totals, "host").where(F.col("texts") > F.col("total") * F.lit(ratio))
     often = stored(often.select(F.col("host").alias("_host"), F.col("line").alias("_line")), "lines")
     hit = lines.join(often, (F.col("host") == F.col("_host")) & (F.col("line") == F.col("_line")))
     removed = hit.groupBy("doc_id", "host", "key").agg(F.sum("words").alias("gone"))
