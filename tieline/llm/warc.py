@@ -2,7 +2,8 @@
 
 Archived pages (page_id, url, html) become WARC/1.1 records. A record is written as rows of at most `chunk_chars`
 characters: the first row holds the record's headers, each further one a continuation record with its segment number,
-so that neither writer nor reader needs a whole oversized record in one row or file. Equal payloads are stored once;
+so that no row of the archives holds a whole oversized record. The writer does hold a page's whole text with its encoded
+blocks while it cuts it, and the reader holds one whole compressed archive (a file above 2 GB fails). Equal payloads are stored once;
 later ones are revisit records. Reading turns archives back into chunk rows and sums up each record chunk by chunk with
 a running SHA-1.
 """
