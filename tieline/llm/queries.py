@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tieline.llm import bloom_lm, decontaminate, language, mixing, near_duplicates, site_lines, site_quality, url_filter, warc
+from tieline.llm import bloom_lm, decontaminate, fill_middle, label_pieces, language, mixing, near_duplicates, site_lines, site_quality, url_filter, warc, whiten
 from tieline.llm.oracles import mix_sql, quality_score_sql, site_lines_sql
 from tieline.session import shared_path
 
@@ -67,8 +67,31 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", *[F.round(c, 6).alias(c) for c in ("evidence", "host_rate", "path_rate", "score")], "kept")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("xml"))
+    made = fill_middle.fill_in_middle(fill_middle.store_frames(docs))
+    out = fill_middle.restore_labels(made, ["path", "n", "form", "prefix_units", "middle_units", "output_sha256"])
+    return out.select(F.col("path").cast("bigint").alias("doc_id"), "n", "form", F.col("prefix_units").alias("prefix_chars"),
+                      F.col("middle_units").alias("middle_chars"), "output_sha256", "restored_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cube = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("spectrum"))
+    return whiten.whiten_spectra(cube, whiten.fit_whitening(cube), ["vec_id"])
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """model: path of a model file; without it the public tokenizers' 32k BPE model."""
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    labels = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("xml"))
+    return label_pieces.encode_and_decode(labels, label_pieces.load_model(model)).withColumnRenamed("path", "doc_id")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_url_filter, op2_language_id, op3_line_dedup, op4_lm_scoring, op5_near_duplicates, op6_decontamination,
-                            op7_mixing, op8_quality_rules, op9_warc, op10_quality_classifier)}
+                            op7_mixing, op8_quality_rules, op9_warc, op10_quality_classifier, op11_fill_in_middle, op12_whitening, op13_sentencepiece)}
 
 LLM_ORACLES: dict[str, str] = {"op3_line_dedup": site_lines_sql(), "op7_mixing": mix_sql(), "op10_quality_classifier": quality_score_sql()}
