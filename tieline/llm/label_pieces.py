@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tieline.llm.common import map_batches, pieces as batch_pieces
 
 MODEL_LIMIT = 64 << 20
-SEEN_CHARS, SEEN_PAIRS = 3_000_000, 300_000
+SEEN_CHARS, SEEN_PAIRS = 6_000_000, 300_000
 
 
 def load_model(path: str) -> bytes:
@@ -73,9 +73,9 @@ class Vocabulary:
             self.ends.add_word(t[::-1], k)
         self.ends.make_automaton()
         self.alphabet, self.cut = alphabet, self._cutter(alphabet)
-        self.fits: dict[int, bool] = {}
-        self.seen: dict[str, bytes] = {}
-        self.seen_chars = 0
+        self.fits: list[dict[int, bool]] = [{} for _ in range(len(self.text) + 1)]  # the last row is that of no left token
+        self.n_fits = 0
+        self.seen = Parts(self)
 
     def _cutter(self, alphabet: set[str]):
         """A pattern that cuts a text into parts over whose borders no piece reaches, so that each part is encoded by
@@ -114,30 +114,35 @@ class Vocabulary:
         return parts
 
     def fit(self, left: int, right: int) -> bool:
-        """Whether two tokens (or, with left -1, one) survive being merged anew; remembered by the pair."""
+        """Whether two tokens (or, with left -1, one) survive being merged anew; remembered in the left one's row."""
         want = [self.text[right]] if left < 0 else [self.text[left], self.text[right]]
-        if len(self.fits) >= SEEN_PAIRS:
-            self.fits.clear()
-        known = self.fits[left * len(self.text) + right] = self.merge("".join(want)) == want
+        if self.n_fits >= SEEN_PAIRS:
+            for row in self.fits:
+                row.clear()
+            self.n_fits = 0
+        self.n_fits += 1
+        known = self.fits[left][right] = self.merge("".join(want)) == want
         return known
 
     def tokens(self, part: str) -> list[int]:
         """Tokens of a part that consists of the alphabet's characters, by backtracking. Positions count down from the
         part's length, as in the reversed text; the automaton names the longest match of an end first."""
-        longest = dict(list(self.ends.iter(part[::-1]))[::-1])
-        size, shorter, fits, base = self.size, self.shorter, self.fits, len(self.text)
+        longest: dict[int, int] = {}
+        self.ends.find_all(part[::-1], longest.setdefault)
+        size, shorter, fits = self.size, self.shorter, self.fits
         failed, marked = bytearray((len(part) >> 3) + 1), False
         out: list[int] = []
-        at, left, k = len(part) - 1, -1, longest[len(part) - 1]
+        at = len(part) - 1
+        left, k, row = -1, longest[at], fits[-1]
         while True:
             end = at - size[k]
             if not (marked and failed[end + 1 >> 3] >> (end + 1 & 7) & 1):
-                good = fits.get(left * base + k)
+                good = row.get(k)
                 if self.fit(left, k) if good is None else good:
                     out.append(k)
                     if end < 0:
                         return out
-                    at, left, k = end, k, longest[end]
+                    at, left, row, k = end, k, fits[k], longest[end]
                     continue
             k = shorter[k]
             while k < 0:
@@ -146,22 +151,30 @@ class Vocabulary:
                 last = out.pop()
                 at += size[last]
                 left, k = out[-1] if out else -1, shorter[last]
+                row = fits[left]
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as packed 32-bit numbers."""
-        parts = self.cut(self.sp.normalize(text))
-        seen, units = self.seen, self.units
-        for p in set(parts):
-            if p not in seen:
-                seen[p] = b"".join([units[k] for k in self.tokens(p)]) if p[0] in self.alphabet else self.unknown(p)
-                self.seen_chars += len(p)
-        out = b"".join([seen[p] for p in parts])
-        if self.seen_chars > SEEN_CHARS:
-            seen.clear()
-            self.seen_chars = 0
+        out = b"".join(map(self.seen.__getitem__, self.cut(self.sp.normalize(text))))
+        if self.seen.chars > SEEN_CHARS:
+            self.seen = Parts(self)
         return out
 
 
+class Parts(dict):
+    """Packed ids of the parts met so far; a new part is encoded when it is asked for."""
+
+    def __init__(self, vocab: Vocabulary):
+        super().__init__()
+        self.vocab, self.chars = vocab, 0
+
+    def __missing__(self, part: str) -> bytes:
+        v = self.vocab
+        ids = self[part] = b"".join([v.units[k] for k in v.tokens(part)]) if part[0] in v.alphabet else v.unknown(part)
+        self.chars += len(part)
+        return ids
+
+
 _LOADED: dict[bytes, Vocabulary] = {}
 
 
