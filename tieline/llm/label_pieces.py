@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tieline.llm.common import map_batches, pieces as batch_pieces
 
 MODEL_LIMIT = 64 << 20
-SEEN_CHARS, SEEN_PAIRS = 6_000_000, 300_000
+SEEN_CHARS, SEEN_PAIRS = 4_000_000, 300_000
 
 
 def load_model(path: str) -> bytes:
@@ -157,20 +157,25 @@ class Vocabulary:
         """Ids of a text as packed 32-bit numbers."""
         out = b"".join(map(self.seen.__getitem__, self.cut(self.sp.normalize(text))))
         if self.seen.chars > SEEN_CHARS:
-            self.seen = Parts(self)
+            self.seen.before = {}
+            self.seen = Parts(self, self.seen)
         return out
 
 
 class Parts(dict):
-    """Packed ids of the parts met so far; a new part is encoded when it is asked for."""
+    """Packed ids of the parts met so far; a part that neither this nor the generation before knows is encoded when it
+    is asked for. So frequent parts stay known when the older generation is given up."""
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Vocabulary, before: dict[str, bytes] | None = None):
         super().__init__()
-        self.vocab, self.chars = vocab, 0
+        self.vocab, self.chars, self.before = vocab, 0, before or {}
 
     def __missing__(self, part: str) -> bytes:
         v = self.vocab
-        ids = self[part] = b"".join([v.units[k] for k in v.tokens(part)]) if part[0] in v.alphabet else v.unknown(part)
+        ids = self.before.get(part)
+        if ids is None:
+            ids = b"".join([v.units[k] for k in v.tokens(part)]) if part[0] in v.alphabet else v.unknown(part)
+        self[part] = ids
         self.chars += len(part)
         return ids
 
