@@ -73,7 +73,7 @@ class Vocabulary:
             self.ends.add_word(t[::-1], k)
         self.ends.make_automaton()
         self.alphabet, self.cut = alphabet, self._cutter(alphabet)
-        self.fits: list[dict[int, bool]] = [{} for _ in range(len(self.text) + 1)]  # the last row is that of no left token
+        self.fits: list[dict[int, int]] = [{} for _ in range(len(self.text) + 1)]  # the last row is that of no left token
         self.n_fits = 0
         self.seen = Parts(self)
 
@@ -113,41 +113,61 @@ class Vocabulary:
                 gain[i] = rank.get(parts[i] + parts[i + 1], none)
         return parts
 
-    def fit(self, left: int, right: int) -> bool:
-        """Whether two tokens (or, with left -1, one) survive being merged anew; remembered in the left one's row."""
-        want = [self.text[right]] if left < 0 else [self.text[left], self.text[right]]
+    def fit(self, left: int, right: int) -> int:
+        """The longest token among `right` and the pieces that are prefixes of it that survives being merged anew with
+        `left` before it (or, with left -1, by itself); -1 if there is none. Remembered in the left token's row."""
+        row, tried = self.fits[left], []
+        before = self.text[left] if left >= 0 else ""
+        found = -1
+        while right >= 0:
+            known = row.get(right)
+            if known is not None:
+                found = known
+                break
+            tried.append(right)
+            token = self.text[right]
+            if self.merge(before + token) == ([before, token] if before else [token]):
+                found = right
+                break
+            right = self.shorter[right]
         if self.n_fits >= SEEN_PAIRS:
-            for row in self.fits:
-                row.clear()
+            for other in self.fits:
+                other.clear()
             self.n_fits = 0
-        self.n_fits += 1
-        known = self.fits[left][right] = self.merge("".join(want)) == want
-        return known
+        self.n_fits += len(tried)
+        row.update(dict.fromkeys(tried, found))
+        return found
 
     def tokens(self, part: str) -> list[int]:
         """Tokens of a part that consists of the alphabet's characters, by backtracking. Positions count down from the
-        part's length, as in the reversed text; the automaton names the longest match of an end first."""
+        part's length, as in the reversed text; the automaton names the longest match of an end first. A set bit of
+        `failed` marks the position before that many characters from the end."""
         longest: dict[int, int] = {}
         self.ends.find_all(part[::-1], longest.setdefault)
-        size, shorter, fits = self.size, self.shorter, self.fits
-        failed, marked = bytearray((len(part) >> 3) + 1), False
+        size, shorter, fits, fit = self.size, self.shorter, self.fits, self.fit
+        failed = None
         out: list[int] = []
         at = len(part) - 1
         left, k, row = -1, longest[at], fits[-1]
         while True:
-            end = at - size[k]
-            if not (marked and failed[end + 1 >> 3] >> (end + 1 & 7) & 1):
-                good = row.get(k)
-                if self.fit(left, k) if good is None else good:
-                    out.append(k)
+            good = row.get(k)
+            if good is None:
+                good = fit(left, k)
+            if good >= 0:
+                end = at - size[good]
+                if failed is None or not failed[end + 1 >> 3] >> (end + 1 & 7) & 1:
+                    out.append(good)
                     if end < 0:
                         return out
-                    at, left, row, k = end, k, fits[k], longest[end]
+                    at, left, row, k = end, good, fits[good], longest[end]
                     continue
-            k = shorter[k]
+                k = shorter[good]
+            else:
+                k = -1
             while k < 0:
+                if failed is None:
+                    failed = bytearray((len(part) >> 3) + 1)
                 failed[at + 1 >> 3] |= 1 << (at + 1 & 7)
-                marked = True
                 last = out.pop()
                 at += size[last]
                 left, k = out[-1] if out else -1, shorter[last]
