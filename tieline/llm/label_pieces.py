@@ -256,7 +256,10 @@ def decode_labels(encoded: DataFrame, model: bytes, keep: list[str] | None = Non
 
         sp = vocabulary(sent.value).sp
         for b in batches:
-            texts = [None if v is None else sp.decode(v) if v else "" for v in b.column(b.num_columns - 1).to_pylist()]
+            lists = b.column(b.num_columns - 1)
+            units, edges = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_pylist()
+            known = lists.is_valid().to_pylist()
+            texts = [sp.decode(units[lo:hi].tolist()) if lo < hi else "" if ok else None for lo, hi, ok in zip(edges, edges[1:], known)]
             yield _with_last(b, pa.array(texts, pa.string()), xml, pa.string())
 
     rows = encoded.select(*[F.col(f"`{c}`") for c in keep or ["path"] if c != xml], F.col(f"`{ids}`").alias("_ids_"))
