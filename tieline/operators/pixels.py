@@ -278,15 +278,18 @@ def hist_equalize(pixels: DataFrame, value: str = "dn") -> DataFrame:
     return pixels.join(first.select("tile_id", F.col("_v").alias(value), lut.alias("equalized")), ["tile_id", value])
 
 
-def clahe(pixels: DataFrame, size: int, parts: int = 4, clip: float = 2.0) -> DataFrame:
+def clahe(pixels: DataFrame, size: int, parts: int = 4, clip: float | DataFrame = 2.0) -> DataFrame:
     """Contrast-limited equalisation: clipped histogram per sub-tile, blend of the four nearest look-up tables.
 
-    Clip count is clip * n / 256 (at least 1); the excess is spread evenly over all 256 values. `dn` is 0..255.
+    Clip count is clip * n / 256 (at least 1); the excess is spread evenly over all 256 values. `dn` is 0..255. `clip`
+    may be a table of one limit per tile (tile_id, clip).
     """
     step = size / parts
     sub = pixels.withColumn("_ty", F.floor(F.col("row_no") / step)).withColumn("_tx", F.floor(F.col("col_no") / step))
     h = sub.groupBy("tile_id", "_ty", "_tx", F.col("dn").cast("int").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     whole = Window.partitionBy("tile_id", "_ty", "_tx")
+    if isinstance(clip, DataFrame):
+        h, clip = h.join(clip.select("tile_id", "clip"), "tile_id"), F.col("clip")
     h = h.withColumn("_n", F.sum("_c").over(whole)).withColumn("_lim", F.greatest(F.lit(1.0), clip * F.col("_n") / 256))
     ex = h.groupBy("tile_id", "_ty", "_tx").agg(F.first("_n").alias("_n"), F.first("_lim").alias("_lim"),
                                                 F.sum(F.greatest(F.col("_c") - F.col("_lim"), F.lit(0.0))).alias("_ex"))
