@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tieline.fixed import MIN_SAMPLES
+from tieline.operators.pixels import sample_raster
 from tieline.operators.ranking import dense_index, grouped_quantiles
 from tieline.operators.tiepoints import assign_folds, hash_order, heldout_summary
 from tieline.session import cut_lineage, spread
@@ -352,6 +353,91 @@ class PenalisedGram:
         return float(LAMBDAS[np.argmin(n * rss / np.maximum(n - weight.sum(1), 1.0) ** 2)])
 
 
+def _spline_shifts(x, y, hc) -> Column:
+    """Displacement (dx, dy) of points on plain Arrow batches; each row carries its model, and the rows of one model (told
+    by the hash of its coefficients) are evaluated together."""
+    @F.pandas_udf("dx double, dy double")
+    def run(sx: pd.Series, sy: pd.Series, hc: pd.Series, v0: pd.Series, v1: pd.Series, nseg: pd.Series, uc: pd.Series, us: pd.Series, px: pd.Series,
+            py: pd.Series, coef: pd.Series, which: pd.Series) -> pd.DataFrame:
+        pdf = pd.DataFrame({"src_x": sx, "src_y": sy, "hc": hc, "v0": v0, "v1": v1, "nseg": nseg, "uc": uc, "us": us, "px": px, "py": py, "which": which})
+        shift = np.full((len(pdf), 2), np.nan)
+        for at, part, c in _models(pdf, coef):
+            shift[at] = _design(part, int(part["nseg"].iloc[0]) + 3) @ c
+        return pd.DataFrame(shift, columns=["dx", "dy"])
+
+    return run(x, y, hc, *[F.col(c) for c in SPLINE], F.xxhash64("coef"))
+
+
+def _models(pdf: pd.DataFrame, coef: pd.Series):
+    """Rows of a batch by model: (places, rows, coefficients as (3 nb + 1) x 2)."""
+    for _, at in pdf.groupby(["which", "v0", "v1", "nseg", "uc", "us", "px", "py"], sort=False).indices.items():
+        part, flat = pdf.iloc[at], np.asarray(coef.iloc[at[0]], float)
+        half = len(flat) // 2
+        yield at, part, np.vstack([np.stack([flat[:half], flat[half:]], 1), [[part["px"].iloc[0], part["py"].iloc[0]]]])
+
+
+SPLINE = ("v0", "v1", "nseg", "uc", "us", "px", "py", "coef")
+
+
+def predict_spline(points: DataFrame, model: DataFrame, keys=("pair_id",), dem: DataFrame | None = None, height: str = "z", size: int | None = None,
+                   rounds: int = 3) -> DataFrame:
+    """Reference position of (src_x, src_y) under splines of pspline_fit: adds pred_x, pred_y.
+
+    The relief term needs the ground's height at the reference position, which is not known beforehand. Without `dem` a
+    column h is used (none: no relief term). With `dem` (tile_id, row_no, col_no, height) the height is looked up where
+    the prediction stands, bilinear, and the prediction moved accordingly, `rounds` times; outside the raster it counts as
+    the model's reference height. Points then need tile_id, the tile their y counts from (with `size` it may reach over
+    the tile's edge). Each round is one join on raster cells. Points of a group without a model are left out."""
+    keys = list(keys)
+    h = F.col("h") if dem is None and "h" in points.columns else F.lit(None).cast("double")
+    j = points.join(model.select(*keys, *SPLINE, "h0"), keys)
+    zero = F.lit(0.0)
+    j = j.withColumn("_s", _spline_shifts("src_x", "src_y", zero)).withColumn("_bx", F.col("src_x") + F.col("_s.dx")).withColumn("_by", F.col("src_y") + F.col("_s.dy"))
+
+    def lifted(df, at):
+        gap = F.coalesce(at - F.col("h0"), zero)
+        return df.withColumn("pred_x", F.col("_bx") + gap * F.col("px")).withColumn("pred_y", F.col("_by") + gap * F.col("py"))
+
+    j = lifted(j, h).select(*points.columns, "_bx", "_by", "px", "py", "h0", "pred_x", "pred_y")
+    for _ in range(rounds if dem is not None else 0):
+        seen = sample_raster(cut_lineage(j), dem, "bilinear", height, "pred_x", "pred_y", size)
+        j = lifted(seen, F.col("sampled")).drop("sampled")
+    return j.select(*points.columns, "pred_x", "pred_y")
+
+
+def inverse_spline(points: DataFrame, model: DataFrame, keys=("pair_id",), tol: float = 1e-6, rounds: int = 200) -> DataFrame:
+    """Source position of (map_x, map_y) under splines of pspline_fit: adds inv_x, inv_y, last_step and converged.
+
+    Rounds q <- map - d(q) as in inverse_map. The relief term depends on the height at the map position alone: a column
+    h (null or missing: the model's reference height), so it stays fixed during the rounds. A position that does not
+    settle keeps its last place and is not converged."""
+    @F.pandas_udf("x double, y double, step double")
+    def run(mx: pd.Series, my: pd.Series, hc: pd.Series, v0: pd.Series, v1: pd.Series, nseg: pd.Series, uc: pd.Series, us: pd.Series, px: pd.Series,
+            py: pd.Series, coef: pd.Series, which: pd.Series) -> pd.DataFrame:
+        pdf = pd.DataFrame({"src_x": mx, "src_y": my, "hc": hc, "v0": v0, "v1": v1, "nseg": nseg, "uc": uc, "us": us, "px": px, "py": py, "which": which})
+        out = np.full((len(pdf), 3), np.nan)
+        for at, rows, c in _models(pdf, coef):
+            part, nb, target = rows.copy(), int(rows["nseg"].iloc[0]) + 3, rows[["src_x", "src_y"]].to_numpy(float)
+            place, step = target.copy(), np.full(len(part), np.inf)
+            for _ in range(rounds):
+                part["src_x"], part["src_y"] = place[:, 0], place[:, 1]
+                to = target - _design(part, nb) @ c
+                with np.errstate(over="ignore", invalid="ignore"):
+                    step = np.hypot(*(to - place).T)
+                going = np.isfinite(step)
+                place[going] = to[going]
+                if not (step[going] >= tol).any():
+                    break
+            out[at] = np.column_stack([place, step])
+        return pd.DataFrame(out, columns=["x", "y", "step"])
+
+    keys = list(keys)
+    j = points.join(model.select(*keys, *SPLINE, F.col("h0").alias("_h0")), keys)
+    gap = F.coalesce(F.col("h") - F.col("_h0"), F.lit(0.0)) if "h" in points.columns else F.lit(0.0)
+    out = j.withColumn("_i", run("map_x", "map_y", gap, *[F.col(c) for c in SPLINE], F.xxhash64("coef")))
+    return out.select(*points.columns, F.col("_i.x").alias("inv_x"), F.col("_i.y").alias("inv_y"), F.col("_i.step").alias("last_step"), F.coalesce(F.col("_i.step") < tol, F.lit(False)).alias("converged"))
+
+
 def pspline_fit(matches: DataFrame, thresh: float, knot_px: float, keys=("pair_id",), rounds: int = 6, relief: bool = False,
                 domain: DataFrame | None = None, points: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Penalised along-track spline per group with trimming rounds: (model, points with fit_px and is_inlier).
@@ -378,7 +464,7 @@ def pspline_fit(matches: DataFrame, thresh: float, knot_px: float, keys=("pair_i
     def prepared(df):
         return df.join(meta, keys).withColumn("hc", F.col("h") - F.col("h0")).withColumn("blk", F.pmod(F.xxhash64("match_id"), F.col("nblk")))
 
-    rows = cut_lineage(prepared(ok))
+    rows = cut_lineage(spread(prepared(ok), *keys, "blk"))
     ks = ", ".join(f"{k} {matches.schema[k].dataType.simpleString()}" for k in keys)
 
     def gram(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -422,28 +508,15 @@ def pspline_fit(matches: DataFrame, thresh: float, knot_px: float, keys=("pair_i
         """Prediction on plain Arrow batches; each row carries its own model."""
         j = df.join(model.select(*keys, "coef", "px", "py"), keys)
 
-        @F.pandas_udf("double")
-        def run(sx: pd.Series, sy: pd.Series, rx: pd.Series, ry: pd.Series, hc: pd.Series, v0: pd.Series, v1: pd.Series, nseg: pd.Series,
-                uc: pd.Series, us: pd.Series, coef: pd.Series, px: pd.Series, py: pd.Series) -> pd.Series:
-            pdf = pd.DataFrame({"src_x": sx, "src_y": sy, "ref_x": rx, "ref_y": ry, "hc": hc, "v0": v0, "v1": v1, "nseg": nseg, "uc": uc, "us": us, "px": px, "py": py})
-            out = np.full(len(pdf), np.nan)
-            for _, at in pdf.groupby(["v0", "v1", "nseg", "uc", "us", "px", "py"], sort=False).indices.items():
-                part = pdf.iloc[at]
-                nb = int(part["nseg"].iloc[0]) + 3
-                x, c = _design(part, nb), np.asarray(coef.iloc[at[0]], float)
-                c = np.vstack([np.stack([c[:3 * nb], c[3 * nb:]], 1), [[part["px"].iloc[0], part["py"].iloc[0]]]])
-                e = part[["src_x", "src_y"]].to_numpy(float) + x @ c - part[["ref_x", "ref_y"]].to_numpy(float)
-                out[at] = np.hypot(e[:, 0], e[:, 1])
-            return pd.Series(out)
-
-        cols = ("src_x", "src_y", "ref_x", "ref_y", "hc", "v0", "v1", "nseg", "uc", "us", "coef", "px", "py")
-        return j.withColumn("fit_px", run(*cols)).drop("coef", "px", "py")
+        s = j.withColumn("_s", _spline_shifts("src_x", "src_y", F.col("hc")))
+        ex, ey = F.col("src_x") + F.col("_s.dx") - F.col("ref_x"), F.col("src_y") + F.col("_s.dy") - F.col("ref_y")
+        return s.withColumn("fit_px", F.sqrt(ex * ex + ey * ey)).drop("coef", "px", "py", "_s")
 
     model, keep = None, rows
     for it in range(rounds + (1 if relief else 0)):
-        sums = keep.groupBy(*keys, "blk").applyInPandas(gram, f"{ks}, i long, x double, nb int").groupBy(*keys, "nb", "i").agg(F.sum("x").alias("x"))
+        sums = spread(keep, *keys, "blk").groupBy(*keys, "blk").applyInPandas(gram, f"{ks}, i long, x double, nb int").groupBy(*keys, "nb", "i").agg(F.sum("x").alias("x"))
         prev = model.select(*keys, "px", "py") if model is not None else meta.select(*keys, F.lit(0.0).alias("px"), F.lit(0.0).alias("py"))
-        model = cut_lineage(sums.join(prev, keys).groupBy(*keys).applyInPandas(
+        model = cut_lineage(spread(sums.join(prev, keys), *keys).groupBy(*keys).applyInPandas(
             solve(it >= rounds), f"{ks}, coef array<double>, lam double, px double, py double, n_used long"))
         limit = thresh if it > 1 else 4 * thresh
         keep = residual(rows, model).where(F.col("fit_px") < limit).drop("fit_px")

@@ -349,3 +349,50 @@ WITH d AS (SELECT DISTINCT pair_id, match_id FROM {tiepoints}), r AS (SELECT *,
 SELECT a.pair_id, a.match_id, b.match_id AS offset_match_id FROM r a JOIN r b ON b.pair_id = a.pair_id AND b.i = (a.i + a.n // 2) % a.n""")
 def _(t):
     return N.offset_tile_pairs(t.tiepoints.select("pair_id", "match_id"), ["pair_id"], "match_id")
+
+
+# --- splines over terrain: heights at predicted positions, inverse maps ---------------------------------
+
+def on_terrain(t):
+    """Matches of a pair whose reference tile is the pair's own number, with the height of the ground at the reference
+    position: a plane, so that bilinear samples are exact. Displacement along the track plus parallax."""
+    p = t.tiepoints.select("pair_id", "match_id", (F.col("src_x") % 40 + 4.0).alias("src_x"), (F.col("src_y") % 40 + 4.0).alias("src_y"))
+    v = F.col("src_y") / 40.0
+    bx, by = F.col("src_x") + 1.0 + v * v, F.col("src_y") - 0.5 + v
+    # height 10 + 0.5 x + 0.25 y at the reference position, which the parallax (0.2, -0.1) moves: solved for the height
+    h = (10.0 + 0.5 * bx + 0.25 * by) / (1 - 0.5 * 0.2 + 0.25 * 0.1)
+    return p.withColumn("h", h).withColumn("ref_x", bx + 0.2 * h).withColumn("ref_y", by - 0.1 * h)
+
+
+def terrain(t):
+    """The plane's heights on 64 x 64 cells of every pair's reference tile."""
+    side = F.explode(F.sequence(F.lit(-8), F.lit(71)))
+    grid = t.transforms.select(F.col("pair_id").alias("tile_id")).withColumn("row_no", side).withColumn("col_no", side)
+    return grid.withColumn("z", 10.0 + 0.5 * F.col("col_no") + 0.25 * F.col("row_no"))
+
+
+PLANTED_SQL = "SELECT pair_id, count(*) AS n, CAST(0 AS BIGINT) AS n_far FROM {tiepoints} GROUP BY pair_id"
+
+
+def far_off(df, x, y, to_x, to_y):
+    """Positions of a pair that lie further than a twentieth of a pixel from where they were planted."""
+    far = ~(F.sqrt((F.col(x) - F.col(to_x)) ** 2 + (F.col(y) - F.col(to_y)) ** 2) < 0.05)
+    return df.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(far).alias("n_far"))
+
+
+@query("i12_height_lookup", PLANTED_SQL)
+def _(t):
+    """Positions predicted without knowing the heights: looked up on the terrain where the prediction stands."""
+    pts = on_terrain(t)
+    m, _ = M.pspline_fit(pts, 2.0, 10.0, relief=True)
+    out = M.predict_spline(pts.drop("h").withColumn("tile_id", F.col("pair_id")), m, dem=terrain(t))
+    return far_off(out, "pred_x", "pred_y", "ref_x", "ref_y")
+
+
+@query("i13_inverse_of_splines", PLANTED_SQL)
+def _(t):
+    """Reference positions of known height go back to where they came from."""
+    pts = on_terrain(t)
+    m, _ = M.pspline_fit(pts, 2.0, 10.0, relief=True)
+    back = M.inverse_spline(pts.withColumnsRenamed({"ref_x": "map_x", "ref_y": "map_y"}), m)
+    return far_off(back.where("converged"), "inv_x", "inv_y", "src_x", "src_y")
