@@ -236,3 +236,21 @@ def test_only_bpe_models_are_taken(tmp_path):
     (tmp_path / "m").write_bytes(proto.SerializeToString())
     with pytest.raises(ValueError):
         label_pieces.load_model(str(tmp_path / "m"))
+
+
+# ---- archives
+
+def test_chunks_carry_the_digest_on(spark):
+    """Every chunk row has the digest of the payload up to its end; no task collects a page's chunks first."""
+    from base64 import b32encode
+
+    from tieline.llm import warc
+
+    pages = {1: "é" * 1000 + "x" * 700, 2: None, 3: "short", 4: "short"}
+    df = spark.createDataFrame([(k, "u", v) for k, v in pages.items()], "page_id bigint, url string, html string")
+    rows = warc.chunk_rows(df, chunk_chars=256).collect()
+    for r in rows:
+        page = int(r.record_id.split(":")[2])
+        body = (pages[page] or "")[:256 * r.chunk_no] if page != 4 else "short"
+        assert r.digest_so_far == b32encode(hashlib.sha1(body.encode()).digest()).decode()
+    assert sorted((int(r.record_id.split(":")[2]), r.chunk_no) for r in rows) == [(1, k) for k in range(1, 8)] + [(2, 1), (3, 1), (4, 1)]

@@ -2,9 +2,9 @@
 
 Archived pages (page_id, url, html) become WARC/1.1 records. A record is written as rows of at most `chunk_chars`
 characters: the first row holds the record's headers, each further one a continuation record with its segment number,
-so that no row of the archives holds a whole oversized record. The writer does hold a page's whole text with its encoded
-blocks while it cuts it, and the reader holds one whole compressed archive (a file above 2 GB fails). Equal payloads are stored once;
-later ones are revisit records. Reading turns archives back into chunk rows and sums up each record chunk by chunk with
+so that no row of the archives holds a whole oversized record. Chunks leave the writer one by one, each with the digest
+of the payload so far; beside them only the page's own row is held. The reader holds one whole compressed archive (a
+file above 2 GB fails). Equal payloads are stored once; later ones are revisit records. Reading turns archives back into chunk rows and sums up each record chunk by chunk with
 a running SHA-1.
 """
 
@@ -41,7 +41,9 @@ def record_name(page_id, digest):
 
 
 def chunk_rows(pages: DataFrame, min_bytes: int = 0, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """The chunked record table: record_id, chunk_no (from 1) and block, the bytes of one WARC record each.
+    """The chunked record table: record_id, chunk_no (from 1), block, the bytes of one WARC record each, and digest_so_far,
+    the payload's SHA-1 (base32) up to and including the chunk: that of the last chunk is the stated one. Beside the row
+    that brings a page in, a task holds about 1 MB of chunks.
 
     Headers of revisits carry the digest and length of the payload they refer to and have no block of their own."""
     html = F.coalesce(F.col("html"), F.lit(""))
@@ -49,52 +51,60 @@ def chunk_rows(pages: DataFrame, min_bytes: int = 0, chunk_chars: int = CHUNK_CH
     body = pages.select("url", html.alias("html"), record_name(F.col("page_id"), F.sha1(html.cast("binary"))).alias("record_id"))
     rows = body.join(plan, "record_id").sortWithinPartitions("record_id").select("record_id", "url", "html", "digest", "payload_bytes", "record_type", "refers_to")
 
-    def run(batches):
+    def segments(name, url, html_, hexa, size, kind, refers):
+        """Chunk rows of one page, one after another: only the chunk at hand is encoded, and the payload's digest is
+        carried along from chunk to chunk."""
         from base64 import b32encode
-
-        import pyarrow as pa
+        from hashlib import sha1
 
         def record(fields, block):
             head = "".join(f"{k}: {v}\r\n" for k, v in fields if v is not None)
             return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n"
 
-        last = None
+        digest = b32encode(bytes.fromhex(hexa)).decode()
+        target = "".join(c for c in url if c not in "\r\n") if url is not None else None
+        common = [("WARC-Record-ID", f"<{name}>"), ("WARC-Date", HEADER_DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}")]
+        if kind == "revisit":
+            fields = [("WARC-Type", kind), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers}:{hexa}>"), ("X-Payload-Length", size)]
+            yield name, 1, record(fields, b""), digest
+            return
+        running, last = sha1(), max(1, -(-len(html_) // chunk_chars))
+        for no in range(1, last + 1):
+            piece = html_[(no - 1) * chunk_chars:no * chunk_chars].encode()
+            running.update(piece)
+            if no == 1:
+                fields = [("WARC-Type", kind), *common, ("Content-Type", "application/http;msgtype=response"), ("WARC-Segment-Number", 1 if last > 1 else None)]
+                piece = HTTP + piece
+            else:
+                fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{name}:{no}>"), ("WARC-Date", HEADER_DATE), ("WARC-Segment-Origin-ID", f"<{name}>"),
+                          ("WARC-Segment-Number", no), ("WARC-Segment-Total-Length", len(HTTP) + size if no == last else None)]
+            yield name, no, record(fields, piece), b32encode(running.digest()).decode()
+
+    def run(batches):
+        last, out, held = None, [], 0
         for b in batches:
-            out = []
             for i in range(b.num_rows):
-                name, url, html_, hexa, size, kind, refers = (c[i].as_py() for c in b.columns)
-                if name == last:
+                page = [c[i].as_py() for c in b.columns]
+                if page[0] == last:
                     continue
-                last = name
-                digest = b32encode(bytes.fromhex(hexa)).decode()
-                target = "".join(c for c in url if c not in "\r\n") if url is not None else None
-                pieces = [html_[j:j + chunk_chars] for j in range(0, len(html_), chunk_chars)] or [""]
-                common = [("WARC-Record-ID", f"<{name}>"), ("WARC-Date", HEADER_DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}")]
-                if kind == "revisit":
-                    fields = [("WARC-Type", kind), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers}:{hexa}>"), ("X-Payload-Length", size)]
-                    out.append((name, 1, record(fields, b"")))
-                    continue
-                many = len(pieces) > 1
-                fields = [("WARC-Type", kind), *common, ("Content-Type", "application/http;msgtype=response"), ("WARC-Segment-Number", 1 if many else None)]
-                out.append((name, 1, record(fields, HTTP + pieces[0].encode())))
-                for no, piece in enumerate(pieces[1:], 2):
-                    total = len(HTTP) + size if no == len(pieces) else None
-                    fields = [("WARC-Type", "continuation"), ("WARC-Record-ID", f"<{name}:{no}>"), ("WARC-Date", HEADER_DATE), ("WARC-Segment-Origin-ID", f"<{name}>"),
-                              ("WARC-Segment-Number", no), ("WARC-Segment-Total-Length", total)]
-                    out.append((name, no, record(fields, piece.encode())))
-                if sum(len(r[2]) for r in out[-len(pieces):]) > 1 << 24 or len(out) >= 1024:
-                    yield _chunk_batch(out)
-                    out = []
-            yield _chunk_batch(out)
-
-    return map_batches(rows, run, "record_id string, chunk_no int, block binary")
+                last = page[0]
+                for row in segments(*page):
+                    out.append(row)
+                    held += len(row[2])
+                    if held > 1 << 20:
+                        yield _chunk_batch(out)
+                        out, held = [], 0
+        yield _chunk_batch(out)
+
+    return map_batches(rows, run, "record_id string, chunk_no int, block binary, digest_so_far string")
 
 
 def _chunk_batch(rows):
     import pyarrow as pa
 
-    ids, numbers, blocks = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary())], ["record_id", "chunk_no", "block"])
+    columns = list(zip(*rows)) if rows else [()] * 4
+    kinds = {"record_id": pa.string(), "chunk_no": pa.int32(), "block": pa.binary(), "digest_so_far": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], list(kinds))
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, chunk_chars: int = CHUNK_CHARS) -> None:
