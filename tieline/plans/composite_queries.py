@@ -9,8 +9,9 @@ from tieline.fixed import CONTROL_ARMS, MODEL_ORDER
 from tieline.functions import transforms as X
 from tieline.functions.geo import az_diff, centered_window
 from tieline.operators import catalog as C, controls as N, cube as K, dataset as D, fitting as M, geometry as Y, pixels as P, tiepoints as T, tiles as L
-from tieline.plans.catalog_queries import BRIGHT, tmc_iirs
-from tieline.plans.pixel_queries import DESTRIPE, PROXY, REPAIR, cubes, unit
+from tieline.plans.catalog_queries import BRIGHT, NEAR, tmc_iirs
+from tieline.plans.pixel_queries import DESTRIPE, PROXY, REPAIR, blur_sql, cubes, unit
+from tieline.plans.recipe_queries import equalise_ctes, kernel_sql, stretch_cte
 from tieline.plans.source_queries import SHARDS, shards
 from tieline.plans.tile_queries import moved
 from tieline.plans.tiepoint_queries import CELLS, GATE_SQL, REFIT_SRC, gated, residuals, rounded, sim_fit
@@ -192,16 +193,40 @@ def _(t):
     return rounded(counts.unionByName(az).unionByName(part(cov, "coverage", "item", "value")).unionByName(part(D.shard_manifest(shards(t)), "shards", "shard", "size_bytes")))
 
 
-@query("q8_preprocess")
+STAT_NAMES = ["n", "mean", "min", "max", "zero_pct", "shadow_fraction", "saturation_fraction", "entropy", "std", "snr", "contrast", "dynamic_range"]
+FULL_STATS = """
+ bins AS (SELECT tile_id, least(255, floor(dn * 256)) AS b, count(*) AS c FROM img GROUP BY ALL),
+ ent AS (SELECT tile_id, -sum(c / n * log2(c / n)) AS entropy FROM (SELECT *, sum(c) OVER (PARTITION BY tile_id) AS n FROM bins) x GROUP BY tile_id),
+ st AS (SELECT img.tile_id, count(*) AS n, avg(dn) AS mean, min(dn) AS min, max(dn) AS max, avg(CASE WHEN dn = 0 THEN 1e2 ELSE 0 END) AS zero_pct, avg(CASE WHEN dn < 5e-2 THEN 1e0 ELSE 0 END) AS shadow_fraction,
+   avg(CASE WHEN dn > 95e-2 THEN 1e0 ELSE 0 END) AS saturation_fraction, any_value(entropy) AS entropy, stddev_pop(dn) AS std, avg(dn) / (stddev_pop(dn) + 1e-6) AS snr,
+   stddev_pop(dn) / (avg(dn) + 1e-6) AS contrast, max(dn) - min(dn) AS dynamic_range FROM img JOIN ent ON ent.tile_id = img.tile_id GROUP BY img.tile_id)"""
+FULL_SQL = "tile_id, n, " + ", ".join(f"round({c}, 4) + 0.0 AS {c}" for c in STAT_NAMES[1:])
+
+
+@query("q8_preprocess", f"""
+WITH raw AS (SELECT tile_id, row_no, col_no, tile_id * 1000 + row_no AS line, dn FROM {{pixels}}), lim AS (SELECT DISTINCT tile_id, 2e0 AS clip FROM raw), {stretch_cte('raw', 'whole', 0.01, 0.99)}, {equalise_ctes('whole', 'even', 4)},
+ ev AS (SELECT tile_id, row_no, col_no, line, dn / 255e0 AS dn FROM even), bl AS ({blur_sql('ev', kernel_sql(P.gaussian_kernel(1.0)), 4)}),
+ img AS (SELECT ev.tile_id, round(least(1, greatest(0, ev.dn + 3e-1 * (ev.dn - bl.dn))), 9) AS dn FROM ev JOIN bl ON bl.tile_id = ev.tile_id AND bl.row_no = ev.row_no AND bl.col_no = ev.col_no), {FULL_STATS}
+SELECT {FULL_SQL}, round(greatest(0, least(1, 1 - CASE WHEN shadow_fraction > 6e-1 THEN 5e-1 * (shadow_fraction - 6e-1) / 4e-1 ELSE 0 END
+  - CASE WHEN saturation_fraction > 2e-1 THEN 5e-1 * (saturation_fraction - 2e-1) / 8e-1 ELSE 0 END)), 4) + 0.0 AS confidence FROM st""")
 def _(t):
     """Stretch, contrast-limited equalisation, sharpening, quality numbers and confidence per tile."""
     s = P.percentile_stretch(t.pixels, 1.0, 99.0)
     sharp = P.unsharp(P.clahe(s, 32, 4).withColumn("dn", F.col("dn") / 255.0))
-    q = P.image_stats(sharp.withColumnRenamed("dn", "v"))
+    q = P.image_stats(sharp.select("tile_id", F.round("dn", 9).alias("v")))
     return rounded(q.withColumn("confidence", X.preprocess_confidence("shadow_fraction", "saturation_fraction")), 4)
 
 
-@query("q9_overlap_crop")
+def window_sql(centre):
+    return f"CASE WHEN {centre} - 8 < 0 THEN 0 WHEN {centre} + 8 > 32 THEN 16 ELSE {centre} - 8 END"
+
+
+@query("q9_overlap_crop", f"""
+WITH {NEAR}, mid AS (SELECT floor(a_scan / 1e2) % 32 AS r, floor(a_pixel / 1e2) % 32 AS c FROM near ORDER BY d, b_scan, b_pixel LIMIT 1),
+ win AS (SELECT {window_sql('r')} AS l0, {window_sql('c')} AS s0 FROM mid),
+ img AS (SELECT tile_id, avg(dn) AS dn FROM (SELECT tile_id, row_no, col_no, least(dn / 7e2, 1) AS dn FROM {{pixels}}) p, win WHERE row_no >= l0 AND row_no < l0 + 16 AND col_no >= s0 AND col_no < s0 + 16
+   GROUP BY tile_id, floor(row_no / 2e0), floor(col_no / 2e0)), {FULL_STATS}
+SELECT {FULL_SQL} FROM st""")
 def _(t):
     """Common region of two products, centred window, crop, area mean and statistics."""
     c = Y.common_region(t.geometry_b, t.geometry_a, 1.0)

@@ -210,3 +210,10 @@ def _(t):
     """A spacing ratio of 0.22: the level of a quarter is closest; the coarse image is doubled."""
     fine, coarse = R.align_scales(t.pixels, t.pixels_b, 32, 0.22, upsample=2)
     return rounded(fine.withColumn("image", F.lit("fine")).unionByName(coarse.withColumn("image", F.lit("coarse"))).select("image", "scale", *P.KEY, "dn"))
+
+
+@query("e13_adaptive_clahe_values", f"""
+WITH {BYTES}, lim AS (SELECT tile_id, CASE WHEN s < 1e-1 THEN 4e0 WHEN s > 25e-2 THEN 15e-1 ELSE 2e0 END AS clip FROM (SELECT tile_id, stddev_pop(dn / 255e0) AS s FROM raw GROUP BY tile_id) z),
+ {equalise_ctes('raw', 'img', 4)} SELECT tile_id, row_no, col_no, round(dn, 5) AS dn FROM img""")
+def _(t):
+    return rounded(P.adaptive_clahe(bytes_(t), 32, 4), 5)
