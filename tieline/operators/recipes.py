@@ -108,7 +108,7 @@ def counts_report(pixels: DataFrame, lo: float, hi: float, dark: float | None =
     `dark` if given) and saturation_fraction (share above the upper one)."""
     q = pixels.groupBy("tile_id").agg(F.percentile("dn", [lo / 100.0, hi / 100.0]).alias("_q"))
     below = F.col("dn") < (F.col("_q")[0] if dark is None else F.lit(dark))
-    return pixels.join(q, "tile_id").groupBy("tile_id").agg(
+    return pixels.select("tile_id", "dn").join(q, "tile_id").groupBy("tile_id").agg(
         F.count(F.lit(1)).alias("n_cells"), (F.first("_q")[1] - F.first("_q")[0]).alias("dynamic_range"),
         F.avg(below.cast("double")).alias("shadow_fraction"), F.avg((F.col("dn") > F.col("_q")[1]).cast("double")).alias("saturation_fraction"))
 
