@@ -399,8 +399,10 @@ def predict_spline(points: DataFrame, model: DataFrame, keys=("pair_id",), dem:
         return df.withColumn("pred_x", F.col("_bx") + gap * F.col("px")).withColumn("pred_y", F.col("_by") + gap * F.col("py"))
 
     j = lifted(j, h).select(*points.columns, "_bx", "_by", "px", "py", "h0", "pred_x", "pred_y")
+    # points and raster meet by a sort: a table of points that is small when compressed would be large as a broadcast
+    ground = dem.hint("merge") if dem is not None else None
     for _ in range(rounds if dem is not None else 0):
-        seen = sample_raster(cut_lineage(j), dem, "bilinear", height, "pred_x", "pred_y", size)
+        seen = sample_raster(cut_lineage(j), ground, "bilinear", height, "pred_x", "pred_y", size)
         j = lifted(seen, F.col("sampled")).drop("sampled")
     return j.select(*points.columns, "pred_x", "pred_y")
 
