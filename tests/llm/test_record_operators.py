@@ -178,6 +178,8 @@ def ids_of(vocab, text):
 
 def test_every_piece_and_odd_text(vocab, library):
     rng = random.Random(3)
+    for piece in vocab.text:
+        assert ids_of(vocab, piece) == library.encode(piece)
     for text in [t for t in TEXTS if t] + [" " * k for k in range(80)] + ["th" * 3000 + "ing" * 1000, "▁" * 500]:
         assert ids_of(vocab, text) == library.encode(text)
     letters = list("▁ aeionrstlhdcm  \n0123,.()\"'éß漢字ไ😀\x00<s>/") + ["the", "ing", "   ", "        ", "tion"]
