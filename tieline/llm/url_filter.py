@@ -57,8 +57,9 @@ def lexical_features(urls: DataFrame) -> DataFrame:
 
 
 def _sample(labelled: DataFrame, most: int) -> DataFrame:
-    """At most `most` labelled urls, those with the smallest hash, so that the choice does not depend on row order."""
-    return labelled.orderBy(F.xxhash64("url"), "url", "blocked").limit(most)
+    """At most `most` distinct labelled urls, those with the smallest hash: the choice does not depend on row order, and
+    copies of one url do not fill it."""
+    return split_url(labelled.select("url", "blocked").distinct().orderBy(F.xxhash64("url"), "url").limit(most))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, train_rows: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
@@ -66,10 +67,11 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, train_row
 
     The verdict is the rule's, else the trees': block if the boosted trees, learned from at most `train_rows` urls with
     a rule (a documented bound; judging covers all urls), find it more likely than not. suffix_blocked is the smoothed
-    share of blocked urls of the host's last label in the training urls, a table of at most `train_rows` rows. Without
-    labelled urls everything else is allowed; with one verdict only, that verdict holds. Repeated rows are judged alike."""
+    share of blocked rows of the host's last label among all rows with a rule; a ruled host ends like its rule's, so the
+    table has no more rows than there are rules. Without labelled urls everything else is allowed; with one verdict only
+    among the training urls, that verdict holds. Repeated rows are judged alike."""
     base = split_url(pick(pages, "page_id", "url")).withColumn("m", match_rule(F.col("host"), F.col("path"), rules))
-    known = base.where("m IS NOT NULL").select("url", "host", "path", "query", F.when(F.col("m.verdict") == "block", 1.0).otherwise(0.0).alias("blocked"))
+    known = base.where("m IS NOT NULL").select("url", F.element_at(F.split("host", "\\."), -1).alias("suffix"), F.when(F.col("m.verdict") == "block", 1.0).otherwise(0.0).alias("blocked"))
     train = stored(_sample(known, train_rows), "url-sample")
     seen = train.agg(F.count("*").alias("n"), F.coalesce(F.sum("blocked"), F.lit(0.0)).alias("k")).first()
     parts = base.select("page_id", "url", "host", "path", "query", "m.rule", "m.verdict")
@@ -77,8 +79,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, train_row
         only = "block" if seen["n"] and seen["k"] else "allow"
         score = F.when(F.col("rule").isNull(), F.lit(1.0 if only == "block" else 0.0))
         return parts.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(only)).alias("verdict"), score.alias("block_score"))
-    prior = seen["k"] / seen["n"]
-    suffixes = stored(lexical_features(train).groupBy("suffix").agg(((F.sum("blocked") + 10 * prior) / (F.count("*") + 10)).alias("rate")), "suffixes")
+    counts = stored(known.groupBy("suffix").agg(F.sum("blocked").alias("k"), F.count("*").alias("n")), "suffixes")
+    total = counts.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
+    prior = total["k"] / total["n"]
+    suffixes = counts.select("suffix", ((F.col("k") + 10 * prior) / (F.col("n") + 10)).alias("rate"))
 
     def features(df):
         with_rate = lexical_features(df).join(F.broadcast(suffixes.withColumnRenamed("suffix", "_suffix")), F.col("suffix") == F.col("_suffix"), "left")
