@@ -21,23 +21,26 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def plan_records(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """One narrow row per record: record_id, page_id, digest (hex SHA-1 of the UTF-8 html), payload_bytes, record_type
-    and refers_to.
-
-    Of records with equal payloads of at least `min_bytes` bytes the one with the smallest page_id is a response, the
-    others are revisits that refer to it; smaller ones are all responses. Null html is an empty payload. Rows that
-    repeat page_id and html are one record; a null page_id comes after all others."""
+    """One narrow row per distinct page row: record_id, page_id, digest (hex SHA-1 of the UTF-8 html), payload_bytes,
+    record_type and refers_to (a record_id).
+
+    Of records with equal payloads of at least `min_bytes` bytes the one with the smallest page_id (of several, with the
+    smallest record_id) is a response, the others are revisits that refer to it; smaller ones are all responses. Null
+    html is an empty payload. A null page_id comes after all others."""
+    named = _named(pages).select("record_id", "page_id", "digest", F.octet_length("html").cast("bigint").alias("payload_bytes")).distinct()
+    rank = F.struct(F.col("page_id").isNull().alias("unnamed"), F.col("page_id"), F.col("record_id"))
+    first = named.groupBy("digest").agg(F.min(rank)["record_id"].alias("first"))
+    again = (F.col("payload_bytes") >= min_bytes) & (F.col("record_id") != F.col("first"))
+    return named.join(first, "digest").select("record_id", "page_id", "digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"),
+                                              F.when(again, F.col("first")).alias("refers_to"))
+
+
+def _named(pages: DataFrame) -> DataFrame:
+    """page_id, url, html (null: empty), digest and record_id, which tells page_id, payload and url."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    named = pages.select("page_id", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).cast("bigint").alias("payload_bytes")).distinct()
-    first = named.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    rows = named.join(first, "digest").withColumn("record_id", record_name(F.col("page_id"), F.col("digest")))
-    again = (F.col("payload_bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return rows.select("record_id", "page_id", "digest", "payload_bytes", F.when(again, "revisit").otherwise("response").alias("record_type"),
-                       F.when(again, F.col("first_id")).alias("refers_to"))
-
-
-def record_name(page_id, digest):
-    return F.concat(F.lit("urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")), F.lit(":"), digest)
+    base = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
+    address = F.coalesce(F.sha1(F.col("url").cast("binary")), F.lit("none"))
+    return base.withColumn("record_id", F.concat_ws(":", F.lit("urn:page"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "digest", address))
 
 
 def chunk_rows(pages: DataFrame, min_bytes: int = 0, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -45,11 +48,12 @@ def chunk_rows(pages: DataFrame, min_bytes: int = 0, chunk_chars: int = CHUNK_CH
     the payload's SHA-1 (base32) up to and including the chunk: that of the last chunk is the stated one. Beside the row
     that brings a page in, a task holds about 1 MB of chunks.
 
-    Headers of revisits carry the digest and length of the payload they refer to and have no block of their own."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    plan = plan_records(pages, min_bytes).hint("merge")
-    body = pages.select("url", html.alias("html"), record_name(F.col("page_id"), F.sha1(html.cast("binary"))).alias("record_id"))
-    rows = body.join(plan, "record_id").sortWithinPartitions("record_id").select("record_id", "url", "html", "digest", "payload_bytes", "record_type", "refers_to")
+    Every row of pages has its record. Equal rows travel as one with their number; from the second on they have that
+    number in the record_id and revisit the first (below `min_bytes` they are responses). Headers of revisits carry the
+    digest and length of the payload they refer to and have no block of their own."""
+    plan = plan_records(pages, min_bytes).drop("page_id", "digest").hint("merge")
+    body = _named(pages).groupBy("record_id").agg(F.first("url").alias("url"), F.first("html").alias("html"), F.first("digest").alias("digest"), F.count("*").alias("copies"))
+    rows = body.join(plan, "record_id").select("record_id", "url", "html", "digest", "payload_bytes", "record_type", "refers_to", "copies")
 
     def segments(name, url, html_, hexa, size, kind, refers):
         """Chunk rows of one page, one after another: only the chunk at hand is encoded, and the payload's digest is
@@ -65,7 +69,7 @@ def chunk_rows(pages: DataFrame, min_bytes: int = 0, chunk_chars: int = CHUNK_CH
         target = "".join(c for c in url if c not in "\r\n") if url is not None else None
         common = [("WARC-Record-ID", f"<{name}>"), ("WARC-Date", HEADER_DATE), ("WARC-Target-URI", target), ("WARC-Payload-Digest", f"sha1:{digest}")]
         if kind == "revisit":
-            fields = [("WARC-Type", kind), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers}:{hexa}>"), ("X-Payload-Length", size)]
+            fields = [("WARC-Type", kind), *common, ("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{refers}>"), ("X-Payload-Length", size)]
             yield name, 1, record(fields, b""), digest
             return
         running, last = sha1(), max(1, -(-len(html_) // chunk_chars))
@@ -80,15 +84,20 @@ def chunk_rows(pages: DataFrame, min_bytes: int = 0, chunk_chars: int = CHUNK_CH
                           ("WARC-Segment-Number", no), ("WARC-Segment-Total-Length", len(HTTP) + size if no == last else None)]
             yield name, no, record(fields, piece), b32encode(running.digest()).decode()
 
+    def records(name, *page, copies):
+        yield from segments(name, *page)
+        *page, kind, refers = page
+        if kind == "response" and page[3] >= min_bytes:
+            kind, refers = "revisit", name
+        for k in range(2, copies + 1):
+            yield from segments(f"{name}:{k}", *page, kind, refers)
+
     def run(batches):
-        last, out, held = None, [], 0
+        out, held = [], 0
         for b in batches:
             for i in range(b.num_rows):
-                page = [c[i].as_py() for c in b.columns]
-                if page[0] == last:
-                    continue
-                last = page[0]
-                for row in segments(*page):
+                *page, copies = [c[i].as_py() for c in b.columns]
+                for row in records(*page, copies=copies):
                     out.append(row)
                     held += len(row[2])
                     if held > 1 << 20:
