@@ -55,14 +55,19 @@ def register_set(hashes, seeds):
     return regs, full
 
 
+def word_key(words: list[bytes]) -> bytes:
+    """Identity of a word sequence."""
+    from hashlib import blake2b
+
+    return blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def sketch(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, word_key (hash of the lower-cased word sequence), regs (true registers,
     empty ones marked) and bands (keys of its bands). Texts without words have no word_key, registers or bands."""
     size = bands * rows
 
     def run(batches):
-        import hashlib
-
         import numpy as np
         import pyarrow as pa
 
@@ -80,7 +85,7 @@ def sketch(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, bands: int = BAN
                     k = min(shingle_words, len(words))
                     grams = np.unique(gram_hashes(hashes(words), k))
                     regs, full = register_set(grams, seeds)
-                    key = hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+                    key = word_key(words)
                     if len(grams) < 4:
                         keys = [int(np.bitwise_xor.reduce(mix(grams)).view(np.int64))]
                     else:
@@ -126,8 +131,9 @@ def promising(pairs: DataFrame, nodes: DataFrame, share: int = SIMILARITY) -> Da
 
 
 def digests(texts: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, d0..d63): one bit of each of 4096 minima of a shingle set. Two sets differ in half of (1 - similarity) of
-    the bits on average; at 0.8 more than MOST_APART differ with a chance of 3e-7. texts: node, text as bytes."""
+    """(node, word_key, d0..d63): one bit of each of 4096 minima of a shingle set. Two sets differ in half of
+    (1 - similarity) of the bits on average; at 0.8 more than MOST_APART differ with a chance of 3e-7. texts: node, text
+    as bytes."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -136,9 +142,10 @@ def digests(texts: DataFrame, shingle_words: int) -> DataFrame:
         seeds = (mix(np.arange(1, WORDS * 64 + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)) >> np.uint64(32)).astype(np.uint32)
         for b in batches:
             for lo, hi in pieces(b.column(1)):
-                out = np.zeros((hi - lo, WORDS), np.int64)
+                out, names = np.zeros((hi - lo, WORDS), np.int64), []
                 for i, raw in enumerate(b.column(1).slice(lo, hi - lo).to_pylist()):
                     words = raw.lower().split()
+                    names.append(word_key(words))
                     grams = (np.unique(gram_hashes(hashes(words), min(shingle_words, len(words)))) >> np.uint64(32)).astype(np.uint32)
                     bits = np.empty(len(seeds), bool)
                     step = max(1, 500_000 // max(len(grams), 1))
@@ -149,10 +156,11 @@ def digests(texts: DataFrame, shingle_words: int) -> DataFrame:
                         v *= np.uint32(0x85EBCA77)
                         bits[s:s + step] = mix(v.min(1).astype(np.uint64)) & np.uint64(1) == 1
                     out[i] = np.packbits(bits).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *[pa.array(np.ascontiguousarray(out[:, k])) for k in range(WORDS)]], ["node", *[f"d{k}" for k in range(WORDS)]])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(names, pa.binary()), *[pa.array(np.ascontiguousarray(out[:, k])) for k in range(WORDS)]],
+                                                     ["node", "word_key", *[f"d{k}" for k in range(WORDS)]])
 
     kind = texts.schema["node"].dataType.simpleString()
-    return map_batches(texts, run, f"node {kind}, " + ", ".join(f"d{k} bigint" for k in range(WORDS)))
+    return map_batches(texts, run, f"node {kind}, word_key binary, " + ", ".join(f"d{k} bigint" for k in range(WORDS)))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, share: int) -> DataFrame:
@@ -199,13 +207,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, share:
     marks = stored(sketch(docs, shingle_words, bands, rows), "sketch")
     worded = marks.where("word_key IS NOT NULL AND doc_id IS NOT NULL")
     members = stored(worded.groupBy("word_key").agg(F.min("doc_id").alias("node")), "members")
-    nodes = stored(worded.join(members.select("node").distinct(), worded["doc_id"] == F.col("node")).select("node", "n_shingles", "regs", "bands").dropDuplicates(["node", "bands"]), "nodes")
+    nodes = stored(worded.join(members.select("node").distinct(), worded["doc_id"] == F.col("node")).select("node", "word_key", "n_shingles", "regs", "bands").dropDuplicates(["node", "word_key"]), "nodes")
     kin = worded.select("word_key", "doc_id").join(members, "word_key").where("doc_id != node")
     classes = stored(kin.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct(), "classes")
 
-    buckets = nodes.select("node", "n_shingles", F.explode("bands").alias("band"))
+    buckets = nodes.select("node", "word_key", "n_shingles", F.explode("bands").alias("band"))
     heads = buckets.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head")
-    shared = stored(buckets.join(heads, "band").select("band", "node", "head", "n_shingles"), "bands")
+    shared = stored(buckets.join(heads, "band").select("band", "node", "word_key", "head", "n_shingles"), "bands")
     star = stored(shared.where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star")
     look = stored(promising(star, nodes, share), "look")
     first = _check(look, docs, shingle_words, share)
@@ -213,11 +221,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, share:
 
     placed = shared.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     open_bands = placed.groupBy("band").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("band")
-    rest = stored(placed.join(open_bands, "band").select("band", "node", "part", "n_shingles"), "rest")
+    rest = stored(placed.join(open_bands, "band").select("band", "node", "word_key", "part", "n_shingles"), "rest")
     loose = stored(rest.select("node").distinct(), "loose")
-    fine = digests(_texts(docs, loose), shingle_words).dropDuplicates(["node"])
-    keys = nodes.join(loose, "node").groupBy("node").agg(F.min("bands").alias("bands"))
-    rest = rest.join(stored(fine.join(keys, "node"), "fine"), "node")
+    fine = digests(_texts(docs, loose), shingle_words).dropDuplicates(["node", "word_key"])
+    rest = rest.join(stored(fine.join(nodes.select("node", "word_key", "bands"), ["node", "word_key"]), "fine"), ["node", "word_key"])
     x, y = rest.alias("x"), rest.alias("y")
     apart = sum((F.bit_count(F.col(f"x.d{k}").bitwiseXOR(F.col(f"y.d{k}"))) for k in range(WORDS)), F.lit(0))
     first_shared = F.filter(F.zip_with("x.bands", "y.bands", lambda p, q: F.when(p == q, p)), lambda v: v.isNotNull())[0]
@@ -227,7 +234,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, share:
     cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     second = _check(stored(cross, "look"), docs, shingle_words, share)
 
-    links = first.unionByName(second)
+    links = first.unionByName(second).distinct()
     ends = links.select(F.col("a").alias("n")).union(links.select("b")).groupBy("n").agg(F.count("*").alias("n_links"))
     places = stored(components(links.unionByName(classes)), "places")
     named = places.join(ends, F.col("node") == F.col("n"), "left").select(F.col("node").alias("_id"), "component", "n_links")
