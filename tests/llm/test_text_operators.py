@@ -1,6 +1,7 @@
 """Each text operator against a brute-force version, on the smallest tables and on odd rows."""
 
 import math
+import random
 import re
 import string
 
@@ -80,6 +81,19 @@ def test_trees_extend_the_rules(spark):
     assert got[5000].verdict == "block" and got[5001].verdict == "allow"
 
 
+def test_suffix_shares_are_counted_over_all_labelled_urls(spark, monkeypatch):
+    """Rows with a rule beyond the training bound count for their suffix, and copies of one url do not fill the sample."""
+    rules = [("good.com/", "allow"), ("bad.net/", "block"), ("late.org/", "block")]
+    rows = [(i, "http://good.com/same") for i in range(300)] + [(1000 + i, f"http://n{i}.bad.net/{i}") for i in range(40)] + [(2000 + i, f"http://late.org/{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    kept = {}
+    monkeypatch.setattr(url_filter, "stored", lambda d, name: kept.setdefault(name, common.stored(d, name)))
+    out = url_filter.judge_urls(df, rules, train_rows=60)
+    assert out.count() == len(rows)
+    assert {(r.suffix, r.k, r.n) for r in kept["suffixes"].collect()} == {("com", 0.0, 300), ("net", 40.0, 40), ("org", 40.0, 40)}
+    assert kept["url-sample"].count() == 60 == kept["url-sample"].select("url").distinct().count()
+
+
 def test_urls_without_labels(spark):
     empty = spark.createDataFrame([], "page_id bigint, url string")
     assert url_filter.judge_urls(empty).count() == 0
@@ -269,6 +283,26 @@ def test_chain_and_mixed_bands(spark, odd):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(want)
 
 
+def test_rows_that_repeat_an_id_keep_the_links_of_each(spark):
+    """Both texts of one doc_id are linked with their own family, also where only the second search finds the link."""
+    rng = random.Random(4)
+    def family(seed, n, size=120):
+        base = [f"{seed}{i}" for i in range(size)]
+        return [" ".join(w if j != 7 * k % size else f"x{seed}{k}" for j, w in enumerate(base)) for k in range(n)]
+    rows = []
+    for f in range(12):
+        one, two = family(f"a{f}_", 6), family(f"b{f}_", 6)
+        ids = list(range(100 * f, 100 * f + 11))
+        rng.shuffle(ids)
+        rows += list(zip(ids, one + two[:5])) + [(ids[0], two[5]), (ids[1], one[1]), (ids[2], "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for k in (2, 5):
+        got = near_duplicates.near_duplicates(df, shingle_words=k).collect()
+        assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == brute.components(rows, k)
+        links = {(a, b) for i, (a, x) in enumerate(rows) for b, y in rows[:i] if a != b and (s := brute.shingles(x, k)) and (t := brute.shingles(y, k)) and 100 * len(s & t) >= 80 * len(s | t)}
+        assert sum(r.n_links for r in {r.doc_id: r for r in got}.values()) <= 2 * len({tuple(sorted(p)) for p in links})
+
+
 def test_components_of_long_chain_and_star(spark):
     links = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5), (None, 3)]
     got = dict(map(tuple, common.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()))
@@ -302,19 +336,24 @@ def test_contamination(spark, docs, odd):
 
 def test_archives_round_trip(spark, tmp_path):
     pages = [(1, "http://a/", "x" * 5000 + "\u00e9" * 300), (2, None, None), (3, "http://b\r\nX: 1", ""), (4, "u", "x" * 5000 + "\u00e9" * 300), (5, "u", "line\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\n"), (5, "u", "other html"),
-             (6, "u", "\u6f22" * 999), (7, "u", "same"), (8, "u", "same"), (8, "u", "same"), (None, "u", "same"), (None, "u", "alone")]
+             (6, "u", "\u6f22" * 999), (7, "u", "same"), (8, "u", "same"), (8, "u", "same"), (7, "other", "same"), (7, None, "same"), (9, "u", "x" * 600), (9, "u", "x" * 600),
+             (None, "u", "same"), (None, "u", "alone")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id bigint, url string, html string, digest string")
     for small, name in ((0, "all"), (100, "large")):
         warc.write_archives(df, f"{tmp_path}/{name}", min_bytes=small, chunk_chars=256)
         got = warc.read_records(spark, f"{tmp_path}/{name}").collect()
-        rows = {(p[0], (p[2] or "").encode()) for p in pages}
-        want = []
-        for d, body in rows:
-            same = [x for x, b in rows if b == body and x is not None]
-            first = min(same) if same else None
-            again = len(body) >= small and d != first
+        rows = [(p[0], (p[2] or "").encode()) for p in pages]
+        want, met = [], set()
+        for d, body in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+            first = min((x for x, b in rows if b == body and x is not None), default=None)
+            again = len(body) >= small and body in met
+            met.add(body)
             want.append((str(d), len(body), brute.digest(body), "revisit" if again else "response", str(first if again else None)))
         assert sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to)) for r in got) == sorted(want) and all(r.intact for r in got)
+    ids = [r.record_id for r in warc.chunk_rows(df).where("chunk_no = 1").collect()]
+    assert len(set(ids)) == len(ids) == len(pages)
+    urls = [r.value for r in spark.read.text(f"{tmp_path}/all").where("value LIKE 'WARC-Target-URI: other'").collect()]
+    assert len(urls) == 1
     assert warc.read_chunks(spark, f"{tmp_path}/all").where("chunk_no > 10").count() > 0
     warc.write_archives(df.limit(0), f"{tmp_path}/none")
     assert warc.read_records(spark, f"{tmp_path}/none").count() == 0
