@@ -7,30 +7,86 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tieline.fixed import INSTRUMENTS, INSTRUMENT_SCHEMA, MOON_RADIUS_KM, MOON_RADIUS_M
 from tieline.functions import geo as G
 from tieline.functions.transforms import let
-from tieline.session import spread
+from tieline.session import cut_lineage, spread
 
 
-def box_join(a: DataFrame, b: DataFrame, dims: list[tuple[str, str, str, str]], cell: float | Column, on: list[str] | None = None) -> DataFrame:
+FAN, LEVELS, MOST_CANDIDATES = 4, 12, 1_000_000
+
+
+def box_join(a: DataFrame, b: DataFrame, dims: list[tuple[str, str, str, str]], cell: float | Column, on: list[str] | None = None,
+             most: int = MOST_CANDIDATES) -> DataFrame:
     """Pairs of overlapping boxes through shared grid cells (an equi-join, never a nested loop).
 
     `dims` lists (a_low, a_high, b_low, b_high) per axis. A pair is kept only in the cell that holds the lower
     corner of the intersection, so no duplicate removal (and no shuffle for it) is needed.
+
+    A cell with more than `most` candidate pairs is divided by FAN along each axis, its parts again, up to LEVELS times, as
+    long as that is expected to halve its candidates. So boxes much smaller than `cell` that crowd in one spot are not
+    compared all with all; boxes that do overlap are pairs of the result and stay. The parts of a cell do not overlap, and
+    each level costs one count of the rows in divided cells. Boxes with a null bound meet nothing.
     """
     on = on or []
+    cells = [f"_c{i}" for i in range(len(dims))]
+
+    def first_last(lo, hi, level):
+        """Cells of a level that a side reaches along one axis. FAN is a power of two: a part's number divided by it is
+        exactly its cell's."""
+        n = float(FAN ** level)
+        return F.floor(F.col(lo) / cell * n), F.floor(F.col(hi) / cell * n)
 
     def spread(df, pick):
-        for i, d in enumerate(dims):
-            lo, hi = pick(d)
-            df = df.withColumn(f"_c{i}", F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))))
+        for c, d in zip(cells, dims):
+            df = df.withColumn(c, F.explode(F.sequence(*first_last(*pick(d), 0))))
         return df
 
-    cells = [f"_c{i}" for i in range(len(dims))]
-    joined = spread(a, lambda d: d[:2]).join(spread(b, lambda d: d[2:]), [*on, *cells])
-    keep = F.lit(True)
-    for i, (alo, ahi, blo, bhi) in enumerate(dims):
-        keep = (keep & (F.col(alo) <= F.col(bhi)) & (F.col(blo) <= F.col(ahi))
-                & (F.col(f"_c{i}") == F.floor(F.greatest(alo, blo) / cell)))
-    return joined.where(keep).drop(*cells)
+    def inner(pick, level):
+        """Parts of a row's cell that the row reaches, per axis: (first, last)."""
+        reach = [first_last(*pick(d), level + 1) for d in dims]
+        return [(F.greatest(lo, F.col(c) * FAN), F.least(hi, F.col(c) * FAN + FAN - 1)) for c, (lo, hi) in zip(cells, reach)]
+
+    def crowd(df, pick, level, name):
+        parts = F.lit(1.0)
+        for lo, hi in inner(pick, level):
+            parts = parts * (hi - lo + 1)
+        return df.groupBy(*on, *cells).agg(F.count(F.lit(1)).cast("double").alias(f"_n{name}"), F.sum(parts).alias(f"_p{name}"))
+
+    def divided(df, pick, level, hot):
+        df = df.join(hot, [*on, *cells])
+        for c, (lo, hi) in zip(cells, inner(pick, level)):
+            df = df.withColumn(c, F.explode(F.sequence(lo, hi)))
+        return df
+
+    def met(left, right, level):
+        joined = left.join(right, [*on, *cells])
+        keep = F.lit(True)
+        for c, (alo, ahi, blo, bhi) in zip(cells, dims):
+            keep = (keep & (F.col(alo) <= F.col(bhi)) & (F.col(blo) <= F.col(ahi))
+                    & (F.col(c) == F.floor(F.greatest(alo, blo) / cell * float(FAN ** level))))
+        return joined.where(keep).drop(*cells)
+
+    def of_a(d):
+        return d[:2]
+
+    def of_b(d):
+        return d[2:]
+
+    left, right, out = spread(a, of_a), spread(b, of_b), None
+    for level in range(LEVELS + 1):
+        hot = None
+        if level < LEVELS:
+            both = crowd(left, of_a, level, "a").join(crowd(right, of_b, level, "b"), [*on, *cells])
+            now = F.col("_na") * F.col("_nb")
+            then = F.col("_pa") * F.col("_pb") / float(FAN ** len(dims))
+            hot = cut_lineage(both.where((now > most) & (then * 2 <= now)).select(*on, *cells))
+            if hot.isEmpty():
+                hot = None
+        cold = [df.join(hot, [*on, *cells], "left_anti") if hot is not None else df for df in (left, right)]
+        pairs = met(*cold, level)
+        out = pairs if out is None else out.unionByName(pairs)
+        if hot is None:
+            return out
+        left, right = (cut_lineage(divided(df, pick, level, hot)) for df, pick in ((left, of_a), (right, of_b)))
+    return out
 
 
 def split_wrapped(fp: DataFrame) -> DataFrame:

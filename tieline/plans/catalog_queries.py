@@ -294,6 +294,18 @@ def _(t):
     return rounded(C.footprint_overlap(of(t, "OHRC"), of(t, "TMC2")))
 
 
+@query("c1_overlap_at_a_crowded_site", """
+SELECT a.product_id AS a_id, b.product_id AS b_id, round((least(a.max_lat, b.max_lat) - greatest(a.min_lat, b.min_lat)) * 1e3, 5) AS height_mdeg,
+       round((least(a.max_lon, b.max_lon) - greatest(a.min_lon, b.min_lon)) * 1e3, 5) AS width_mdeg
+FROM {site_chips} a JOIN {site_chips} b ON a.side = 'a' AND b.side = 'b' AND least(a.max_lat, b.max_lat) > greatest(a.min_lat, b.min_lat)
+ AND least(a.max_lon, b.max_lon) > greatest(a.min_lon, b.min_lon)""")
+def _(t):
+    """All chips lie in one grid cell, which is divided until its parts are small."""
+    c = t.site_chips
+    o = C.footprint_overlap(c.where("side = 'a'"), c.where("side = 'b'"))
+    return rounded(o.select("a_id", "b_id", ((F.col("max_lat") - F.col("min_lat")) * 1e3).alias("height_mdeg"), ((F.col("max_lon") - F.col("min_lon")) * 1e3).alias("width_mdeg")), 5)
+
+
 @query("c2_search_region", f"""
 SELECT r.a_id, r.b_id, round(o.min_lat, 6) + 0.0 AS min_lat, round(o.max_lat, 6) + 0.0 AS max_lat, round(o.min_lon, 6) + 0.0 AS min_lon, round(o.max_lon, 6) + 0.0 AS max_lon
 FROM (SELECT c_custkey AS a_id, (c_custkey * 31) // 3 * 3 % 1500 + 1 AS b_id FROM {{customer}} WHERE c_custkey % 3 = 0

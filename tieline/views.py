@@ -143,3 +143,13 @@ SELECT o_orderkey AS pair_id, ((o_orderkey * 31) % 101) / 1e2 AS mask_coverage,
        85e-2 + ((o_orderkey * 3) % 41) / 1e2 AS scale_factor, o_orderstatus AS render_mode
 FROM {orders}
 """
+
+# small image chips of two instruments crowded around one site (all inside one cell of the footprint grid)
+VIEWS["site_chips"] = """
+SELECT product_id, side, lat - half AS min_lat, lat + half AS max_lat, lon - half AS min_lon, lon + half AS max_lon
+FROM (SELECT c_custkey AS product_id, 'a' AS side, -695e-1 + ((c_custkey * 7919) % 10007) / 10007e0 AS lat,
+             325e-1 + ((c_custkey * 104729) % 9973) / 9973e0 AS lon, 2e-3 + (c_custkey % 5) * 5e-4 AS half FROM {customer}
+      UNION ALL
+      SELECT c_custkey, 'b', -695e-1 + ((c_custkey * 31337) % 10009) / 10009e0, 325e-1 + ((c_custkey * 65537) % 9967) / 9967e0,
+             3e-3 + (c_custkey % 7) * 5e-4 FROM {customer}) c
+"""
